@@ -12,6 +12,8 @@ MODULES = [
     "url_filter",
     "licenses",
     "chat",
+    "packing",
+    "token_files",
 ]
 
 
