@@ -12,6 +12,7 @@ MODULES = [
     "url_filter",
     "licenses",
     "simhash",
+    "decontaminate",
     "chat",
     "packing",
     "token_files",
