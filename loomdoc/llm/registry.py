@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = [
     "url_filter",
     "licenses",
+    "pii",
     "simhash",
     "decontaminate",
     "chat",
