@@ -14,6 +14,7 @@ MODULES = [
     "pii",
     "simhash",
     "decontaminate",
+    "quality",
     "chat",
     "packing",
     "token_files",
