@@ -15,6 +15,7 @@ MODULES = [
     "simhash",
     "decontaminate",
     "quality",
+    "toxicity",
     "chat",
     "packing",
     "token_files",
