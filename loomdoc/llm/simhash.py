@@ -88,6 +88,21 @@ def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row of each component, with all columns of ``df``: that of the least doc_id. Rows without a doc_id stay.
+
+    Only doc_ids are joined to the texts. Rows that share a doc_id are looked for first; one of them stays.
+    """
+    judged = near_duplicates(df, words)
+    dropped = judged.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = df.join(dropped, "doc_id", "left_anti").select(*df.columns)
+    repeated = judged.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*df.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*df.columns).unionByName(once)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(load(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
