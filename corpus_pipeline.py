@@ -7,6 +7,7 @@ reread as the next stage's ``docs``. All stages but the last return the columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomdoc.llm import decontaminate, packing, pii, simhash, toxicity
 from loomdoc.llm.shared import scratch_path
@@ -23,14 +24,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.without_duplicates(docs)
 
 
+def with_lengths(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars as its texts now are; a column of another table is none of ours."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that the benchmark has."""
-    return decontaminate.without_hits(docs, load(spark, sf_dir, "benchmark"))
+    return with_lengths(decontaminate.without_hits(docs, load(spark, sf_dir, "benchmark")))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data."""
-    return pii.pseudonymise(docs, counts=None)
+    return with_lengths(pii.pseudonymise(docs, counts=None))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
