@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries on import.
-MODULES = ["contributors"]
+MODULES = ["contributors", "versions", "lines"]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
