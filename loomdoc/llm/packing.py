@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.llm.shared import written
-from loomdoc.llm.tokens import Encoder
+from loomdoc.llm.tokens import encoder
 from loomdoc.tables import load
 
 QUERY = "op9_packing"
@@ -46,10 +46,10 @@ def cut_pieces(df: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, task, rank): rank counts a length's pieces within a task from 0."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, task, seen = Encoder(path, end_id, keeps_spaces=False), TaskContext.get().partitionId(), defaultdict(int)
+        encode, task, seen = encoder(path, end_id, keeps_spaces=False).encode, TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch["doc_id"], encoder.encode(batch["text"].tolist()), strict=True):
+            for doc, ids in zip(batch["doc_id"], encode(batch["text"].tolist()), strict=True):
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     length = min(size, n - start)

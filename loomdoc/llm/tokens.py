@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces in each of the cache's two generations, and the longest piece it holds: some 150 MB at most.
-CACHE_PIECES, CACHE_LENGTH = 300_000, 40
+#: Pieces in each of the cache's two generations, and the longest piece it holds: some 300 MB at most.
+CACHE_PIECES, CACHE_LENGTH = 700_000, 40
+#: Texts that are cut into pieces at once.
+AT_ONCE = 250
 #: Between two characters that no Unicode version has as white space: a pre-token ends before such a space.
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: White space to Python's split() but not to the tokenizer.
@@ -30,10 +33,10 @@ class _Cache(dict):
 
     def lacking(self, pieces: set[str]) -> set[str]:
         """Those of ``pieces`` that neither generation has; the older one's become young."""
-        out = pieces - self.keys()
-        again = out & self.old.keys()
+        out = {p for p in pieces if p not in self}
+        again = {p for p in out if p in self.old} if self.old else ()
         self.update((p, self.old[p]) for p in again)
-        return out - again
+        return out.difference(again)
 
     def age(self) -> None:
         if len(self) > CACHE_PIECES:
@@ -51,21 +54,29 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_spaces = keeps_spaces
-        self.kind = np.dtype(f"<u{width}")
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.kind = {2: "H", 4: "I"}[width]  # in the machine's order; Spark runs on little-endian machines
+        self.end = array(self.kind, [end_id]).tobytes()
         self.plain, self.spaced = _Cache(), _Cache()
         self.long: list[tuple[_Cache, str]] = []  # not to be kept after the texts at hand
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text (null: empty) its ids and the end id."""
+        return [ids for i in range(0, len(texts), AT_ONCE) for ids in self._encode(texts[i : i + AT_ONCE])]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._cut(t) if t else [] for t in texts]
-        if not self.keeps_spaces:
-            self._learn(self.plain, set().union(*cut), "")
-            out = [b"".join([*map(self.plain.__getitem__, pieces), self.end]) for pieces in cut]
-        else:
-            self._learn(self.plain, {p[0] for p in cut if p}, "")
-            self._learn(self.spaced, set().union(*(p[1:] for p in cut)), " ")
-            out = [b"".join([*map(self.plain.__getitem__, p[:1]), *map(self.spaced.__getitem__, p[1:]), self.end]) for p in cut]
+        heads, main, before = [], self.plain, ""
+        if self.keeps_spaces:
+            heads, main, before = [p.pop(0) if p else "" for p in cut], self.spaced, " "
+            self._learn(self.plain, set(heads), "")
+        found = [list(map(main.get, pieces)) for pieces in cut]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        self._learn(main, {p for i in lacking for p, ids in zip(cut[i], found[i], strict=True) if ids is None}, before)
+        for i in lacking:
+            found[i] = list(map(main.__getitem__, cut[i]))
+        for head, ids in zip(heads, found, strict=False):
+            ids.insert(0, self.plain[head])
+        out = [b"".join([*ids, self.end]) for ids in found]
         for cache, piece in self.long:
             cache.pop(piece, None)
         self.long.clear()
@@ -94,4 +105,10 @@ class Encoder:
         for i in range(0, len(found), 4096):
             part = found[i : i + 4096]
             ids = self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False)
-            cache.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, ids, strict=True))
+            cache.update((p, array(self.kind, e.ids).tobytes()) for p, e in zip(part, ids, strict=True))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int, keeps_spaces: bool, width: int = 4) -> Encoder:
+    """The encoder of this Python worker, whose cache outlives a task."""
+    return Encoder(path, end_id, keeps_spaces, width)
