@@ -69,30 +69,41 @@ def fallback_hyphen(ids: Column, explicit: Column) -> Column:
     return F.aggregate(pairs, start, add, lambda acc: acc["out"])
 
 
-#: Prefixes of ids by the kind of section a heading is in.
-KIND_PREFIXES = {
-    "parameters": "param_",
-    "functions": "func_",
-    "mi": "mi_",
-    "events": "event_",
-    "pvs": "pv_",
-    "statistics": "stat_",
-    "transformations": "trans_",
-    "async": "afunc_",
+# Prefixes of ids by the title of the section a heading is in, and sections of a developer guide.
+SECTION_PREFIXES = {
+    "exported parameters": "param",
+    "exported functions": "func",
+    "exported asynchronous functions": "afunc",
+    "exported mi functions": "mi",
+    "exported events": "event",
+    "exported pseudo-variables": "pv",
+    "exported statistics": "stat",
+    "exported status/report identifiers": "sr",
 }
+DEVELOPER_SECTIONS = ["available functions", "api functions", "functions"]
 
 
-def item_name(kind: Column, text: Column) -> Column:
-    """The name in an item's heading: up to a bracket or space for functions, up to a space otherwise; events in lower case."""
-    bare = F.trim(F.regexp_replace(text, "[`*]", ""))
-    first = F.regexp_extract(bare, r"^([^\s(]+)", 1)
-    return F.when(kind == "events", F.lower(first)).when(kind == "pvs", F.regexp_replace(first, r"^\$", "")).otherwise(first)
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def item_id(kind: Column, depth: Column, text: Column, developer: Column) -> Column:
-    """Prefix and name for items (depth 4 and more) of a kind; ``dev_`` before functions of a developer guide; else a slug."""
-    prefixes = F.create_map(*[F.lit(x) for pair in KIND_PREFIXES.items() for x in pair])
-    prefix = F.try_element_at(prefixes, kind)
-    named = F.concat(prefix, F.regexp_replace(item_name(kind, text), "[^A-Za-z0-9]+", "_"))
-    of_guide = F.concat(F.lit("dev_"), underscore_slug(item_name(kind, text)))
-    return F.when((depth >= 4) & developer & (kind == "functions"), of_guide).when((depth >= 4) & prefix.isNotNull(), named).otherwise(underscore_slug(text))
+def item_name(prefix: Column, text: Column) -> Column:
+    """The name in an item's heading: before a bracket; after the last colon for MI; no ``$`` for variables; events in lower case."""
+    text = F.trim(text)
+    before = F.regexp_extract(text, r"^[^(]*", 0)
+    after = F.regexp_extract(F.regexp_extract(text, r"[^:]*$", 0), r"^[^(]*", 0)
+    variable = F.regexp_extract(F.regexp_replace(text, r"^\$\(?", ""), r"^[^(\[]*", 0)
+    name = F.when(prefix == "mi", after).when(prefix == "pv", variable).when(prefix.isin("func", "afunc", "param"), before).otherwise(text)
+    return F.when(prefix == "event", F.lower(_bare(name))).otherwise(_bare(name))
+
+
+def item_id(level: Column, text: Column, section: Column, guide: Column) -> Column:
+    """Prefix and name for items (level 4 and more) of a typed section; ``dev_`` in function sections of a developer guide;
+    else the slug."""
+    table = F.create_map(*[F.lit(x) for pair in SECTION_PREFIXES.items() for x in pair])
+    key = F.lower(F.coalesce(section, F.lit("")))
+    prefix = F.try_element_at(table, key)
+    typed = F.concat(prefix, F.lit("_"), item_name(prefix, text))
+    developer = F.lower(F.trim(guide)).isin("developer guide", "developer's guide") & key.isin(DEVELOPER_SECTIONS)
+    of_guide = F.concat(F.lit("dev_"), item_name(F.lit("func"), text))
+    return F.when((level >= 4) & prefix.isNotNull(), typed).when((level >= 4) & developer, of_guide).otherwise(underscore_slug(text))
