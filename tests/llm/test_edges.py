@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from loomdoc.llm import chat, decontaminate, licenses, packing, pii, quality, simhash, token_files, toxicity, url_filter
+from loomdoc.llm import chat, decontaminate, licenses, packing, pii, quality, simhash, similar, token_files, toxicity, url_filter
 from loomdoc.llm.packing import tokenizer_path
 from tests.llm import brute
 
@@ -92,12 +92,33 @@ def test_simhash(spark):
         if r["doc_id"] is not None:
             assert r["fp"] & (1 << 64) - 1 == fps[r["doc_id"]]
             assert r["component_id"] == part[r["doc_id"]]
-    kept = [r["doc_id"] for r in simhash.without_duplicates(df).collect()]
-    assert Counter(kept) == Counter([*{*part}, None])
-    assert simhash.without_duplicates(df).columns == df.columns
     assert simhash.near_duplicates(brute.empty(spark)).count() == 0
 
 
+def test_similar_documents(spark):
+    """Near copies at 0.8 and more of five-word shingles: most are found; others stay."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts, near = [], {}
+    for k in range(60):
+        words = rng.choice(vocabulary, 400).tolist()
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4):  # of 400 words: similarities of some 0.97, 0.95 and 0.9
+            other = list(words)
+            for i in rng.choice(400, edits, replace=False):
+                other[i] = "new"
+            near[len(texts)] = 4 * k
+            texts.append(" ".join(other))
+    found = {r["doc_id"]: r["component_id"] for r in similar.classes(brute.frame(spark, texts)).collect()}
+    assert sum(found[i] == k for i, k in near.items()) >= 0.9 * len(near)
+    assert all(found[i] // 4 == i // 4 for i in range(len(texts)))
+    kept = similar.without_duplicates(brute.frame(spark))
+    ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
+    # Without words: 0, 1, 2. Equal but for case and white space: 4, 5, 13 and the repeated 4. A word more: 7, 8.
+    assert ids == [0, 3, 4, 6, 7, 9, 10, 11, 12] and kept.columns == brute.frame(spark).columns
+    assert similar.without_duplicates(brute.empty(spark)).count() == 0
+
+
 def test_simhash_chain_is_one_component(spark):
     """Fingerprints a bit apart each: a long chain, linked end to end without all pairs."""
     chain, fp = [], 0
