@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import decontaminate, packing, pii, simhash, toxicity
+from loomdoc.llm import decontaminate, packing, pii, similar, toxicity
 from loomdoc.llm.shared import scratch_path
 from loomdoc.tables import load
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the least doc_id. Rows without a doc_id stay."""
-    return simhash.without_duplicates(docs)
+    """One document of each class of near copies (five words, similarity 0.8): the one with the least doc_id."""
+    return similar.without_duplicates(docs)
 
 
 def with_lengths(docs: DataFrame) -> DataFrame:
