@@ -45,6 +45,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def mark() -> int:
+    """A point in time, for ``drop_since``."""
+    return len(_SCRATCH)
+
+
+def drop_since(spark: SparkSession, point: int, keep: set[str]) -> None:
+    """Delete the tables written since ``point``, but for ``keep``. For callers that stored what they made of them."""
+    for path in _SCRATCH[point:]:
+        if path not in keep:
+            delete(spark, path)
+            _SCRATCH.remove(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the tables written so far. Only for callers whose earlier results are stored elsewhere."""
     while _SCRATCH:
