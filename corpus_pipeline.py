@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm import decontaminate, packing, pii, similar, toxicity
-from loomdoc.llm.shared import scratch_path
+from loomdoc.llm.shared import drop_since, mark, scratch_path
 from loomdoc.tables import load
 
 
@@ -57,9 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_since(spark, before, {path})  # the stage before, and what this one kept for itself
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
