@@ -69,7 +69,8 @@ def grouped_entries(links: DataFrame, existing: DataFrame, rest: str = "Other")
     first = Window.partitionBy("page").orderBy("pos")
     used = used.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select("grp", F.col("pos").cast("long").alias("pos"), "page")
     left = existing.join(links.select("page").distinct(), "page", "left_anti")
-    left = left.select(F.lit(rest).alias("grp"), F.row_number().over(Window.orderBy("page")).cast("long").alias("pos"), "page")
+    left = left.select(F.lit(rest).alias("grp"), "page")
+    left = left.select("grp", F.row_number().over(Window.partitionBy("grp").orderBy("page")).cast("long").alias("pos"), "page")
     return used.unionByName(left)
 
 
