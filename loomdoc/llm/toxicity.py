@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm.labelled import held_out, sample
+from loomdoc.llm.shared import written
 from loomdoc.tables import load
 
 QUERY = "op7_toxicity"
@@ -53,21 +54,28 @@ LOOKALIKES = {
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
-_FOLD = str.maketrans(LOOKALIKES)
-_MIXED = re.compile(r"[^\W_]*(?:[0-9]|(?<=[^\W\d_])[@$!](?=[^\W\d_]))[^\W_]*(?:[@$!](?=[^\W\d_])[^\W_]*)*")
+_FOLD, _LOOKALIKE = str.maketrans(LOOKALIKES), re.compile("[" + "".join(LOOKALIKES) + "]")
+_SIGNS, _UNFOLD = re.compile(r"[0-9]+|[@$!]"), str.maketrans(DIGITS)
 _LETTER = re.compile(r"[^\W\d_]")
 _TOKEN = re.compile(r"[^\W\d_]+")
-_UNFOLD = str.maketrans(DIGITS)
+
+
+def _letters(m: re.Match) -> str:
+    """Digits next to a letter, and a sign between two, as the letters they stand for."""
+    text, (a, b) = m.string, m.span()
+    left, right = a > 0 and text[a - 1].isalpha(), b < len(text) and text[b].isalpha()
+    inside = (left or right) if text[a].isdigit() else (left and right)
+    return m[0].translate(_UNFOLD) if inside else m[0]
 
 
 def fold(text: str | None) -> str:
-    """Lower case, without disguises of letters. A mixed token without letters (a number) stays."""
+    """Lower case, without disguises of letters. Numbers by themselves stay."""
     if not text:
         return ""
     text = text.lower()
-    if not text.isascii():
+    if _LOOKALIKE.search(text):
         text = text.translate(_FOLD)
-    return _MIXED.sub(lambda m: m[0].translate(_UNFOLD) if _LETTER.search(m[0]) else m[0], text)
+    return _SIGNS.sub(_letters, text)
 
 
 def terms_of(folded: str) -> set[str]:
@@ -148,7 +156,7 @@ def _counted(rows: DataFrame, schema: str, of) -> DataFrame:
 def learn(df: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE) -> Lexicon:
     """The lexicon of the sample. What reaches the driver is bounded by ``most``, ``LOOKED_AT`` and ``CHOSEN``."""
     rows = sample(df, labels, "toxic", most).filter("text IS NOT NULL").dropDuplicates(["text"])
-    rows = rows.repartition(16, F.xxhash64("text"))
+    rows = written(rows.repartition(16, F.xxhash64("text")), "distinct")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         return Lexicon()
