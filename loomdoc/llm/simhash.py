@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.llm.components import components
@@ -31,23 +31,32 @@ SQL = None
 
 WORDS, SEED = 3, 42
 SEGMENTS, SEGMENT_BITS = 4, 16
+#: Shingles hashed at once.
+PART = 1 << 15
 #: Links are at twice the radius of the balls.
 RADIUS = 1
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64 bits: each set where over half of the text's shingle hashes have it."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles, repeats included, in parts of a bounded size."""
     parts = text.encode().lower().split() if text else []
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     space = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     n = max(1, len(parts) - words + 1)
     starts = np.concatenate([[0], space + 1])[:n].tolist()
     ends = np.concatenate([space, [len(joined)]])[-n:].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 15):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 15)], ends[i : i + (1 << 15)], strict=True)], "<u8")
+    digest = xxhash.xxh64_intdigest
+    for i in range(0, n, PART):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + PART], ends[i : i + PART], strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """64 bits: each set where over half of the text's shingle hashes have it."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, words):
+        n += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
@@ -70,13 +79,16 @@ def masks() -> list[int]:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(u, v): doc_ids of ``distinct`` (fp, rep) whose fingerprints are linked, as stars around each key's least doc_id."""
+    """(u, v): doc_ids of ``distinct`` (fp, rep) whose fingerprints are linked, as stars around each key's least doc_id.
+
+    A key is in the lists of 65 fingerprints at most, so no key's window can be large.
+    """
     ball = distinct.select("fp", "rep", F.explode(F.array(*[F.lit(m).cast("long") for m in masks()])).alias("mask"))
-    ball = ball.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), F.struct("rep", "fp").alias("member"))
-    hubs = ball.groupBy("key").agg(F.min("member").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = ball.join(hubs.select("key", "hub"), "key").filter(F.col("member.rep") != F.col("hub.rep"))
-    near = F.bit_count(F.col("member.fp").bitwiseXOR(F.col("hub.fp"))) <= 2 * RADIUS
-    return found.filter(near).select(F.col("member.rep").alias("u"), F.col("hub.rep").alias("v")).distinct()
+    ball = ball.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "rep", "fp")
+    hub = F.first(F.struct("rep", "fp")).over(Window.partitionBy("key").orderBy("rep"))
+    found = ball.withColumn("hub", hub).filter(F.col("rep") != F.col("hub.rep"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= 2 * RADIUS
+    return found.filter(near).select(F.col("rep").alias("u"), F.col("hub.rep").alias("v")).distinct()
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
@@ -88,21 +100,6 @@ def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of each component, with all columns of ``df``: that of the least doc_id. Rows without a doc_id stay.
-
-    Only doc_ids are joined to the texts. Rows that share a doc_id are looked for first; one of them stays.
-    """
-    judged = near_duplicates(df, words)
-    dropped = judged.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = df.join(dropped, "doc_id", "left_anti").select(*df.columns)
-    repeated = judged.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*df.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*df.columns).unionByName(once)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(load(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
