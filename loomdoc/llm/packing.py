@@ -46,16 +46,17 @@ def cut_pieces(df: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, task, rank): rank counts a length's pieces within a task from 0."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task, seen = encoder(path, end_id, keeps_spaces=False).encode, TaskContext.get().partitionId(), defaultdict(int)
+        coder, task, seen = encoder(path, end_id, keeps_spaces=False), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch["doc_id"], encode(batch["text"].tolist()), strict=True):
+            for doc, ids in zip(batch["doc_id"], coder.encode(batch["text"].tolist()), strict=True):
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     length = min(size, n - start)
                     rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, task, seen[length]))
                     seen[length] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"]).astype({"doc_id": "Int64"})
+        coder.rest()
 
     return df.select("doc_id", "text").mapInPandas(
         cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, rank bigint"

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from loomdoc.llm import huffman
 from loomdoc.llm.packing import tokenizer_path
 from loomdoc.llm.shared import scratch_path, written
-from loomdoc.llm.tokens import Encoder
+from loomdoc.llm.tokens import encoder
 from loomdoc.tables import load
 
 QUERY = "op10_token_files"
@@ -44,12 +44,13 @@ def tokenise(df: DataFrame, path: str, end_id: int, vocabulary: int) -> DataFram
     width = 2 if vocabulary <= 1 << 16 else 4
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path, end_id, keeps_spaces=True, width=width)
+        coder = encoder(path, end_id, keeps_spaces=True, width=width)
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
-                ids = encoder.encode(part["text"].tolist())
+                ids = coder.encode(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_ids": [len(x) // width for x in ids], "ids": ids})
+        coder.rest()
 
     return df.select("doc_id", "text").mapInPandas(encode, "doc_id bigint, n_ids bigint, ids binary")
 

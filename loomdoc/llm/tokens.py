@@ -10,11 +10,14 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 from tokenizers import Tokenizer
 
-#: Pieces in each of the cache's two generations, and the longest piece it holds: some 300 MB at most.
-CACHE_PIECES, CACHE_LENGTH = 700_000, 40
+#: Pieces in each of the cache's two generations, and the longest piece it holds: some 250 MB at most.
+CACHE_PIECES, CACHE_LENGTH = 600_000, 40
+#: Pieces that stay with the worker between tasks: those it met first, so the common ones.
+KEPT_PIECES = 300_000
 #: Texts that are cut into pieces at once.
 AT_ONCE = 250
 #: Between two characters that no Unicode version has as white space: a pre-token ends before such a space.
@@ -22,9 +25,26 @@ _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: White space to Python's split() but not to the tokenizer.
 _NOT_SPACE = re.compile(r"[\x1c-\x1f]")
 #: A pre-token also ends between a letter and a mark, but for the apostrophe.
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:%&#$*|]+)")
 
 
+def _gaps(ids: list) -> list[int]:
+    """Where a list has None."""
+    out, j = [], -1
+    for _ in range(ids.count(None)):
+        j = ids.index(None, j + 1)
+        out.append(j)
+    return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level tokenizers' letter for each byte: itself if it is visible, else the next free one from 256."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class _Cache(dict):
     """The pieces used lately; ``old`` has those of the generation before, which come back when they are used."""
 
@@ -43,6 +63,12 @@ class _Cache(dict):
             self.old = dict(self)
             self.clear()
 
+    def trim(self) -> None:
+        kept = dict(islice(self.items(), KEPT_PIECES))
+        self.clear()
+        self.update(kept)
+        self.old = {}
+
 
 class Encoder:
     """ids of a text as little-endian unsigned integers of ``width`` bytes, with the end id appended.
@@ -53,6 +79,7 @@ class Encoder:
     def __init__(self, path: str, end_id: int, keeps_spaces: bool, width: int = 4):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.keeps_spaces = keeps_spaces
         self.kind = {2: "H", 4: "I"}[width]  # in the machine's order; Spark runs on little-endian machines
         self.end = array(self.kind, [end_id]).tobytes()
@@ -63,6 +90,11 @@ class Encoder:
         """For each text (null: empty) its ids and the end id."""
         return [ids for i in range(0, len(texts), AT_ONCE) for ids in self._encode(texts[i : i + AT_ONCE])]
 
+    def rest(self) -> None:
+        """Let go of rare pieces at the end of a task, as the worker's next stage may be another operator's."""
+        for cache in (self.plain, self.spaced):
+            cache.trim()
+
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._cut(t) if t else [] for t in texts]
         heads, main, before = [], self.plain, ""
@@ -70,10 +102,10 @@ class Encoder:
             heads, main, before = [p.pop(0) if p else "" for p in cut], self.spaced, " "
             self._learn(self.plain, set(heads), "")
         found = [list(map(main.get, pieces)) for pieces in cut]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        self._learn(main, {p for i in lacking for p, ids in zip(cut[i], found[i], strict=True) if ids is None}, before)
-        for i in lacking:
-            found[i] = list(map(main.__getitem__, cut[i]))
+        gaps = [(pieces, ids, j) for pieces, ids in zip(cut, found, strict=True) for j in _gaps(ids)]
+        self._learn(main, {pieces[j] for pieces, _, j in gaps}, before)
+        for pieces, ids, j in gaps:
+            ids[j] = main[pieces[j]]
         for head, ids in zip(heads, found, strict=False):
             ids.insert(0, self.plain[head])
         out = [b"".join([*ids, self.end]) for ids in found]
@@ -101,11 +133,19 @@ class Encoder:
         cache.update((p, cache[w] + self.plain[m]) for p, (w, m) in parted.items())
 
     def _encode_into(self, cache: _Cache, pieces: set[str], before: str) -> None:
-        found = list(pieces)
-        for i in range(0, len(found), 4096):
-            part = found[i : i + 4096]
-            ids = self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False)
-            cache.update((p, array(self.kind, e.ids).tobytes()) for p, e in zip(part, ids, strict=True))
+        words, rest = [], []
+        for p in pieces:
+            (words if _WORD.fullmatch(p) else rest).append(p)
+        # A word of letters is one pre-token; the library's model takes it without looking for others.
+        letters, model = self.letters, self.model
+        for p in words:
+            text = before + (p if self.keeps_spaces else p.lower())
+            ids = [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+            cache[p] = array(self.kind, ids).tobytes()
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            encoded = self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False)
+            cache.update((p, array(self.kind, e.ids).tobytes()) for p, e in zip(part, encoded, strict=True))
 
 
 @lru_cache(maxsize=1)
