@@ -1,9 +1,9 @@
-"""Near-duplicate classes at a similarity of word shingles, by SimHash codes of 252 bits and multi-index hashing.
+"""Near-duplicate classes at a similarity of word shingles, by SimHash codes of 384 bits and multi-index hashing.
 
 A similarity of 0.8 moves some 15 in 100 bits of a SimHash, more than a table of 64 bits can be searched for. So a code has
-nine segments of 28 bits; two codes are held against each other if some segment differs in one bit at most. Their complete
+twelve segments of 32 bits; two codes are held against each other if some segment differs in one bit at most. Their complete
 distance decides: near ones are linked, far ones are not, and pairs between (from four deviations under what the
-similarity gives to two and a half over it) are decided by the exact similarity of their texts' shingles, which only such pairs read. Segments of 28
+similarity gives to two and a half over it) are decided by the exact similarity of their texts' shingles, which only such pairs read. Segments of 32
 bits keep chance hits rare. What share of pairs is found at which similarity is measured in ``tests/llm``.
 
 Two rounds: first documents with an equal segment are linked to the least doc_id among them, and components found; then the
@@ -29,9 +29,9 @@ from loomdoc.llm.shared import written
 from loomdoc.llm.simhash import shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-SEGMENTS, SEGMENT_BITS = 9, 28
+SEGMENTS, SEGMENT_BITS = 12, 32
 BITS = SEGMENTS * SEGMENT_BITS
-_MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def reach(similarity: float, deviations: float) -> int:
@@ -41,20 +41,20 @@ def reach(similarity: float, deviations: float) -> int:
 
 
 def code(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Nine numbers of 28 bits."""
-    n, counts = 0, np.zeros(256, np.int64)
+    """Twelve numbers of 32 bits."""
+    n, counts = 0, np.zeros(BITS, np.int64)
     for hashes in shingle_hashes(text, words):
         n += len(hashes)
-        wide = np.empty((len(hashes), 4), "<u8")
+        wide = np.empty((len(hashes), BITS // 64), "<u8")
         wide[:, 0] = hashes
         for k, m in enumerate(_MIX, 1):
             x = (hashes ^ (hashes >> np.uint64(31))) * m
             wide[:, k] = x ^ (x >> np.uint64(29))
         bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
         full = len(bits) // 255 * 255  # sums of 255 bits fit in a byte
-        counts += bits[:full].reshape(-1, 255, 256).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         counts += bits[full:].sum(axis=0, dtype=np.int64)
-    on = (2 * counts[:BITS] > n).reshape(SEGMENTS, SEGMENT_BITS)
+    on = (2 * counts > n).reshape(SEGMENTS, SEGMENT_BITS)
     return on @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
 
 
