@@ -1,17 +1,18 @@
-"""Near-duplicate classes at a similarity of word shingles, by SimHash codes of 384 bits and multi-index hashing.
+"""Near-duplicate classes at a similarity of word shingles, by an exact join of shingle sets.
 
-A similarity of 0.8 moves some 15 in 100 bits of a SimHash, more than a table of 64 bits can be searched for. So a code has
-twelve segments of 32 bits; two codes are held against each other if some segment differs in one bit at most. Their complete
-distance decides: near ones are linked, far ones are not, and pairs between (from four deviations under what the
-similarity gives to two and a half over it) are decided by the exact similarity of their texts' shingles, which only such pairs read. Segments of 32
-bits keep chance hits rare. What share of pairs is found at which similarity is measured in ``tests/llm``.
+Two sets are similar if they have ``similarity`` of their union in common. With all shingles in one order, similar sets
+then share one of the first n - ceil(similarity * n) + 1 of each (prefix filtering), so these are the keys of a text. Any
+order gives all pairs; shingles that many texts of a sample have come last, so that a common passage is no key. A
+candidate is held against sketches of 256 bits, which drop a pair at 0.8 in fewer than one of 10^7 cases, and what they
+leave is decided by the shingles themselves.
 
-Two rounds: first documents with an equal segment are linked to the least doc_id among them, and components found; then the
-components' least ones alone enumerate the balls of radius 1 in each segment. So a large group of near copies has mostly
-become one row before the balls are made. In a key each member is held against the least and against the one before it, so
-a key with n members makes 2 n pairs at most.
+Classes are components of similar pairs, so pairs within a class need not be met. Two rounds link the members of a key to
+one of them: any one first, then the one with the most links yet, which for copies of one original is the original. Then
+every two members of a key that are in different components are compared, whatever they are to others. So a large group of
+near copies is one component before pairs are made, and no partner is left out.
 
-Edge cases are those of ``loomdoc.llm.simhash``: texts without words have the code zero, and rows without a doc_id stay.
+A node is a distinct set of shingles. Texts without words are one node, as are texts that differ in case and white space
+alone. Rows without a doc_id stay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.components import components
@@ -29,105 +31,178 @@ from loomdoc.llm.shared import written
 from loomdoc.llm.simhash import shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-SEGMENTS, SEGMENT_BITS = 12, 32
-BITS = SEGMENTS * SEGMENT_BITS
-_MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-
-
-def reach(similarity: float, deviations: float) -> int:
-    """The distance expected of a Jaccard similarity, and so many deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(BITS * p + deviations * math.sqrt(BITS * p * (1 - p)))
-
-
-def code(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Twelve numbers of 32 bits."""
-    n, counts = 0, np.zeros(BITS, np.int64)
-    for hashes in shingle_hashes(text, words):
-        n += len(hashes)
-        wide = np.empty((len(hashes), BITS // 64), "<u8")
-        wide[:, 0] = hashes
-        for k, m in enumerate(_MIX, 1):
-            x = (hashes ^ (hashes >> np.uint64(31))) * m
-            wide[:, k] = x ^ (x >> np.uint64(29))
-        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
-        full = len(bits) // 255 * 255  # sums of 255 bits fit in a byte
-        counts += bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        counts += bits[full:].sum(axis=0, dtype=np.int64)
-    on = (2 * counts > n).reshape(SEGMENTS, SEGMENT_BITS)
-    return on @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
-
-
-def codes(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, code)."""
+#: Of so many texts one is searched for frequent shingles; so many of these must have it; so many are listed at most. Only
+#: the order of shingles depends on it.
+SAMPLE, SEEN, LISTED = 16, 4, 1 << 18
+SKETCH = 256
+LONGS = [f"s{k}" for k in range(SKETCH // 64)]
+#: Standard deviations under what the similarity gives, from which a sketch drops a pair.
+DEVIATIONS = 6.5
+_RANDOM = np.random.default_rng(SKETCH)
+_XOR = _RANDOM.integers(0, 1 << 32, SKETCH, np.uint32)
+_TIMES = _RANDOM.integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    parts = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def node_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit of the least value under each of SKETCH hash functions."""
+    least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    for i in range(0, len(low), 1024):
+        np.minimum(least, ((low[i : i + 1024, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
+    mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    return np.packbits((mixed >> np.uint32(31)).astype(np.uint8)).view(np.int64)
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles, frequent ones last: similar sets have one of them in common."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    at = np.minimum(np.searchsorted(frequent, shingles), max(len(frequent) - 1, 0))
+    known = frequent[at] == shingles if len(frequent) else np.zeros(n, bool)
+    return np.concatenate([shingles[~known], shingles[known]])[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def frequent_shingles(df: DataFrame, words: int) -> np.ndarray:
+    """Sorted shingles that several texts of a sample have, exact copies aside."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [code(t, words).tolist() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "code": found})
-
-    return df.select("doc_id", "text").mapInPandas(of, "doc_id bigint, code array<bigint>")
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            yield pd.DataFrame({"node": [node_of(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+
+    sample = df.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    rows = sample.mapInPandas(of, "node bigint, shingles array<bigint>").select("node", F.explode("shingles").alias("token"))
+    counts = written(rows.distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN), "frequent")
+    least, listed = SEEN, 0
+    for n, k in sorted((tuple(r) for r in counts.groupBy("n").count().collect()), reverse=True):
+        listed += k
+        if listed > LISTED:
+            least = n + 1
+            break
+    found = [r[0] for r in counts.filter(F.col("n") >= least).select("token").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def signatures(df: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, node, n, s0.., tokens): n is the size of the set, tokens are its keys."""
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(df, words))
 
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            sketches = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(LONGS))
+            out = {"doc_id": batch["doc_id"].astype("Int64"), "node": [node_of(s) for s in sets], "n": [len(s) for s in sets]}
+            out |= {name: sketches[:, k] for k, name in enumerate(LONGS)}
+            yield pd.DataFrame(out | {"tokens": [prefix(s, frequent.value, similarity).view(np.int64) for s in sets]})
 
-def _keys(reps: DataFrame, radius: int) -> DataFrame:
-    """(key, rep): a key is a segment's number and a value at most ``radius`` (0 or 1) bits from the segment's."""
-    segments = reps.select("rep", F.posexplode("code").alias("segment", "value"))
-    base = F.shiftleft(F.col("segment").cast("long"), SEGMENT_BITS).bitwiseOR(F.col("value"))
-    if not radius:
-        return segments.select(base.alias("key"), "rep")
-    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(SEGMENT_BITS)))])
-    ball = segments.select("rep", base.alias("base"), F.explode(masks).alias("mask"))
-    return ball.select(F.col("base").bitwiseXOR(F.col("mask")).alias("key"), "rep")
+    longs = ", ".join(f"{name} bigint" for name in LONGS)
+    return df.select("doc_id", "text").mapInPandas(of, f"doc_id bigint, node bigint, n int, {longs}, tokens array<bigint>")
 
 
-def shingle_sets(df: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles): the sorted distinct hashes of a text's shingles."""
+def shingle_sets(df: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the texts of ``asked`` (doc_id, node)."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                parts = list(shingle_hashes(text, words))
-                yield pd.DataFrame({"doc_id": [doc_id], "shingles": [np.unique(np.concatenate(parts)).view(np.int64) if parts else []]})
+            for text in batch["text"]:
+                s = shingle_set(text, words)
+                yield pd.DataFrame({"node": [node_of(s)], "shingles": [s.view(np.int64)]})
 
-    return df.select("doc_id", "text").mapInPandas(of, "doc_id bigint, shingles array<bigint>")
+    texts = df.select("doc_id", "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = texts.select("text").mapInPandas(of, "node bigint, shingles array<bigint>")
+    return sets.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) that are similar: by the distance of their codes, or by their shingles if that is not clear."""
-    of = lambda side: reps.select(F.col("rep").alias(side), F.col("code").alias(f"{side}_code"))
+def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, apart) of distinct pairs that sizes and sketches leave."""
+    of = lambda side: nodes.select(F.col("node").alias(side), F.struct("n", *LONGS).alias(f"{side}_is"))
     joined = pairs.distinct().join(of("u"), "u").join(of("v"), "v")
-    apart = F.zip_with("u_code", "v_code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    joined = joined.select("u", "v", F.aggregate(apart, F.lit(0), lambda s, x: s + x).alias("apart"))
-    joined = written(joined.filter(F.col("apart") <= reach(similarity, 2.5)), "pairs")
-    clear = F.col("apart") <= reach(similarity, -4)
-    open_ = joined.filter(~clear).select("u", "v")
-    asked = open_.select(F.col("u").alias("doc_id")).union(open_.select("v")).distinct()
-    sets = shingle_sets(df.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words)
-    sets = written(sets, "shingles")
-    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"{side}_set"))
-    both = open_.join(of("u"), "u").join(of("v"), "v").withColumn("common", F.size(F.array_intersect("u_set", "v_set")))
-    alike = F.col("common") >= similarity * (F.size("u_set") + F.size("v_set") - F.col("common"))
-    return joined.filter(clear).select("u", "v").unionByName(both.filter(alike).select("u", "v"))
+    a, b = F.col("u_is.n"), F.col("v_is.n")
+    apart = sum((F.bit_count(F.col(f"u_is.{s}").bitwiseXOR(F.col(f"v_is.{s}"))) for s in LONGS), F.lit(0))
+    p = (1 - similarity) / 2
+    far = SKETCH * p + DEVIATIONS * math.sqrt(SKETCH * p * (1 - p))
+    sized = F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    return joined.filter(sized).select("u", "v", apart.alias("apart")).filter(F.col("apart") <= far)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingles are alike."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("common", F.size(F.array_intersect("u_set", "v_set")))
+    alike = F.col("common") >= similarity * (F.size("u_set") + F.size("v_set") - F.col("common")) - 1e-9
+    return both.filter(alike).select("u", "v")
+
+
+def _to_one(keys: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Pairs (u, v): each member of a key and one of them, the one that most ``links`` have."""
+    hash_ = F.xxhash64("token")
+    if links is None:
+        hubs = keys.groupBy("token").agg(F.min(F.col("node").bitwiseXOR(hash_)).alias("hub"))
+    else:
+        degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+        ranked = keys.join(degree, "node")
+        hubs = ranked.groupBy("token").agg(F.max(F.struct("links", F.col("node").bitwiseXOR(hash_).alias("hub"))).alias("best"))
+        hubs = hubs.select("token", F.col("best.hub").alias("hub"))
+    hubs = hubs.select("token", F.col("hub").bitwiseXOR(hash_).alias("v"))
+    return keys.join(hubs, "token").select(F.col("node").alias("u"), "v")
+
+
+def _across(keys: DataFrame) -> DataFrame:
+    """Pairs (u, v): all members of a key that are in different components."""
+    mixed = keys.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+    open_ = keys.join(mixed, "token", "left_semi")
+    u = open_.select("token", F.col("node").alias("u"), F.col("component").alias("u_in"), F.col("n").alias("u_n"))
+    v = open_.select("token", F.col("node").alias("v"), F.col("component").alias("v_in"), F.col("n").alias("v_n"))
+    return u.join(v, "token").filter("u > v AND u_in <> v_in").select("u", "v")
+
+
+def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
+    return keys.join(components(links).withColumnRenamed("component", "c"), "node", "left").select("token", "node", "n", F.coalesce("c", "node").alias("component"))
 
 
 def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of rows that are not alone: component_id is the least doc_id of the class."""
-    found = written(codes(df, words), "codes").filter("doc_id IS NOT NULL")
-    reps = written(found.groupBy("code").agg(F.min("doc_id").alias("rep")), "reps")
-
-    keys = _keys(reps, 0)
-    least = keys.groupBy("key").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "v")
-    pairs = keys.join(least, "key").filter("rep <> v").select(F.col("rep").alias("u"), "v")
-    equal = components(_verified(pairs, reps, df, words, similarity)).select(F.col("node").alias("u"), F.col("component").alias("v"))
-
-    tops = reps.join(equal.select(F.col("u").alias("rep")), "rep", "left_anti")
-    order = Window.partitionBy("key").orderBy("rep")
-    near = _keys(tops, 1).select("rep", F.first("rep").over(order).alias("least"), F.lag("rep").over(order).alias("before"))
-    near = near.filter("before IS NOT NULL").select(F.col("rep").alias("u"), F.explode(F.array("least", "before")).alias("v"))
-    joined = components(equal.unionByName(_verified(near, reps, df, words, similarity)))
-
-    of_code = reps.join(joined, F.col("rep") == F.col("node"), "left").select("code", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(of_code, "code").select("doc_id", "component_id")
+    """(doc_id, component_id): component_id is the least doc_id of the class."""
+    found = written(signatures(df, words, similarity), "signatures").filter("doc_id IS NOT NULL")
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in LONGS])
+    nodes = written(nodes, "nodes")
+    rows = found.select("node", "n", F.explode("tokens").alias("token"))
+    shared = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    keys = written(rows.join(shared, "token", "left_semi").distinct(), "keys")
+
+    links, sets = None, None
+    for turn in ("any", "most", "all"):
+        if turn == "all":
+            pairs = _across(_with_component(keys, links))
+        else:
+            pairs = _to_one(keys, links).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        pairs = likely(pairs, nodes, similarity)
+        if turn == "any":  # the nearest of them will do
+            pairs = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+        if links is not None:
+            pairs = pairs.join(links, ["u", "v"], "left_anti")
+        pairs = written(pairs.select("u", "v"), "pairs")
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        asked = asked if sets is None else asked.join(sets.select("node"), "node", "left_anti")
+        new = written(shingle_sets(df, nodes.select("doc_id", "node").join(asked, "node", "left_semi"), words), "shingles")
+        sets = new if sets is None else sets.unionByName(new)
+        new = similar(pairs, sets, similarity)
+        links = written(new if links is None else links.unionByName(new), "links")
+
+    in_class = nodes.select("node", "doc_id").join(components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
+    least = in_class.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    of_node = in_class.join(least, "c").select("node", "component_id")
+    return found.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
 
 
 def without_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

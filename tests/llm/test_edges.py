@@ -313,3 +313,40 @@ def test_huffman():
         ids = rng.choice(np.flatnonzero(counts), int(n_ids.sum()))
         coded, at, marks, _ = huffman.encode(ids, n_ids, lengths, huffman.canonical_codes(lengths))
         assert (huffman.Decoder(lengths).decode(coded, at[:-1], n_ids, marks) == ids).all()
+
+
+def classes_of(spark, texts):
+    """doc_ids of ``texts`` by their class, as found and as all pairs give them."""
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    first = list(range(len(texts)))
+
+    def top(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((top(i), top(j)))
+                first[b] = a
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in similar.classes(rows).collect()}
+    return [found[i] for i in range(len(texts))], [top(i) for i in range(len(texts))]
+
+
+def test_copies_meet_an_original_of_any_doc_id(spark):
+    """Copies that are similar to their original only, which is not the least of them."""
+    rng = np.random.default_rng(21)
+    vocabulary, texts = [f"w{i}" for i in range(5000)], []
+    for _ in range(12):
+        words = rng.choice(vocabulary, 300).tolist()
+        for _ in range(20):
+            other = list(words)
+            for i in rng.choice(300, 5, replace=False):
+                other[i] = f"new{rng.integers(1 << 30)}"
+            texts.append(" ".join(other))
+        texts.append(" ".join(words))
+    found, true = classes_of(spark, [texts[i] for i in rng.permutation(len(texts))])
+    assert found == true and len(set(true)) < 20
