@@ -350,3 +350,16 @@ def test_copies_meet_an_original_of_any_doc_id(spark):
         texts.append(" ".join(words))
     found, true = classes_of(spark, [texts[i] for i in rng.permutation(len(texts))])
     assert found == true and len(set(true)) < 20
+
+
+def test_copies_meet_among_texts_with_a_common_passage(spark):
+    """Pairs of near copies in texts that all have one passage of three quarters of their words."""
+    rng = np.random.default_rng(22)
+    vocabulary, texts = [f"w{i}" for i in range(5000)], []
+    passage = rng.choice(vocabulary, 200).tolist()
+    for _ in range(150):
+        words = rng.choice(vocabulary, 60).tolist()
+        other = words[:-22] + rng.choice(vocabulary, 22).tolist()
+        texts += [" ".join(words + passage), " ".join(other + passage)]
+    found, true = classes_of(spark, [texts[i] for i in rng.permutation(len(texts))])
+    assert found == true and len(set(true)) == 150
