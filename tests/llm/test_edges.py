@@ -363,3 +363,15 @@ def test_copies_meet_among_texts_with_a_common_passage(spark):
         texts += [" ".join(words + passage), " ".join(other + passage)]
     found, true = classes_of(spark, [texts[i] for i in rng.permutation(len(texts))])
     assert found == true and len(set(true)) == 150
+
+
+def test_pairs_at_the_similarity_are_found(spark):
+    """Pairs from just under 0.8 to 0.9: all at 0.8 and more are found, and no other."""
+    rng = np.random.default_rng(23)
+    vocabulary, texts = [f"w{i}" for i in range(5000)], []
+    for k in range(200):
+        words = rng.choice(vocabulary, 200).tolist()
+        edits = 10 + k % 16  # words at the end
+        texts += [" ".join(words), " ".join(words[:-edits] + rng.choice(vocabulary, edits).tolist())]
+    found, true = classes_of(spark, texts)
+    assert found == true and 200 < len(set(true)) < 300
