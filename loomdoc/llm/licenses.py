@@ -95,8 +95,18 @@ SPELLINGS = [
     ("whilst", "while"),
     ("wilful", "willful"),
 ]
-#: A line that starts (after marks) with "copyright", "(c)" or the copyright sign and names a year or an owner.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
+#: What follows "copyright" in the clauses of licences, so that a line which is wrapped there names no owner.
+CLAUSE_WORDS = (
+    "holders?|owners?|notices?|laws?|licen[sc]es?|statements?|interests?|protections?|claims?|treat(?:y|ies)|acts?|status|permissions?|disclaimers?|"
+    "rights?|and|or|in|on|to|is|are|was|has|have|may|shall|will|for|as|with|that|which|under|of|at|from|if|be|not|can"
+)
+#: A line that starts (after marks) with "(c)" or the copyright sign, or with "copyright" and a year, a sign or an owner.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t*#/;-]*(\(c\)|©|copyright[ \t:,.-]*+(?:\(c\)|©|[0-9]{4})"
+    rf"|copyright[ \t:]++(?!(?:{CLAUSE_WORDS})\b(?!:))[\p{{L}}\p{{N}}<\[{{\"'])[^\n]*"
+)
+#: The SQL has the pattern as it was: there, a line of a clause that starts with "copyright" is removed as well.
+SQL_COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
 
 
 def without_marks(text: Column) -> Column:
@@ -144,7 +154,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     def form(c: str) -> str:
         c = f"lower(coalesce({c}, ''))"
-        c = f"regexp_replace({c}, '{COPYRIGHT_LINE}', chr(10), 'g')"
+        c = f"regexp_replace({c}, '{SQL_COPYRIGHT_LINE}', chr(10), 'g')"
         c = f"trim(regexp_replace({c}, '[^a-z0-9]+', ' ', 'g'))"
         for found, put in SPELLINGS:
             c = f"regexp_replace({c}, '\\b{found}\\b', '{put}', 'g')"

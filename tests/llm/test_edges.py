@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeats, clashing columns and empty tables."""
 
 import hashlib
+import textwrap
 import zlib
 from collections import Counter
 
@@ -195,6 +196,15 @@ def test_licenses(spark):
     assert licenses.scan_licenses(brute.empty(spark)).count() == 0
 
 
+def test_licenses_at_any_wrapping(spark):
+    """Known texts on one line and at several widths; copyright lines with a year, a sign or an owner still go."""
+    wrapped = [(name, t) for name, text in licenses.KNOWN.items() for t in (text, " ".join(text.split()), *(textwrap.fill(text, w) for w in range(20, 121)))]
+    wrapped += [("MIT", f"{line}\n\n{licenses.KNOWN['MIT']}") for line in ("Copyright 2020 Jo", "copyright (c) Jo", "Copyright: © Jo", "Copyright The Jo Authors", "(c) Jo", "© 2020", "Copyright holder: Jo")]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(wrapped)], "doc_id bigint, text string")).collect()}
+    lost = [name for i, (name, _) in enumerate(wrapped) if got[i] != name]
+    assert not lost, (len(lost), len(wrapped))
+
+
 def test_toxicity(spark):
     texts, labels = [], []
     for i in range(400):
