@@ -39,11 +39,32 @@ MAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9-]{1,63
 DATE = rf"{_LEFT}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}){_RIGHT}"
 IP = rf"(?<![0-9A-Za-z.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9A-Za-z]|\.[0-9])"
 SSN = rf"{_LEFT}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_RIGHT}"
-PHONE = rf"(?<![0-9A-Za-z+])\+[0-9]{{1,3}}(?:[ .-]?\([0-9]{{1,4}}\))?(?:[ .-]?[0-9]{{2,12}}){{1,5}}{_RIGHT}"
 CARD = (
     rf"{_LEFT}(?:[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{1,7}}|[0-9]{{4}}([ -])[0-9]{{6}}\2[0-9]{{5}}|[0-9]{{13,19}}){_RIGHT}"
 )
-IBAN = rf"{_LEFT}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_RIGHT}"
+#: Other formats, which a phone number does not run into behind a space. A card with another group behind it may start with
+#: the phone number's last group.
+OTHERS = "|".join((CARD.replace(r"\1", r"\k<a>").replace(r"\2", r"\k<b>").replace("([ -])", "(?<a>[ -])", 1).replace("([ -])", "(?<b>[ -])", 1) + "(?![ -][0-9])", DATE, IP, SSN, MAIL))
+#: 7 to 15 digits, counted from the plus sign; Java looks behind for written-out repeats only.
+COUNTED = "(?<=" + "|".join(r"\+[0-9]" + "[^0-9+]{0,2}[0-9]" * n for n in range(6, 15)) + ")"
+_AREA = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?"
+#: The second form is for numbers that would be too short without what looks like another format.
+PHONE = rf"{_AREA}(?:(?! (?:{OTHERS}))[ .-]?[0-9]{{2,12}}){{1,5}}{COUNTED}{_RIGHT}|{_AREA}(?:[ .-]?[0-9]{{2,12}}){{1,5}}{COUNTED}{_RIGHT}"
+# Lengths of the countries' IBANs, as the registry has them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(n: int) -> str:
+    return rf"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+
+_OF_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}{_account(n - 4)}" for n, c in IBAN_LENGTHS.items())
+#: By the country's length, or else as long as it goes.
+IBAN = rf"{_LEFT}(?=[A-Z]{{2}}[0-9]{{2}})(?:{_OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?){_RIGHT}"
 KINDS = {"card": CARD, "date": DATE, "ip": IP, "ssn": SSN, "phone": PHONE, "iban": IBAN, "mail": MAIL}
 #: Order matters where two could start at one place.
 PATTERN = "|".join(f"(?:{p})" for p in (CARD, DATE, IP, SSN, PHONE, IBAN, MAIL))

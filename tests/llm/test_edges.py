@@ -69,6 +69,29 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_pseudonyms_before_other_values(spark):
+    """A phone number or IBAN takes nothing of what follows it."""
+    iban, phone = "ES9121000418450200051332", "+1 (017) 555-7713"
+    texts = [
+        (f"{phone} 97.51.17.173", {"phone": 1, "ip": 1}),
+        (f"{phone} 4111 1111 1111 1111", {"phone": 1, "card": 1}),
+        (f"{phone} 4111111111111111", {"phone": 1, "card": 1}),
+        ("+1 017 555 7713 4111 1111 1111 1111", {"phone": 1, "card": 1}),
+        (f"{phone} 2020-02-29", {"phone": 1, "date": 1}),
+        (f"{phone} 123-45-6789 x", {"phone": 1, "ssn": 1}),
+        (f"{phone} 42@mail.example.com", {"phone": 1, "mail": 1}),
+        (f"{phone} 12 34 56 78 90 12", {"phone": 1}),
+        ("+1 912-34-5678 +12025550143 +49 30 123456", {"phone": 3}),
+        (f"{iban} EUR", {"iban": 1}),
+        ("DE89 3704 0044 0532 0130 00 AB GB82 WEST 1234 5698 7654 32 1234", {"iban": 2}),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(rows).collect()}
+    wrong = [(t, got[i]["text"], got[i]["entities"]) for i, (t, kinds) in enumerate(texts) if got[i]["entities"] != kinds]
+    assert not wrong, wrong
+    assert phone not in got[0]["text"] and "97.51.17.173" not in got[0]["text"] and iban not in got[9]["text"] and got[9]["text"].endswith(" EUR")
+
+
 def test_permutations_are_permutations(spark):
     from pyspark.sql import functions as F
 
