@@ -10,7 +10,8 @@ permutation within its format, so equal values have equal pseudonyms in all docu
 - IPv4 addresses: the 32 bits are permuted.
 - dates (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy): the day is permuted within 1920-01-01 to 2060-03-07, or within its own year
   if it is outside.
-- mail addresses: letters and digits of the local part are permuted within their kinds, the domain stays.
+- mail addresses: letters and digits of the local part are permuted within their kinds, the domain stays. A local part
+  with other than ASCII characters becomes a keyed token of 16 hex digits.
 
 Candidates that fail validation stay. The text is put together from the pieces between the matches, so nothing else
 changes. Permutations of few characters can keep a value as it is; a pseudonym is a permutation, not a deletion.
@@ -238,7 +239,9 @@ def _date(key: str, found: Column) -> Column:
 
 def _mail(key: str, found: Column) -> Column:
     local = F.substring_index(found, "@", 1)
-    return F.concat(permuted_characters(key, "mail", local), F.lit("@"), F.substring_index(found, "@", -1))
+    token = F.substring(F.sha2(F.concat(F.lit(f"{key}|mail|"), local), 256), 1, 16)
+    put = F.when(local.rlike(r"[^\x00-\x7f]"), token).otherwise(permuted_characters(key, "mail", local))
+    return F.concat(put, F.lit("@"), F.substring_index(found, "@", -1))
 
 
 _PSEUDONYM = {"card": _card, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "iban": _iban, "mail": _mail}

@@ -92,6 +92,16 @@ def test_pseudonyms_before_other_values(spark):
     assert phone not in got[0]["text"] and "97.51.17.173" not in got[0]["text"] and iban not in got[9]["text"] and got[9]["text"].endswith(" EUR")
 
 
+def test_mail_of_any_letters(spark):
+    """No letter of a local part is left in the clear, and equal ones have equal pseudonyms."""
+    locals_ = ["\u0438\u0432\u0430\u043d", "\u0438\u0432\u0430\u043d", "j\u00f6rg.m", "\u5f20\u4f1f", "\u0663\u0664"]
+    rows = spark.createDataFrame([(i, f"to {x}@mail.example.com") for i, x in enumerate(locals_)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(rows).collect()}
+    new = [got[i]["text"].removeprefix("to ").removesuffix("@mail.example.com") for i in range(5)]
+    assert all(x.isascii() and x.isalnum() for x in new) and new[0] == new[1] and len(set(new)) == 4
+    assert all(got[i]["entities"] == {"mail": 1} for i in got)
+
+
 def test_permutations_are_permutations(spark):
     from pyspark.sql import functions as F
 
