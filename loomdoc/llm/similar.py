@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.components import components
@@ -124,16 +124,20 @@ def shingle_sets(df: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     return sets.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def alike_enough(a, b, similarity: float) -> tuple[Column, Column]:
+    """Whether sizes and sketches of rows ``a`` and ``b`` leave a pair, and how far apart the sketches are."""
+    apart = sum((F.bit_count(a(s).bitwiseXOR(b(s))) for s in LONGS), F.lit(0))
+    p = (1 - similarity) / 2
+    far = SKETCH * p + DEVIATIONS * math.sqrt(SKETCH * p * (1 - p))
+    return (F.least(a("n"), b("n")) >= similarity * F.greatest(a("n"), b("n")) - 1e-9) & (apart <= far), apart
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(u, v, apart) of distinct pairs that sizes and sketches leave."""
     of = lambda side: nodes.select(F.col("node").alias(side), F.struct("n", *LONGS).alias(f"{side}_is"))
     joined = pairs.distinct().join(of("u"), "u").join(of("v"), "v")
-    a, b = F.col("u_is.n"), F.col("v_is.n")
-    apart = sum((F.bit_count(F.col(f"u_is.{s}").bitwiseXOR(F.col(f"v_is.{s}"))) for s in LONGS), F.lit(0))
-    p = (1 - similarity) / 2
-    far = SKETCH * p + DEVIATIONS * math.sqrt(SKETCH * p * (1 - p))
-    sized = F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    return joined.filter(sized).select("u", "v", apart.alias("apart")).filter(F.col("apart") <= far)
+    left, apart = alike_enough(lambda c: F.col(f"u_is.{c}"), lambda c: F.col(f"v_is.{c}"), similarity)
+    return joined.filter(left).select("u", "v", apart.alias("apart"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -158,17 +162,25 @@ def _to_one(keys: DataFrame, links: DataFrame | None) -> DataFrame:
     return keys.join(hubs, "token").select(F.col("node").alias("u"), "v")
 
 
-def _across(keys: DataFrame) -> DataFrame:
-    """Pairs (u, v): all members of a key that are in different components."""
+def _across(keys: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v): all members of a key that are in different components, if sizes, sketches and places leave them.
+
+    A key that is the first one of a pair leaves the pair 1 and what is behind it in common at most. Similar pairs have
+    enough behind their first key, so those that have not can be left to other keys.
+    """
     mixed = keys.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    open_ = keys.join(mixed, "token", "left_semi")
-    u = open_.select("token", F.col("node").alias("u"), F.col("component").alias("u_in"), F.col("n").alias("u_n"))
-    v = open_.select("token", F.col("node").alias("v"), F.col("component").alias("v_in"), F.col("n").alias("v_n"))
-    return u.join(v, "token").filter("u > v AND u_in <> v_in").select("u", "v")
+    open_ = keys.join(mixed, "token", "left_semi").join(nodes.select("node", "n", *LONGS), "node")
+    of = lambda side: open_.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "place", "n", *LONGS)])
+    u, v = (lambda c: F.col(f"u_{c}")), (lambda c: F.col(f"v_{c}"))
+    left, _ = alike_enough(u, v, similarity)
+    behind = F.least(u("n") - u("place"), v("n") - v("place")) >= similarity / (1 + similarity) * (u("n") + v("n")) - 1e-6
+    pairs = of("u").join(of("v"), "token").filter((u("node") > v("node")) & (u("component") != v("component")) & behind & left)
+    return pairs.select(u("node").alias("u"), v("node").alias("v")).distinct()
 
 
 def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
-    return keys.join(components(links).withColumnRenamed("component", "c"), "node", "left").select("token", "node", "n", F.coalesce("c", "node").alias("component"))
+    joined = keys.join(components(links).withColumnRenamed("component", "c"), "node", "left")
+    return joined.select("token", "node", "place", F.coalesce("c", "node").alias("component"))
 
 
 def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -176,17 +188,17 @@ def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     found = written(signatures(df, words, similarity), "signatures").filter("doc_id IS NOT NULL")
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in LONGS])
     nodes = written(nodes, "nodes")
-    rows = found.select("node", "n", F.explode("tokens").alias("token"))
+    rows = found.select("node", F.posexplode("tokens").alias("place", "token"))
     shared = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
     keys = written(rows.join(shared, "token", "left_semi").distinct(), "keys")
 
     links, sets = None, None
     for turn in ("any", "most", "all"):
         if turn == "all":
-            pairs = _across(_with_component(keys, links))
+            pairs = _across(_with_component(keys, links), nodes, similarity)
         else:
             pairs = _to_one(keys, links).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        pairs = likely(pairs, nodes, similarity)
+            pairs = likely(pairs, nodes, similarity)
         if turn == "any":  # the nearest of them will do
             pairs = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
         if links is not None:
