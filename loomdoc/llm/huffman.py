@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Longest code, and so the bits by which the decoding table is addressed.
+#: Longest code where there are not too many ids for it, and so the bits by which the decoding table is addressed.
 LIMIT = 16
 #: A checkpoint (a bit offset) stands at each document's id 0, 64, 128, ...
 EVERY = 64
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """The length of each id's code (0: the id does not occur) that makes the total shortest, by package-merge."""
+    """The length of each id's code (0: the id does not occur) that makes the total shortest, by package-merge.
+
+    More ids than ``limit`` bits can tell apart get the bits they need.
+    """
     ids = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
-    if len(ids) > 1 << limit:
-        raise ValueError(f"{len(ids)} ids have no codes of at most {limit} bits")
+    limit = max(limit, (len(ids) - 1).bit_length())
     if len(ids) <= 1:
         lengths[ids] = 1
         return lengths
@@ -52,6 +54,11 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+def window_bytes(lengths: np.ndarray) -> int:
+    """Over how many bytes a code can spread."""
+    return (max(LIMIT, int(lengths.max(initial=0))) + 14) // 8
+
+
 def encode(ids: np.ndarray, n_ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """Codes of documents that lie one after another in ``ids``, each starting at a full byte.
 
@@ -67,22 +74,24 @@ def encode(ids: np.ndarray, n_ids: np.ndarray, lengths: np.ndarray, codes: np.nd
     at = np.concatenate([[0], np.cumsum(n_bytes)])
     in_doc = ends - bits - np.repeat(before, n_ids)
     position = in_doc + np.repeat(at[:-1] << 3, n_ids)
-    window = codes[ids].astype(np.int64) << (24 - bits - (position & 7))
-    byte, size = position >> 3, int(at[-1]) + 3
-    total = np.bincount(byte, window >> 16, size)
-    total[1:] += np.bincount(byte, (window >> 8) & 255, size)[:-1]
-    total[2:] += np.bincount(byte, window & 255, size)[:-2]
+    spread = window_bytes(lengths)
+    window = codes[ids].astype(np.int64) << (8 * spread - bits - (position & 7))
+    byte, size = position >> 3, int(at[-1]) + spread
+    total = np.zeros(size)
+    for k in range(spread):
+        total[k:] += np.bincount(byte, window >> 8 * (spread - 1 - k) & 255, size)[: size - k]
     n_marks = (n_ids + EVERY - 1) // EVERY
     mark = np.repeat(first, n_marks) + EVERY * (np.arange(n_marks.sum()) - np.repeat(np.cumsum(n_marks) - n_marks, n_marks))
     return total[: at[-1]].astype(np.uint8).tobytes(), at, in_doc[mark].astype(np.uint32), n_marks
 
 
 class Decoder:
-    """Reads ``LIMIT`` bits at a time from a table of ids and lengths; all stretches between checkpoints in step."""
+    """Reads as many bits as the longest code has at a time from a table of ids and lengths; all stretches between checkpoints in step."""
 
-    def __init__(self, lengths: np.ndarray, limit: int = LIMIT):
+    def __init__(self, lengths: np.ndarray):
         codes, ids = canonical_codes(lengths), np.flatnonzero(lengths)
-        self.limit = limit
+        self.limit = limit = max(LIMIT, int(lengths.max(initial=0)))
+        self.spread = window_bytes(lengths)
         self.id = np.zeros(1 << limit, np.uint32)
         self.length = np.ones(1 << limit, np.uint8)
         ids = ids[np.argsort(codes[ids].astype(np.int64) << (limit - lengths[ids].astype(np.int64)), kind="stable")]
@@ -92,8 +101,10 @@ class Decoder:
 
     def decode(self, coded: bytes, at: np.ndarray, n_ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """The ids of documents of ``n_ids`` ids that start at bytes ``at``, with their checkpoints one after another."""
-        data = np.frombuffer(coded + b"\0\0\0", np.uint8).astype(np.uint32)
-        window = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+        data = np.frombuffer(coded + bytes(self.spread), np.uint8).astype(np.uint32)
+        window = np.zeros(len(data) - self.spread + 1, np.uint32)
+        for k in range(self.spread):
+            window |= data[k : k + len(window)] << np.uint32(8 * (self.spread - 1 - k))
         n_marks = (n_ids + EVERY - 1) // EVERY
         ordinal = np.arange(n_marks.sum()) - np.repeat(np.cumsum(n_marks) - n_marks, n_marks)
         place = np.repeat(np.cumsum(n_ids) - n_ids, n_marks) + EVERY * ordinal
@@ -106,7 +117,7 @@ class Decoder:
             n = int(np.searchsorted(-left, -step, side="left"))  # stretches with more than ``step`` ids
             if not n:
                 break
-            peek = window[position[:n] >> 3] >> (24 - self.limit - (position[:n] & 7)).astype(np.uint32) & ((1 << self.limit) - 1)
+            peek = window[position[:n] >> 3] >> (8 * self.spread - self.limit - (position[:n] & 7)).astype(np.uint32) & ((1 << self.limit) - 1)
             out[place[:n] + step] = self.id[peek]
             position[:n] += self.length[peek]
         return out

@@ -20,7 +20,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ SQL = None
 
 SIZE, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
+PLACED = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,37 +43,52 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, rank bigint"
+
+
+def numbered(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How often each value came before, ``seen`` (which is counted on) included."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(values)]
+    begin = np.flatnonzero(first)
+    number = np.empty(len(values), np.int64)
+    number[order] = np.arange(len(values)) - np.repeat(begin, np.diff(np.append(begin, len(values)))) + seen[ordered]
+    seen += np.bincount(values, minlength=len(seen))
+    return number
+
+
 def cut_pieces(df: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, task, rank): rank counts a length's pieces within a task from 0."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, task, seen = encoder(path, end_id, keeps_spaces=False), TaskContext.get().partitionId(), defaultdict(int)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, task, seen = encoder(path, end_id, keeps_spaces=False), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            rows = []
-            for doc, ids in zip(batch["doc_id"], coder.encode(batch["text"].tolist()), strict=True):
-                n = len(ids) // 4
-                for start in range(0, n, size):
-                    length = min(size, n - start)
-                    rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, task, seen[length]))
-                    seen[length] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"]).astype({"doc_id": "Int64"})
-        coder.rest()
+            row = 0
+            for ids, n in coder.encode(batch["text"]):
+                doc = np.repeat(np.arange(len(n)), -(-n // size))
+                start = numbered(doc, np.zeros(len(n), np.int64)) * size
+                length = np.minimum(size, n[doc] - start)
+                at = (np.cumsum(n) - n)[doc] + start
+                view = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [batch["doc_id"].take(pa.array(doc + row)), start, length, crc, n[doc], np.full(len(doc), task), numbered(length, seen)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in PIECES.split(", ")])
+                row += len(n)
 
-    return df.select("doc_id", "text").mapInPandas(
-        cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, rank bigint"
-    )
+    return df.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
 def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths longest first, number of packs) for each pattern; every piece of the histogram is in one.
 
-    Shortest-pack-first: a length goes to the open packs with the most room. Open patterns are kept by room.
+    Shortest-pack-first: a length goes to the open packs with the most room. Open patterns are kept by room, each as its
+    last length and the pattern that it was added to.
     """
-    open_by_room: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    open_by_room: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
     rooms: list[int] = []  # sorted; rooms that have patterns
 
-    def put(pattern: tuple[int, ...], n: int) -> None:
-        room = size - sum(pattern)
+    def put(room: int, pattern: tuple, n: int) -> None:
         if not open_by_room[room]:
             rooms.insert(bisect_left(rooms, room), room)
         open_by_room[room].append((pattern, n))
@@ -80,22 +96,26 @@ def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ..
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            room = rooms[-1] if rooms and rooms[-1] >= length else None
-            if room is None:
-                put((length,), left)
+            if not rooms or rooms[-1] < length:
+                put(size - length, (length, None), left)
                 break
+            room = rooms[-1]
             pattern, n = open_by_room[room].pop()
             if not open_by_room[room]:
                 rooms.pop()
             taken = min(n, left)
             if n > taken:
-                put(pattern, n - taken)
-            put((*pattern, length), taken)
+                put(room, pattern, n - taken)
+            put(room - length, (length, pattern), taken)
             left -= taken
     merged: dict[tuple[int, ...], int] = defaultdict(int)
     for patterns in open_by_room.values():
         for pattern, n in patterns:
-            merged[pattern] += n
+            lengths = []
+            while pattern:
+                length, pattern = pattern
+                lengths.append(length)
+            merged[tuple(reversed(lengths))] += n
     return sorted(merged.items())
 
 
@@ -133,24 +153,21 @@ def pack_documents(df: DataFrame, path: str | None = None, end_id: int = END_ID,
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
     plan = spark.sparkContext.broadcast((np.searchsorted(slots[:, 0], np.arange(size + 2)), slots))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, slot = plan.value
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_slot, slot = plan.value
         for batch in batches:
-            rank, row = batch.pop("rank").to_numpy(), np.empty(len(batch), np.int64)
-            lengths = batch["length"].to_numpy()
-            for length in np.unique(lengths):
-                mine = lengths == length
-                first, end = at[length], at[length + 1]
+            rank, length = batch["rank"].to_numpy(), batch["length"].to_numpy()
+            row = np.empty(len(rank), np.int64)
+            for k in np.unique(length):
+                mine = length == k
+                first, end = first_slot[k], first_slot[k + 1]
                 row[mine] = first + np.searchsorted(slot[first:end, 1], rank[mine], side="right") - 1
-            batch["sequence_id"] = slot[row, 3] + rank - slot[row, 1]
-            batch["offset"] = slot[row, 4]
-            yield batch
+            found = {"sequence_id": slot[row, 3] + rank - slot[row, 1], "offset": slot[row, 4]}
+            columns = [pa.array(found[c]) if c in found else batch[c] for c in PLACED]
+            yield pa.RecordBatch.from_arrays(columns, list(PLACED))
 
     ranked = with_ranks(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
-    return ranked.mapInPandas(
-        place,
-        "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
-    )
+    return ranked.mapInArrow(place, ", ".join(f"{c} bigint" for c in PLACED))
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
