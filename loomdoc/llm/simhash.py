@@ -1,11 +1,15 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints are computed in Arrow batches. Each distinct fingerprint, with the least doc_id that has it, enumerates the
-balls of radius 1 in its four segments of 16 bits; a table key is one changed segment with the others unchanged, so that a
-hit compares the complete fingerprint. Two fingerprints differ in at most two bits exactly if some key is in both lists.
-All fingerprints of a key are then linked to the least doc_id among them, and the complete distance is verified to be
-within reach: a key with n fingerprints makes n - 1 links, not n * n. Plain lookups by segment alone would emit all pairs
-of a group of near copies. Components of these links are found on the executors.
+A table has each distinct fingerprint under its two segments of 32 bits. Two fingerprints that differ in at most two bits
+differ in at most one bit of some segment, so each looks up the ball of radius 1 around each of its segments, and what the
+table has there is held against it by the complete distance. Of two values that differ in a bit, the one that has it set
+looks up the other, so a ball is the value itself and those with one bit cleared.
+
+A segment value that more than ``CROWD`` fingerprints have (groups of near copies make such values) is not matched member
+by member: whoever finds it enumerates balls in the other segment as well, that is, all fingerprints one bit away. Two
+fingerprints differ in at most two bits exactly if they have one of these in common, and all that have one are linked to the
+least doc_id among them. So a crowd of n makes some 65 n rows and never n * n. Components of these links are found on the
+executors.
 
 Edge cases: null and empty texts and texts of white space have the fingerprint zero, linked like any other; texts of fewer
 words than a shingle are one shingle; repeated rows and equal doc_ids stay rows; rows with a null doc_id get the component
@@ -17,9 +21,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.llm.components import components
@@ -30,11 +34,13 @@ QUERY = "op3_simhash"
 SQL = None
 
 WORDS, SEED = 3, 42
-SEGMENTS, SEGMENT_BITS = 4, 16
+SEGMENT_BITS = 32
+#: Links are at this distance or less: twice the radius of the balls.
+DISTANCE = 2
+#: Fingerprints that a segment value is matched with one by one.
+CROWD = 32
 #: Shingles hashed at once.
 PART = 1 << 15
-#: Links are at twice the radius of the balls.
-RADIUS = 1
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -64,37 +70,70 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def fingerprints(df: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) with fp as a signed 64-bit number."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": found})
+            found = np.array([fingerprint(t, words) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found)], ["doc_id", "fp"])
 
-    return df.select("doc_id", "text").mapInPandas(of, "doc_id bigint, fp bigint")
+    return df.select("doc_id", "text").mapInArrow(of, "doc_id bigint, fp bigint")
 
 
-def masks() -> list[int]:
-    """The bits in which keys differ from a fingerprint: none, and each bit of each segment."""
-    bits = [1 << (SEGMENT_BITS * segment + bit) for segment in range(SEGMENTS) for bit in range(SEGMENT_BITS)]
-    return [0, *(b - (1 << 64) if b >> 63 else b for b in bits)]
+def segment_keys(values: Column, segment: int) -> Column:
+    """Table keys of an array of values of a segment."""
+    return F.transform(values, lambda v: v * 2 + segment)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(u, v): doc_ids of ``distinct`` (fp, rep) whose fingerprints are linked, as stars around each key's least doc_id.
+def segments(fp: Column) -> list[Column]:
+    return [fp.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)), F.shiftrightunsigned(fp, SEGMENT_BITS)]
+
+
+def table_keys(fp: Column) -> Column:
+    return F.concat(*[segment_keys(F.array(value), k) for k, value in enumerate(segments(fp))])
+
+
+def ball_keys(fp: Column) -> Column:
+    """Keys of the balls around both segments: each value, and each with one of its bits cleared."""
+    bits = F.array(*[F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)])
+    ball = lambda v: F.concat(F.array(v), F.transform(F.filter(bits, lambda m: v.bitwiseAND(m) != 0), lambda m: v.bitwiseXOR(m)))
+    return F.concat(*[segment_keys(ball(value), k) for k, value in enumerate(segments(fp))])
+
 
-    A key is in the lists of 65 fingerprints at most, so no key's window can be large.
+def distance(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def crowd_links(members: DataFrame) -> DataFrame:
+    """(u, v): doc_ids of ``members`` (fp, rep) within reach, as stars around the least doc_id of what they have in common.
+
+    65 fingerprints at most are one bit from another or equal to it, so no window is large.
     """
-    ball = distinct.select("fp", "rep", F.explode(F.array(*[F.lit(m).cast("long") for m in masks()])).alias("mask"))
-    ball = ball.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "rep", "fp")
+    masks = [0, *(1 << b for b in range(63)), -(1 << 63)]
+    balls = members.select("fp", "rep", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
+    balls = balls.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "rep", "fp")
     hub = F.first(F.struct("rep", "fp")).over(Window.partitionBy("key").orderBy("rep"))
-    found = ball.withColumn("hub", hub).filter(F.col("rep") != F.col("hub.rep"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= 2 * RADIUS
-    return found.filter(near).select(F.col("rep").alias("u"), F.col("hub.rep").alias("v")).distinct()
+    found = balls.withColumn("hub", hub).filter((F.col("rep") != F.col("hub.rep")) & (distance(F.col("fp"), F.col("hub.fp")) <= DISTANCE))
+    return found.select(F.col("rep").alias("u"), F.col("hub.rep").alias("v"))
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """(u, v): doc_ids of ``distinct`` (fp, rep) whose fingerprints are linked, directly or by others of a crowd."""
+    table = distinct.select(F.explode(table_keys(F.col("fp"))).alias("key"), F.col("fp").alias("other"), F.col("rep").alias("other_rep"))
+    crowded = written(table.groupBy("key").count().filter(F.col("count") > CROWD).select("key"), "crowded")
+    plain = table.join(crowded, "key", "left_anti")
+    nothing = F.lit(None).cast("long")
+    table = plain.unionByName(crowded.select("key", nothing.alias("other"), nothing.alias("other_rep")))
+    probes = distinct.select(F.explode(ball_keys(F.col("fp"))).alias("key"), "fp", "rep")
+    near = (F.col("fp") != F.col("other")) & (distance(F.col("fp"), F.col("other")) <= DISTANCE)
+    hits = probes.join(table.hint("shuffle_hash"), "key").filter(F.col("other").isNull() | near)
+    hits = written(hits.select("fp", "rep", "other_rep").distinct(), "hits")
+    found = hits.filter("other_rep IS NOT NULL").select(F.col("rep").alias("u"), F.col("other_rep").alias("v"))
+    return found.unionByName(crowd_links(hits.filter("other_rep IS NULL").select("fp", "rep")))
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id that links reach, the row's own included."""
     found = written(fingerprints(df, words), "fingerprints")
-    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     joined = components(links(distinct.filter("rep IS NOT NULL")))
     of_fp = distinct.join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
