@@ -19,9 +19,9 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomdoc.llm.fm_index import FMIndex
 from loomdoc.llm.shared import LOWER
@@ -139,23 +139,27 @@ class Shard:
         return total[self.starts + self.n_words] - total[self.starts]
 
 
-def shards(batches: Iterator[pd.DataFrame], shard_words: int) -> Iterator[tuple[pd.DataFrame, Shard]]:
-    """Rows with their shard; sizes are estimated at five bytes a word and never split a row."""
+def shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[tuple[pa.RecordBatch, int, Shard]]:
+    """Rows with their shard, and which column has the texts; sizes are estimated at five bytes a word and never split a row."""
     rows, size = [], 0
+
+    def gathered() -> tuple[pa.RecordBatch, int, Shard]:
+        part = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        return part, at, Shard(part.column(at).to_pylist())
+
     for batch in batches:
-        lengths = batch["text"].str.len().fillna(0).to_numpy()
+        at = next(i for i, name in enumerate(batch.schema.names) if name.lower() == "text")
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
         begin = 0
         for i, n in enumerate(lengths):
             if size and size + n > 5 * shard_words:
-                rows.append(batch.iloc[begin:i])
-                part = pd.concat(rows, ignore_index=True)
-                yield part, Shard(part["text"].tolist())
+                rows.append(batch.slice(begin, i - begin))
+                yield gathered()
                 rows, size, begin = [], 0, i
             size += n
-        rows.append(batch.iloc[begin:])
-    if size or any(len(r) for r in rows):
-        part = pd.concat(rows, ignore_index=True)
-        yield part, Shard(part["text"].tolist())
+        rows.append(batch.slice(begin))
+    if any(len(r) for r in rows):
+        yield gathered()
 
 
 def cleaned(text: str, hit: np.ndarray) -> str:
@@ -176,24 +180,22 @@ def judge(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
     blocks = item_blocks(benchmark, window, block_bytes)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, shard in shards(batches, shard_words):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, shard in shards(batches, shard_words):
             for block in blocks:
                 shard.search(block.value)
             n_hit = shard.n_hit()
-            digests = [hashlib.sha256(",".join(sorted(map(str, s))).encode()).hexdigest() for s in shard.items]
-            yield pd.DataFrame(
-                {
-                    "doc_id": rows["doc_id"].astype("Int64"),
-                    "n_words": shard.n_words,
-                    "n_hit": n_hit,
-                    "n_items": [len(s) for s in shard.items],
-                    "items_sha256": digests,
-                    "contaminated": n_hit > 0,
-                }
-            )
-
-    return df.select("doc_id", "text").mapInPandas(
+            found = {
+                "doc_id": rows["doc_id"],
+                "n_words": shard.n_words,
+                "n_hit": n_hit,
+                "n_items": np.array([len(s) for s in shard.items], np.int64),
+                "items_sha256": [hashlib.sha256(",".join(sorted(map(str, s))).encode()).hexdigest() for s in shard.items],
+                "contaminated": n_hit > 0,
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.values()], list(found))
+
+    return df.select("doc_id", "text").mapInArrow(
         of, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
     )
 
@@ -202,20 +204,19 @@ def without_hits(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     """All rows and columns of ``df``, with the removal spans cut out of ``text``; other texts are untouched."""
     blocks = item_blocks(benchmark, window, block_bytes)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, shard in shards(batches, shard_words):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at, shard in shards(batches, shard_words):
             for block in blocks:
                 shard.search(block.value)
-            texts = rows["text"].tolist()
+            texts = rows.column(at).to_pylist()
             for i in np.flatnonzero(shard.n_hit()):
                 a = shard.starts[i]
                 texts[i] = cleaned(texts[i], shard.hit[a : a + shard.n_words[i]])
-            yield pd.DataFrame({"row": rows["row"], "text": texts})
+            columns = rows.columns
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
-    kept = [c for c in df.columns if c.lower() != "text"]
-    packed = df.select(F.struct(*kept).alias("row"), "text")
-    out = packed.mapInPandas(of, packed.schema)
-    return out.select(*(F.col("text") if c.lower() == "text" else F.col("row")[c].alias(c) for c in df.columns))
+    return df.mapInArrow(of, df.schema)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
