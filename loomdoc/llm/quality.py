@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdoc.llm import gbt
@@ -130,20 +131,19 @@ def judge(df: DataFrame, trees: gbt.Trees | None, least_score: float = LEAST_SCO
     """(doc_id, the base counts, base_failed, score, kept)."""
     model = df.sparkSession.sparkContext.broadcast(trees)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([statistics(t) for t in batch["text"]], float).reshape(len(batch), -1)
             if not len(batch):
                 continue
-            out = pd.DataFrame(found[:, : len(BASE)].astype(np.int64), columns=BASE)
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            out["base_failed"] = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEATED * out["n_words"])
-            out["score"] = model.value.score(found[:, len(BASE) :]) if model.value is not None else 1.0
-            out["kept"] = ~out["base_failed"] & (out["score"] >= least_score)
-            yield out
+            rows = np.array([statistics(t) for t in batch["text"].to_pylist()], float)
+            found = dict(zip(BASE, rows[:, : len(BASE)].astype(np.int64).T, strict=True))
+            failed = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > MOST_REPEATED * found["n_words"])
+            score = model.value.score(rows[:, len(BASE) :]) if model.value is not None else np.ones(len(rows))
+            found = {"doc_id": batch["doc_id"], **found, "base_failed": failed, "score": score, "kept": ~failed & (score >= least_score)}
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.values()], list(found))
 
     counts = ", ".join(f"{c} bigint" for c in BASE)
-    return df.select("doc_id", "text").mapInPandas(of, f"doc_id bigint, {counts}, base_failed boolean, score double, kept boolean")
+    return df.select("doc_id", "text").mapInArrow(of, f"doc_id bigint, {counts}, base_failed boolean, score double, kept boolean")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
