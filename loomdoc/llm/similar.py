@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,19 +96,21 @@ def frequent_shingles(df: DataFrame, words: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, node, n, s0.., tokens): n is the size of the set, tokens are its keys."""
+    """(doc_id, text_hash, node, n, s0.., tokens): n is the size of the set, tokens are its keys."""
     frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(df, words))
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
+            sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
             sketches = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(LONGS))
-            out = {"doc_id": batch["doc_id"].astype("Int64"), "node": [node_of(s) for s in sets], "n": [len(s) for s in sets]}
-            out |= {name: sketches[:, k] for k, name in enumerate(LONGS)}
-            yield pd.DataFrame(out | {"tokens": [prefix(s, frequent.value, similarity).view(np.int64) for s in sets]})
+            out = {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "node": pa.array([node_of(s) for s in sets], pa.int64())}
+            out |= {"n": pa.array([len(s) for s in sets], pa.int32())} | {name: pa.array(sketches[:, k]) for k, name in enumerate(LONGS)}
+            out["tokens"] = pa.array([prefix(s, frequent.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     longs = ", ".join(f"{name} bigint" for name in LONGS)
-    return df.select("doc_id", "text").mapInPandas(of, f"doc_id bigint, node bigint, n int, {longs}, tokens array<bigint>")
+    rows = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(of, f"doc_id bigint, text_hash bigint, node bigint, n int, {longs}, tokens array<bigint>")
 
 
 def shingle_sets(df: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -184,7 +187,8 @@ def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): component_id is the least doc_id of the class."""
+    """(doc_id, text_hash, class_id, component_id): component_id is the least doc_id of the class; text_hash tells rows of one
+    doc_id apart, and class_id tells their classes apart."""
     found = written(signatures(df, words, similarity), "signatures").filter("doc_id IS NOT NULL")
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in LONGS])
     nodes = written(nodes, "nodes")
@@ -213,24 +217,29 @@ def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
 
     in_class = nodes.select("node", "doc_id").join(components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
     least = in_class.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    of_node = in_class.join(least, "c").select("node", "component_id")
-    return found.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+    of_node = in_class.join(least, "c").select("node", F.col("c").alias("class_id"), "component_id")
+    return found.select("doc_id", "text_hash", "node").join(of_node, "node").select("doc_id", "text_hash", "class_id", "component_id")
 
 
 def without_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, with all columns of ``df``: that of the least doc_id. Rows without a doc_id stay.
 
-    Only doc_ids are joined to the texts. Rows that share a doc_id are looked for first; one of them stays.
+    Rows of one doc_id with different texts are rows of their own. Only doc_ids and hashes are joined to the texts.
     """
     return one_of_each(df, classes(df, words, similarity))
 
 
 def one_of_each(df: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``df`` that are the least doc_id of their component in ``judged`` (doc_id, component_id)."""
-    dropped = judged.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = df.join(dropped, "doc_id", "left_anti").select(*df.columns)
-    repeated = judged.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """The rows of ``df`` that are the first of their class in ``judged`` (doc_id, text_hash, class_id)."""
+    judged = judged.groupBy("doc_id", "text_hash").agg(F.first("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    judged = written(judged, "judged")
+    first = judged.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    dropped = judged.join(first, ["doc_id", "text_hash"], "left_anti")
+    dropped = dropped.select(F.col("doc_id").alias("__judged_id"), F.col("text_hash").alias("__judged_hash"))
+    same = (F.col("doc_id") == F.col("__judged_id")) & (F.xxhash64("text") == F.col("__judged_hash"))
+    kept = df.join(dropped, same, "left_anti")
+    repeated = judged.filter("n > 1").select(F.col("doc_id").alias("__judged_id"), F.col("text_hash").alias("__judged_hash"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*df.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*df.columns).unionByName(once)
+    first = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(first)
