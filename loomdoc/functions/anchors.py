@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomdoc.functions.docbook import DEVELOPER_SECTIONS, PREFIXES
 
 
 def underscore_slug(text: Column) -> Column:
@@ -22,65 +26,78 @@ def forge_slug(text: Column) -> Column:
     return F.replace(F.regexp_replace(F.lower(F.trim(bare)), "[^a-z0-9 -]", ""), F.lit(" "), F.lit("-"))
 
 
-def _fold(ids: Column, free, note, zero: Column) -> Column:
-    """Array of ids, each made free given the state so far."""
-    start = F.struct(zero.alias("state"), F.array().cast("array<string>").alias("out"))
+def kept_marks(text: Column) -> Column:
+    """Runs of other than ASCII letters, digits, ``.``, ``_`` and ``-`` become ``_``; trimmed. Case stays."""
+    return F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
 
-    def add(acc: Column, id_: Column) -> Column:
-        chosen = free(acc, id_)
-        return F.struct(note(acc, id_, chosen).alias("state"), F.concat(acc["out"], F.array(chosen)).alias("out"))
 
-    return F.aggregate(ids, start, add, lambda acc: acc["out"])
+def spaced_slug(text: Column) -> Column:
+    """Lower case; ASCII letters, digits, ``_`` and ``-`` stay, each space becomes ``-``, all else goes."""
+    return F.replace(F.regexp_replace(F.lower(F.trim(text)), "[^0-9a-z _-]", ""), F.lit(" "), F.lit("-"))
 
 
-def free_underscore(ids: Column) -> Column:
-    """First free of ``x``, ``x_2``, ``x_3`` ... in order; literal collisions count: x, x, x_2 gives x, x_2, x_2_2."""
+def _per_page(assign) -> Column:
+    """A pandas UDF that runs ``assign`` over each page's list of ids: ids depend on all before them, and a dict or set
+    keeps that linear in the page."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def of(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ids: assign(list(ids)) if ids is not None else None)
+
+    return of
+
 
-    def free(acc: Column, id_: Column) -> Column:
-        taken = lambda c: F.array_contains(acc["out"], c)
-        numbered = F.transform(F.sequence(F.lit(2), F.size(acc["out"]) + 2), lambda n: F.concat(id_, F.lit("_"), n.cast("string")))
-        return F.when(~taken(id_), id_).otherwise(F.element_at(F.filter(numbered, lambda c: ~taken(c)), 1))
+def free_ids(ids: list) -> list:
+    used, following, out = set(), {}, []
+    for id_ in ids:
+        chosen = id_
+        while chosen in used and id_ is not None:
+            following[id_] = following.get(id_, 1) + 1
+            chosen = f"{id_}_{following[id_]}"
+        used.add(chosen)
+        out.append(chosen)
+    return out
 
-    return _fold(ids, free, lambda acc, id_, chosen: F.lit(0), F.lit(0))
+
+def counted_ids(ids: list) -> list:
+    count, out = {}, []
+    for id_ in ids:
+        chosen = id_
+        while chosen in count and id_ is not None:
+            count[id_] += 1
+            chosen = f"{id_}-{count[id_]}"
+        count.setdefault(chosen, 0)
+        out.append(chosen)
+    return out
+
+
+def free_underscore(ids: Column) -> Column:
+    """First free of ``x``, ``x_2``, ``x_3`` ... in order; literal collisions count: x, x, x_2 gives x, x_2, x_2_2. Null stays null."""
+    return _per_page(free_ids)(ids)
 
 
 def counted_hyphen(ids: Column) -> Column:
-    """``x``, ``x-1``, ``x-2`` ...: a counter for each base, whatever else is in the page."""
-    before = lambda acc, id_: F.size(F.filter(acc["state"], lambda x: x == id_))
-    return _fold(
-        ids,
-        lambda acc, id_: F.when(before(acc, id_) == 0, id_).otherwise(F.concat(id_, F.lit("-"), before(acc, id_).cast("string"))),
-        lambda acc, id_, chosen: F.concat(acc["state"], F.array(id_)),
-        F.array().cast("array<string>"),
-    )
+    """``x``, ``x-1``, ``x-2`` ...: a counter for each base, which skips what the page has: x, x-1, x gives x, x-1, x-2."""
+    return _per_page(counted_ids)(ids)
 
 
 def fallback_hyphen(ids: Column, explicit: Column) -> Column:
-    """As ``counted_hyphen``, but explicit ids are taken as they are and do not take part."""
-    pairs = F.zip_with(ids, explicit, lambda i, e: F.struct(i.alias("i"), e.alias("e")))
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc: Column, p: Column) -> Column:
-        n = F.size(F.filter(acc["seen"], lambda x: x == p["i"]))
-        chosen = F.when(p["e"].isNotNull(), p["e"]).when(n == 0, p["i"]).otherwise(F.concat(p["i"], F.lit("-"), n.cast("string")))
-        seen = F.when(p["e"].isNull(), F.concat(acc["seen"], F.array(p["i"]))).otherwise(acc["seen"])
-        return F.struct(seen.alias("seen"), F.concat(acc["out"], F.array(chosen)).alias("out"))
+    """``x``, ``x-1`` ... by a count of each base; explicit ids are taken as they are and do not take part."""
 
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def of(lists: pd.Series, own: pd.Series) -> pd.Series:
+        def assign(ids, own):
+            seen, out = {}, []
+            for id_, e in zip(ids, own, strict=True):
+                if e is None:
+                    n = seen[id_] = seen.get(id_, -1) + 1
+                    e = f"{id_}-{n}" if n else id_
+                out.append(e)
+            return out
 
+        return pd.Series([assign(a, b) if a is not None else None for a, b in zip(lists, own, strict=True)], dtype=object)
 
-# Prefixes of ids by the title of the section a heading is in, and sections of a developer guide.
-SECTION_PREFIXES = {
-    "exported parameters": "param",
-    "exported functions": "func",
-    "exported asynchronous functions": "afunc",
-    "exported mi functions": "mi",
-    "exported events": "event",
-    "exported pseudo-variables": "pv",
-    "exported statistics": "stat",
-    "exported status/report identifiers": "sr",
-}
-DEVELOPER_SECTIONS = ["available functions", "api functions", "functions"]
+    return of(ids, explicit)
 
 
 def _bare(c: Column) -> Column:
@@ -100,10 +117,10 @@ def item_name(prefix: Column, text: Column) -> Column:
 def item_id(level: Column, text: Column, section: Column, guide: Column) -> Column:
     """Prefix and name for items (level 4 and more) of a typed section; ``dev_`` in function sections of a developer guide;
     else the slug."""
-    table = F.create_map(*[F.lit(x) for pair in SECTION_PREFIXES.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in PREFIXES.items() for x in pair])
     key = F.lower(F.coalesce(section, F.lit("")))
     prefix = F.try_element_at(table, key)
     typed = F.concat(prefix, F.lit("_"), item_name(prefix, text))
-    developer = F.lower(F.trim(guide)).isin("developer guide", "developer's guide") & key.isin(DEVELOPER_SECTIONS)
+    developer = F.lower(F.trim(guide)).isin("developer guide", "developer's guide") & key.isin(*sorted(DEVELOPER_SECTIONS))
     of_guide = F.concat(F.lit("dev_"), item_name(F.lit("func"), text))
     return F.when((level >= 4) & prefix.isNotNull(), typed).when((level >= 4) & developer, of_guide).otherwise(underscore_slug(text))

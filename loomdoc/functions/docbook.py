@@ -23,6 +23,8 @@ GUIDES = {
     "developer's guide": "Developer Guide",
     "frequently asked questions": "Frequently Asked Questions",
 }
+#: Bare titles that mean an exported section, under the administrators' guide only.
+ADMIN_SECTIONS = {"functions": "Exported Functions", "parameters": "Exported Parameters"}
 SECTIONS = {
     "exported parameters": "Exported Parameters",
     "exported functions": "Exported Functions",
@@ -135,6 +137,14 @@ def title_of(node: ElementTree.Element) -> str:
     return next((" ".join(inline(c).split()) for c in node if tag_of(c) == "title"), "")
 
 
+def canonical_title(title: str, level: int, guide: str | None) -> str:
+    """The usual spelling of guide titles (level 2) and section titles (deeper)."""
+    key = " ".join(title.lower().split())
+    if level == 2:
+        return GUIDES.get(key, title)
+    return (guide == "Admin Guide" and ADMIN_SECTIONS.get(key)) or SECTIONS.get(key, title)
+
+
 def heading_text(markdown: str) -> str:
     return re.sub("[`*]", "", re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", markdown)).strip()
 
@@ -246,8 +256,7 @@ class Walk:
             return
         level, title = min(depth + 1, 6), title_of(node)
         if title:
-            key = " ".join(title.lower().split())
-            yield self.heading(level, (GUIDES if level == 2 else SECTIONS).get(key, title), node.get("id"))
+            yield self.heading(level, canonical_title(title, level, self.guide), node.get("id"))
         for child in node:
             if tag_of(child) != "title":
                 yield from self.block(child, depth + 1)
@@ -327,9 +336,34 @@ class Walk:
         yield ("table", width, "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]), None)
 
 
+#: Files of a manual that are parts of others.
+FRAGMENT = re.compile("_admin|_faq|_devel|contributors")
+
+
+def combined(module: str, files: dict[str, str], entities: dict[str, str]) -> tuple[str, dict[str, str]] | None:
+    """The main text of a module's folder (file name: text), and all entities it can use: those of the branch, its own, and
+    its files by the names they are declared with. Scripts become a mark for a sample, files that lack become nothing. None
+    if the folder has no main text."""
+    main = f"{module}.xml"
+    if main not in files:
+        main = min((f for f in files if f.endswith(".xml") and not FRAGMENT.search(f)), default=None)
+    if main is None:
+        return None
+    text = files[main]
+    known = entities | declared_entities(text)
+    for name, path in system_entities(text).items():
+        file = path.rpartition("/")[2]
+        if path.lower().endswith(".cfg"):
+            known[name] = f'<cfgsample src="{file}"/>' if file in files else ""
+        else:
+            known[name] = re.sub(r"(?s)\A\s*<!--.*?-->\s*", "", files.get(file, ""))
+    return text, known
+
+
 def parsed(xml: str, entities: dict[str, str]) -> ElementTree.Element | None:
-    """The document's root; None if it is not well-formed."""
-    text = substituted(without_doctype(re.sub(r"<\?xml[^?]*\?>", "", xml)), declared_entities(xml) | entities)
+    """The document's root; None if it is not well-formed. Its own entities go before ``entities``."""
+    text = without_doctype(re.sub(r"<\?xml[^?]*\?>", "", xml))
+    text = re.sub(r"(?s)<!--.*?-->", "", substituted(text, entities | declared_entities(xml)))
     try:
         return ElementTree.fromstring(text.strip())
     except ElementTree.ParseError:

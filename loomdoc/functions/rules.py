@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.functions.anchors import underscore_slug
-from loomdoc.functions.docbook import GUIDES, SECTIONS
+from loomdoc.functions.anchors import kept_marks, spaced_slug, underscore_slug
+from loomdoc.functions.docbook import ADMIN_SECTIONS, GUIDES, SECTIONS
 
 # How manual pages name their items, ids that are forced, and the aside of each callout.
 ITEM_PAGES = {
-    "script-coreparameters": "name",
-    "script-corefunctions": "name",
-    "script-routes": "name",
-    "interface-corestatistics": "name",
+    "script-coreparameters": "parameter",
+    "script-corefunctions": "function",
+    "script-routes": "whole",
+    "interface-corestatistics": "whole",
     "interface-coremi": "command",
     "interface-coreevents": "event",
     "script-tran": "transformation",
@@ -28,7 +28,9 @@ FORCED_IDS = {
     ("install-download", "Packages download - preferred method"): "packages",
     ("script-async", "Serial asynchronous operations, async()"): "async",
     ("script-async", "Parallel asynchronous operations, launch()"): "launch",
+    ("script-async", "List of async functions"): "async_functions",
     ("script-async", "Limitations"): "async_limitations",
+    ("script-async", "Allowed Routes"): "async_routes",
     ("interface-coreevents", "Script profiling event"): "E_PROFILING_SCRIPT",
 }
 ASIDES = {"NOTE": "note", "TIP": "tip", "IMPORTANT": "caution", "WARNING": "danger", "CAUTION": "danger"}
@@ -38,10 +40,12 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def canonical_title(title: Column, level: Column) -> Column:
-    """The usual spelling of guide titles (level 2) and section titles (deeper); others stay."""
+def canonical_title(title: Column, level: Column, guide: Column) -> Column:
+    """The usual spelling of guide titles (level 2) and section titles (deeper); others stay. Some bare titles have one
+    under the administrators' guide only."""
     key = F.lower(F.trim(F.regexp_replace(title, r"\s+", " ")))
-    return F.coalesce(F.when(level == 2, _lookup(GUIDES, key)).otherwise(_lookup(SECTIONS, key)), title)
+    bare = F.when(guide == "Admin Guide", _lookup(ADMIN_SECTIONS, key))
+    return F.coalesce(F.when(level == 2, _lookup(GUIDES, key)).otherwise(F.coalesce(bare, _lookup(SECTIONS, key))), title)
 
 
 def module_title(title: Column) -> Column:
@@ -84,20 +88,29 @@ def hidden(body: Column) -> Column:
 
 
 def manual_id(page: Column, text: Column, ahead: Column) -> Column:
-    """The id of a manual page's heading, null where the page has no rule (``ahead``: the text behind the heading).
+    """The id of a manual page's heading before duplicates are told apart; null if nothing of the text can be one.
 
-    A forced id wins over the rule, except that an event named in the text wins over both.
+    A forced id goes before the page's rule; where a rule finds no item in the text, the id is the text's slug. ``ahead`` is
+    the text behind the heading, where events are named. Pages without a rule have spaced slugs.
     """
     bare = F.trim(F.regexp_replace(text, "[`*]", ""))
-    name = F.regexp_extract(bare, r"^([^\s(|]+)", 1)
+    slug = underscore_slug(bare)
+    inner = F.regexp_replace(bare, r"^[{}]+|[{}]+$", "")
+    variable = F.regexp_extract(bare, r"\$\(?\{?([A-Za-z0-9_.]+)", 1)
     rules = {
-        "name": name,
-        "command": F.replace(name, F.lit(":"), F.lit("_")),
-        "transformation": F.regexp_extract(bare, r"^\{?([^,{}\s]+)", 1),
-        "variable": F.regexp_extract(bare, r"\$\(?([\w.]+)", 1),
+        "whole": kept_marks(bare),
+        "parameter": F.when(bare.rlike(r"^[A-Za-z_][\w.-]*$"), kept_marks(bare)).otherwise(slug),
+        "function": kept_marks(F.substring_index(bare, "(", 1)),
+        "command": kept_marks(F.replace(F.regexp_extract(bare, r"^[^\s\[]*", 0), F.lit(":"), F.lit("_"))),
+        "transformation": F.when(bare.startswith("{"), kept_marks(F.substring_index(inner, ",", 1))).otherwise(slug),
+        "variable": F.when(variable != "", kept_marks(variable)).otherwise(slug),
+        "event": F.coalesce(F.nullif(F.regexp_extract(ahead, r"\*\*Event\*\*:\s*([A-Za-z0-9_]+)", 1), F.lit("")), slug),
     }
     kind = _lookup(ITEM_PAGES, page)
-    event = F.when(kind == "event", F.nullif(F.regexp_extract(ahead, r"\*\*Event\*\*:\s*([A-Z_0-9]+)", 1), F.lit("")))
     forced = _lookup({f"{p}|{t}": i for (p, t), i in FORCED_IDS.items()}, F.concat(page, F.lit("|"), bare))
-    by_rule = reduce(lambda done, k: F.when(kind == k, rules[k]).otherwise(done), rules, F.lit(None).cast("string"))
-    return F.coalesce(event, forced, F.nullif(by_rule, F.lit("")), F.when(kind == "event", underscore_slug(bare)))
+    by_rule = reduce(lambda done, k: F.when(kind == k, rules[k]).otherwise(done), rules, spaced_slug(bare))
+    return F.coalesce(forced, F.nullif(by_rule, F.lit("")))
+
+
+def has_rule(page: Column) -> Column:
+    return page.isin(*ITEM_PAGES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds in a year of 365.25 days.
@@ -44,9 +44,15 @@ def default_literal(v: Column) -> Column:
 
 
 def menu_label(name: Column, known: dict[str, str]) -> Column:
-    """The known label of a page, else its name with spaces for hyphens, in title case."""
+    """The known label of a page, else its name with spaces for hyphens, in title case: a capital wherever a word begins,
+    behind any other sign than a letter."""
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, name), F.initcap(F.replace(name, F.lit("-"), F.lit(" "))))
+    parts = F.regexp_extract_all(F.replace(name, F.lit("-"), F.lit(" ")), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.coalesce(F.try_element_at(table, name), F.array_join(F.transform(parts, F.initcap), ""))
+
+
+def version_label(slug: Column) -> Column:
+    return F.replace(slug, F.lit("-"), F.lit("."))
 
 
 def first_by_status(releases: DataFrame, kept: list[str]) -> DataFrame:
@@ -59,3 +65,17 @@ def menu_json(entries: DataFrame, slug: Column) -> DataFrame:
     """(slug, items): a menu's entries (slug, label) as a JSON array of {label, slug}, by label."""
     ordered = F.array_sort(F.collect_list(F.struct("label", F.col("__slug").alias("slug"))))
     return entries.withColumn("__slug", slug).groupBy("slug").agg(F.to_json(ordered).alias("items"))
+
+
+def run_counts(rows: DataFrame, group: str) -> DataFrame:
+    """Of what a run had to do (ok, there) in each group: done, failed, and skipped as there was no input."""
+    of = F.count_if
+    return rows.groupBy(group).agg(
+        of(F.col("there") & F.col("ok")).alias("ok"), of(F.col("there") & ~F.col("ok")).alias("failed"), of(~F.col("there")).alias("skipped")
+    )
+
+
+def in_locale_order(rows: DataFrame, group: str, name: str, tie: str) -> DataFrame:
+    """``rn``: the place of each row of a group by its name as people sort names, not by code points."""
+    order = Window.partitionBy(group).orderBy(F.collate(F.col(name), "UNICODE"), tie)
+    return rows.withColumn("rn", F.row_number().over(order).cast("long"))

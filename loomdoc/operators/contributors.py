@@ -112,10 +112,11 @@ def with_old_names(commits: DataFrame, renames: DataFrame) -> DataFrame:
     return commits.unionByName(moved.withColumn("module", F.col("__now")).drop("__now").select(*commits.columns))
 
 
-def editors_line(stats: DataFrame, group: str) -> DataFrame:
-    """All authors of a group by latest activity, joined by ``", "``."""
-    order = F.struct((-F.coalesce(F.unix_timestamp("last_date"), F.lit(0))).alias("k"), F.col("author").alias("author"))
-    return stats.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["author"]), ", ").alias("editors"))
+def editors_line(stats: DataFrame, group: str, handles: DataFrame | None = None) -> DataFrame:
+    """All authors of a group by latest activity, joined by ``", "``; with their handles if these are given."""
+    rows = stats.withColumn("shown", F.col("author")) if handles is None else with_handle(stats, handles)
+    order = F.struct((-F.coalesce(F.unix_timestamp("last_date"), F.lit(0))).alias("k"), F.col("author").alias("author"), "shown")
+    return rows.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["shown"]), ", ").alias("editors"))
 
 
 def month_label(date: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdoc.functions import docbook, wiki
+from loomdoc.functions import docbook, mdx, wiki
+from loomdoc.operators.lines import fenced, in_order, lines_of
 
 BLOCK = T.StructType().add("pos", T.IntegerType()).add("kind", T.StringType()).add("level", T.IntegerType()).add("text", T.StringType())
 
@@ -25,6 +26,17 @@ def wiki_markdown(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: wiki.to_markdown(t) if t is not None else None)
 
 
+@F.pandas_udf(T.StringType())
+def safe_markdown(texts: pd.Series) -> pd.Series:
+    """Markdown in which braces and angle brackets of prose are code."""
+    return texts.map(lambda t: mdx.safe_markdown(t) if t is not None else None)
+
+
+@F.pandas_udf(T.StringType())
+def code_language(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: wiki.language_of(t.split("\n")) if t is not None else None)
+
+
 @F.pandas_udf(T.StringType())
 def wiki_inline(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: wiki.Inline().convert(t) if t is not None else None)
@@ -50,6 +62,26 @@ def stored_pages(files: DataFrame) -> DataFrame:
     return files.select("name", "content").mapInPandas(read, "name string, fields map<string, string>, title string, body string")
 
 
+def site_pages(files: DataFrame, product: str = "") -> DataFrame:
+    """(name, title, subtitle, subtitle_href, author, description, body) of stored wiki pages (name, content: binary)."""
+    names = ["title", "subtitle", "subtitle_href", "author", "description", "body"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [wiki.decode_text(wiki.page_fields(bytes(c or b"")).get("text", "")) for c in batch["content"]]
+            rows = [wiki.site_page(t, n, product) for n, t in zip(batch["name"], texts, strict=True)]
+            yield pd.DataFrame({"name": batch["name"], **{k: [r[k] for r in rows] for k in names}})
+
+    return files.select("name", "content").mapInPandas(read, "name string, " + ", ".join(f"{k} string" for k in names))
+
+
+def page_head(fields: dict[str, Column]) -> Column:
+    """The YAML head of a page: fields in order, those that are null left out; one line each."""
+    quoted = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit(" "))
+    lines = [F.when(c.isNotNull(), F.concat(F.lit(f'{name}: "'), quoted(c), F.lit('"\n'))) for name, c in fields.items()]
+    return F.concat(F.lit("---\n"), F.concat_ws("", *lines), F.lit("---\n"))
+
+
 def xml_modules(files: DataFrame, entities: dict[str, str]) -> DataFrame:
     """(module, title, description, body, ids, samples) of XML manuals (module, xml); unparsable ones have null columns.
 
@@ -70,6 +102,37 @@ def xml_modules(files: DataFrame, entities: dict[str, str]) -> DataFrame:
     return files.select("module", "xml").mapInPandas(convert, schema)
 
 
+def xml_folders(files: DataFrame, entities: dict[str, str]) -> DataFrame:
+    """As ``xml_modules``, of modules' folders with one row for each file (module, file, text). A folder is small: it is one
+    map. Modules without a main text are left out."""
+    known = {"nbsp": " "} | dict(entities)
+    folders = files.groupBy("module").agg(F.map_from_entries(F.collect_list(F.struct("file", F.coalesce("text", F.lit("")).alias("text")))).alias("files"))
+
+    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for module, texts in zip(batch["module"], batch["files"], strict=True):
+                main = docbook.combined(module, dict(texts), known)
+                found = docbook.document(module, *main) if main else None
+                if main:
+                    rows.append((module, *(found.values() if found else [None] * 5)))
+            yield pd.DataFrame(rows, columns=["module", "title", "description", "body", "ids", "samples"])
+
+    schema = "module string, title string, description string, body string, ids map<string, string>, samples array<string>"
+    return folders.mapInPandas(convert, schema)
+
+
+# What a module's page ends with.
+CONTRIBUTORS_MARK = "<!-- CONTRIBUTORS -->"
+LICENSE_SECTION = "\n### License\n\nAll documentation files (i.e. .md extension) are licensed under the Creative Common License 4.0\n"
+
+
+def module_readme(title: Column, description: Column, body: Column) -> Column:
+    """The text of a module's page file, with a place for its contributors."""
+    end = F.lit(f"\n{CONTRIBUTORS_MARK}\n{LICENSE_SECTION}")
+    return F.concat(front_matter(title, description), F.lit("\n"), body, end)
+
+
 def front_matter(title: Column, description: Column) -> Column:
     """The YAML head of a page; quotes and backslashes of values are escaped."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
@@ -77,23 +140,75 @@ def front_matter(title: Column, description: Column) -> Column:
     return F.concat(F.lit("---\ntitle: "), quoted(title), F.lit("\n"), about, F.lit("---\n"))
 
 
-def expanded_includes(pages: DataFrame, depth: int = 8) -> DataFrame:
-    """Pages (path, body) with lines ``[..](target "include")`` replaced by the target's body, and so on down to ``depth``.
+# Files that are spliced in as Markdown, and fence languages of others.
+PAGE_FILES = ("md", "mdx", "markdown")
+FENCE_LANGUAGES = {"cfg": "c", "sql": "sql", "sh": "bash", "bash": "bash", "json": "json", "yaml": "yaml", "yml": "yaml", "py": "python", "c": "c", "h": "c"}
+INCLUDE = r'^\[[^\]]*\]\(([^)\s]+) "include"\)$'
+
+
+def resolved_path(base: Column, link: Column) -> Column:
+    """``link`` as seen from the folder of the file ``base``; ``.`` and ``..`` are followed."""
+    folder = F.regexp_extract(base, r"^(.*/)?[^/]*$", 1)
+    parts = F.split(F.when(link.startswith("/"), link).otherwise(F.concat(folder, link)), "/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0)
+        return F.when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def include_lines(files: DataFrame) -> DataFrame:
+    """(path, pos, line, target) of files (path, body): ``target`` is the file that the line includes, else null. An include
+    is a paragraph by itself, outside fences. Files that are no pages are one fence."""
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    language = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in FENCE_LANGUAGES.items() for x in p]), ending), F.lit(""))
+    fence = F.concat(F.lit("```"), language, F.lit("\n"), F.regexp_replace("body", r"\r?\n\z", ""), F.lit("\n```"))
+    is_page = ending.isin(*PAGE_FILES)
+    rows = files.select("path", F.when(is_page, F.regexp_replace("body", r"\n\z", "")).otherwise(fence).alias("body"))
+    rows = fenced(lines_of(rows, "path", "body"), "path", F.col("line").rlike(r"^\s*```"))
+    near = lambda f: F.trim(F.coalesce(f("line").over(in_order("path")), F.lit("")))
+    alone = (near(F.lag) == "") & (near(F.lead) == "") & ~F.col("in_fence")
+    link = F.regexp_extract("line", INCLUDE, 1)
+    rows = rows.withColumn("alone", alone).withColumn("link", link)
+    target = F.when(F.col("alone") & (F.col("link") != ""), resolved_path(F.col("path"), F.col("link")))
+    return rows.select("path", "pos", "line", target.alias("target"))
+
+
+def expanded_includes(files: DataFrame) -> DataFrame:
+    """Files (path, body) with each include replaced by the file it names, and so on until none is left.
 
-    ``state`` is ``ok``, ``missing`` (a target that no page has) or ``cycle``. One round joins the pages that still have
-    an include; rounds are bounded, so cycles end.
+    ``state`` is ``ok``, ``missing`` (some include names no file) or ``cycle`` (some file includes itself, directly or not);
+    such includes stay as they are. A level is one join of all open includes; a chain holds no file twice, so levels end. A
+    file may be included any number of times, side by side.
     """
-    pattern = r'(?m)^\[[^\]]*\]\(\./([^)\s]+) "include"\)$'
-    source = pages.select(F.col("path").alias("__target"), F.col("body").alias("__text"))
-    done = pages.select("path", "body", F.array("path").alias("seen"), F.lit("ok").alias("state"))
-    for _ in range(depth):
-        wants = done.withColumn("__want", F.regexp_extract("body", pattern, 1))
-        joined = wants.join(source, (F.col("__want") == F.col("__target")) & (F.col("state") == "ok"), "left")
-        open_ = (F.col("__want") != "") & (F.col("state") == "ok")
-        cycle = open_ & F.array_contains("seen", F.col("__want"))
-        state = F.when(cycle, "cycle").when(open_ & F.col("__target").isNull(), "missing").otherwise(F.col("state"))
-        line = F.concat(F.regexp_extract("body", pattern, 0))
-        body = F.when(open_ & ~cycle & F.col("__target").isNotNull(), F.replace("body", line, F.col("__text"))).otherwise(F.col("body"))
-        seen = F.when(open_, F.array_append("seen", F.col("__want"))).otherwise(F.col("seen"))
-        done = joined.select("path", body.alias("body"), seen.alias("seen"), state.alias("state"))
-    return done.drop("seen")
+    lines = include_lines(files)
+    inner = lines.select(F.col("path").alias("__path"), F.col("pos").alias("__pos"), F.col("line").alias("__line"), F.col("target").alias("__target"))
+    rows = lines.select(
+        F.col("path").alias("root"), F.array("pos").alias("place"), F.array("path").alias("chain"), "line", "target", F.lit("ok").alias("state")
+    )
+    done, names = None, ["root", "place", "line", "state"]
+    while True:
+        closed = rows.filter(F.col("target").isNull()).select(*names)
+        done = closed if done is None else done.unionByName(closed)
+        open_ = rows.filter(F.col("target").isNotNull())
+        if open_.isEmpty():
+            break
+        cycle = F.array_contains("chain", F.col("target"))
+        done = done.unionByName(open_.filter(cycle).select("root", "place", "line", F.lit("cycle").alias("state")))
+        joined = open_.filter(~cycle).join(inner, F.col("target") == F.col("__path"), "left")
+        missing = F.col("__path").isNull()
+        rows = joined.select(
+            "root",
+            F.when(missing, F.col("place")).otherwise(F.concat("place", F.array("__pos"))).alias("place"),
+            F.concat("chain", F.array("target")).alias("chain"),
+            F.coalesce("__line", "line").alias("line"),
+            F.col("__target").alias("target"),
+            F.when(missing, "missing").otherwise("ok").alias("state"),
+        )
+    ordered = F.array_sort(F.collect_list(F.struct("place", "line")))
+    has = lambda state: F.max(F.col("state") == state)
+    return done.groupBy(F.col("root").alias("path")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("body"),
+        F.when(has("cycle"), "cycle").when(has("missing"), "missing").otherwise("ok").alias("state"),
+    )

@@ -72,14 +72,14 @@ def availability_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     "nav_entries",
     """
 WITH template AS (SELECT DISTINCT p_brand AS grp, p_size AS ord, p_type || '-' || p_size AS page FROM part),
-there AS (SELECT DISTINCT p_type || '-' || p_size AS page FROM part WHERE p_retailprice > 1000)
+there AS (SELECT DISTINCT p_type || '-' || p_size AS page FROM part WHERE p_retailprice < 950)
 SELECT grp, string_agg(page, '|' ORDER BY ord, page) AS entries FROM template WHERE page IN (SELECT page FROM there) GROUP BY grp""",
 )
 def nav_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")
     page = F.concat("p_type", F.lit("-"), F.col("p_size").cast("string")).alias("page")
     template = part.select(F.col("p_brand").alias("grp"), F.col("p_size").alias("ord"), page).distinct()
-    found = op.existing_entries(template, part.filter("p_retailprice > 1000").select(page), "grp")
+    found = op.existing_entries(template, part.filter("p_retailprice < 950").select(page), "grp")
     return found.select("grp", F.array_join("entries", "|").alias("entries"))
 
 

@@ -5,6 +5,8 @@ Files come through Spark's readers only, so a path may be any URI. Trees are par
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +86,31 @@ def feed_items(feeds: DataFrame, most: int = 5) -> DataFrame:
         raw = F.regexp_extract("item", rf"(?s)<{tag}[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{tag}>", 1)
         return F.nullif(F.trim(decode_entities(F.regexp_replace(raw, "<[^>]*>", ""))), F.lit(""))
 
+    about = F.concat(F.left(F.coalesce(part("description"), F.lit("")), F.lit(200)), F.lit("…"))
     return rows.select(
         "source", "pos", part("title").alias("title"), part("link").alias("link"), feed_date(part("pubDate")).alias("pub_date"),
-        part("description").alias("description"), part("dc:creator").alias("author"),
+        about.alias("description"), F.coalesce(part("dc:creator"), part("author")).alias("author"),
     )
 
 
+def page_collection(pages: DataFrame, root: str) -> DataFrame:
+    """(route, title, hidden, body) of a tree's pages (path, body): routes are paths below ``root`` without ending, an index
+    page's is that of its folder."""
+    below = F.regexp_extract("path", rf"{re.escape(root.rstrip('/'))}/(.*?)\.mdx?$", 1)
+    route = F.lower(F.regexp_replace(below, r"(^|/)index$", ""))
+    rows = front_matter(pages.filter(F.col("path").rlike(r"\.mdx?$")))
+    return rows.select(route.alias("route"), "title", "hidden", "body")
+
+
+def by_stem(pages: DataFrame) -> DataFrame:
+    """(key, slug): a route for each name that links use, of a tree's pages (route); of several the last one by route
+    counts. Pages of modules and manuals have links of their own kind and are left out."""
+    parts = F.split("route", "/")
+    rows = pages.filter(~F.array_contains(parts, "modules") & ~F.array_contains(parts, "manual"))
+    key = F.translate(F.element_at(parts, -1), "-_", "")
+    return rows.groupBy(key.alias("key")).agg(F.concat(F.lit("/"), F.max("route")).alias("slug"))
+
+
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of objects; fields an object lacks are null."""
     return spark.read.schema(schema).option("multiLine", "true").json(path)
@@ -111,13 +132,14 @@ def entity_rows(files_: DataFrame) -> DataFrame:
 
 
 def resolved_entities(entities: DataFrame, rounds: int = 10) -> DataFrame:
-    """(scope, name, value) with references between entities of a scope replaced, at most ``rounds`` deep; a reference to
-    itself and unknown ones stay. A scope's table is small: it is one map, and each round is an expression over it."""
+    """(scope, name, value, open) with references between entities of a scope replaced, ``rounds`` deep; a reference to itself
+    and unknown ones stay. ``open`` tells values that still refer to another known entity then, as those of a cycle do. A
+    scope's table is small: it is one map, and each round is an expression over it."""
     table = entities.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
     rows = entities.join(table, "scope")
+    names = F.array_distinct(F.regexp_extract_all("value", F.lit(r"&([\w.-]+);"), F.lit(1)))
+    known = F.filter(names, lambda n: (n != F.col("name")) & F.map_contains_key("m", n))
     for _ in range(rounds):
-        names = F.array_distinct(F.regexp_extract_all("value", F.lit(r"&([\w.-]+);"), F.lit(1)))
-        known = F.filter(names, lambda n: (n != F.col("name")) & F.map_contains_key("m", n))
         put = F.aggregate(known, F.col("value"), lambda v, n: F.replace(v, F.concat(F.lit("&"), n, F.lit(";")), F.element_at("m", n)))
         rows = rows.withColumn("value", put)
-    return rows.select("scope", "name", "value")
+    return rows.select("scope", "name", "value", (F.size(known) > 0).alias("open"))

@@ -106,10 +106,42 @@ def test_wiki_pages(spark):
 
 
 def test_includes(spark):
-    line = '[x](./{} "include")'
-    rows = [("a", "top\n" + line.format("b")), ("b", "mid\n" + line.format("c")), ("c", "end"), ("d", line.format("nope")), ("e", line.format("e"))]
+    line = '[x]({} "include")'
+    many = "\n\n".join(line.format(f"n{i}.md") for i in range(12))
+    deep = [(f"d{i}.md", line.format(f"d{i + 1}.md")) for i in range(12)] + [("d12.md", "bottom")]
+    rows = [("many.md", many), *((f"n{i}.md", f"{i}") for i in range(12)), *deep, ("e/a.md", line.format("../b.md")), ("b.md", None), ("empty.md", "")]
+    rows += [("loop.md", f"{line.format('back.md')}\n\n{line.format('n1.md')}"), ("back.md", line.format("loop.md")), ("prose.md", f"see\n{line.format('n1.md')}")]
     got = {r["path"]: (r["body"], r["state"]) for r in pages.expanded_includes(spark.createDataFrame(rows, "path string, body string")).collect()}
-    assert got["a"] == ("top\nmid\nend", "ok") and got["d"][1] == "missing" and got["e"][1] == "cycle"
+    assert got["many.md"] == ("\n\n".join(map(str, range(12))), "ok") and got["d0.md"] == ("bottom", "ok") and got["empty.md"] == ("", "ok")
+    assert got["loop.md"] == (f"{line.format('loop.md')}\n\n1", "cycle") and got["prose.md"] == (rows[-1][1], "ok")
+    assert got["e/a.md"] == (line.format("../b.md"), "missing") and "b.md" not in got
+
+
+def test_page_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    make = lambda rows: spark.createDataFrame(rows, "slug string, page string, text string")
+    sinks.write_pages(make([("a", "p", "# P\n\ntext\n"), ("a", "q", "Q\n")]), path)
+    sinks.write_pages(make([("a", "q", "new\n")]), path)
+    got = {r["page"]: r["body"] for r in readers.texts(spark, path, "*.txt").select(F.regexp_extract("path", "page=([^/]+)", 1).alias("page"), "body").collect()}
+    assert {k: v.rstrip("\n") for k, v in got.items()} == {"p": "# P\n\ntext", "q": "new"}
+    sinks.write_flat(spark.createDataFrame([("x", "1"), ("y", "1")], "page string, body string"), path + "f")
+    sinks.write_flat(spark.createDataFrame([("y", "2")], "page string, body string"), path + "f")
+    assert sorted((r["page"], r["body"]) for r in spark.read.parquet(path + "f").collect()) == [("x", "1"), ("y", "2")]
+
+
+def test_readers_of_files(spark, tmp_path):
+    (tmp_path / "Main.Page").write_bytes(b"text=x")
+    (tmp_path / "a.py").write_text("x")
+    (tmp_path / "c.json").write_text('[{"name": "A", "hide": true}, {"name": "B"}]')
+    assert [r["name"] for r in readers.wiki_files(spark, str(tmp_path)).collect() if r["name"] != "c.json"] == ["Main.Page"]
+    assert [tuple(r) for r in readers.json_rows(spark, str(tmp_path / "c.json"), "name string, hide boolean").orderBy("name").collect()] == [("A", True), ("B", None)]
+    assert [tuple(r) for r in readers.ordered_rows(spark, [("z",), ("a",)], "label string").orderBy("ord").collect()] == [(0, "z"), (1, "a")]
+
+
+def test_menus(spark, tmp_path):
+    path = str(tmp_path / "m")
+    sinks.write_menus(spark.createDataFrame([("a", "[]")], "slug string, items string"), path)
+    assert spark.read.json(path).first()["slug"] == "a"
 
 
 def test_readers(spark, tmp_path):
@@ -127,7 +159,7 @@ def test_readers(spark, tmp_path):
     assert {(r["sha"], r["added"], r["deleted"]) for r in commits.collect()} == {("abcdef1", 4, 2), ("abcdef2", 4, 4)}
     feed = "<rss><item><title>A &amp;lt; B</title><link>l</link><pubDate>Wed, 01 Jan 2020 10:00:00 +0000</pubDate><description><![CDATA[<p>x</p>]]></description></item><item><title>C</title></item></rss>"
     item = readers.feed_items(spark.createDataFrame([("f", feed)], "source string, xml string"), 1).collect()
-    assert len(item) == 1 and item[0]["title"] == "A < B" and item[0]["pub_date"] == datetime(2020, 1, 1, 10) and item[0]["description"] == "x"
+    assert len(item) == 1 and item[0]["title"] == "A < B" and item[0]["pub_date"] == datetime(2020, 1, 1, 10) and item[0]["description"] == "x…"
     entities = readers.entity_rows(spark.createDataFrame([("s", "<!ENTITY a \"1\"><!ENTITY a '2'><!ENTITY b \"&a;&b;&c;\">")], "scope string, text string"))
     assert {r["name"]: r["value"] for r in readers.resolved_entities(entities).collect()} == {"a": "2", "b": "2&b;&c;"}
     assert readers.redirects(spark.createDataFrame([("My_Page", "(:redirect Other.Page:)"), ("X", "no")], "name string, body string")).collect()[0]["key"] == "mypage"
