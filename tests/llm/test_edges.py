@@ -36,6 +36,7 @@ def test_vocabulary_boundaries():
     v = url_filter.Vocabulary(["porn"], {"win": 1.0, "bet": 1.0})
     assert v.hits("http://popcornporn.net") == (0, 0, 0.0)
     assert v.hits("http://x/porn-win.WIN/bet") == (1, 2, 2.0)
+    assert v.hits("http://x/%70or%6E?a=%57in&b=100%") == (1, 1, 1.0)
 
 
 LUHN = lambda s: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
@@ -231,13 +232,51 @@ def test_licenses(spark):
 
 def test_licenses_at_any_wrapping(spark):
     """Known texts on one line and at several widths; copyright lines with a year, a sign or an owner still go."""
-    wrapped = [(name, t) for name, text in licenses.KNOWN.items() for t in (text, " ".join(text.split()), *(textwrap.fill(text, w) for w in range(20, 121)))]
+    wrapped = [(name, t) for name, text in licenses.KNOWN.items() for t in (text, " ".join(text.split()), *(textwrap.fill(text, w, break_long_words=False) for w in range(20, 121)))]
     wrapped += [("MIT", f"{line}\n\n{licenses.KNOWN['MIT']}") for line in ("Copyright 2020 Jo", "copyright (c) Jo", "Copyright: © Jo", "Copyright The Jo Authors", "(c) Jo", "© 2020", "Copyright holder: Jo")]
     got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(wrapped)], "doc_id bigint, text string")).collect()}
     lost = [name for i, (name, _) in enumerate(wrapped) if got[i] != name]
     assert not lost, (len(lost), len(wrapped))
 
 
+def test_known_licenses_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Copyright 2020 Jo\nDo as you like, but keep this licence.\n")
+    known = licenses.read_known(spark, str(tmp_path))
+    texts = ["do as you like; but keep this LICENSE", "do as you like"]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(brute.frame(spark, texts + texts + ["x"]), known).collect()}
+    assert list(known) == ["Own-1.0"] and [got[i] for i in range(4)] == ["Own-1.0", None, "Own-1.0", None]
+
+
+def test_toxicity_of_no_evidence(spark):
+    """A bounded sample with as many toxic texts as others, and no term to learn: nothing is taken for toxic."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "lmn"], 12).tolist()) for _ in range(200)]
+    df = brute.frame(spark, texts)
+    table = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    lexicon = toxicity.learn(df, table)
+    assert toxicity.without_toxic(df, toxicity.Lexicon({}, base=lexicon.base, slope=lexicon.slope)).count() == df.count()
+    assert lexicon.probability(np.zeros(1))[0] < toxicity.THRESHOLD / 2
+
+
+def test_toxicity_counts_as_plain_matching_does():
+    """Hits against a plain search for every term at every place."""
+    lexicon = toxicity.Lexicon({"scum$": 1.0, "idio": 2.0, "rat$": 1.5}, {"idiom", ("white", "rat"), ("rat", "race")})
+    rng = np.random.default_rng(9)
+    words = ["scum", "scums", "idiot", "idiom", "rat", "rats", "white", "race", "x" * 150, "!!!", "42", "plain"]
+    automaton = lexicon.automaton()
+    for _ in range(300):
+        text = " ".join(rng.choice(words, int(rng.integers(0, 12))).tolist())
+        tokens, want = [w for w in text.split() if w.isalpha()], []
+        for i, w in enumerate(tokens):
+            pairs = {w, (tokens[i - 1] if i else "", w), (w, tokens[i + 1] if i + 1 < len(tokens) else "")}
+            if not pairs & lexicon.exceptions:
+                want += [t for t in lexicon.weights if (w == t[:-1] if t[-1] == "$" else w.startswith(t))]
+        assert sorted(h[0] for h in lexicon.hits(toxicity.fold(text), automaton)) == sorted(want)
+        every = toxicity.Lexicon(lexicon.weights, lexicon.exceptions, repeats=None)
+        total = sum(lexicon.weights[t] for t in want) / np.log2(16 + len(text) / 64)
+        assert abs(every.evidence(text, automaton) - total) < 1e-9
+
+
 def test_toxicity(spark):
     texts, labels = [], []
     for i in range(400):
