@@ -13,11 +13,21 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def labelled_rows(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the rows that may be learnt from; of several labels of a document the highest counts."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
+    return rows.filter(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def label_counts(labels: DataFrame, label: str) -> dict[int, int]:
+    """How many documents have each label, before any bound."""
+    return {r["label"]: r["n"] for r in labelled_rows(labels, label).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def sample(df: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
     """(text, label) of labelled rows that may be learnt from: of each class at most the given number, by a hash of
     doc_id. The sample's ids are broadcast, so ``most`` bounds what that sends. Kept in the shared folder."""
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
-    rows = rows.filter(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = labelled_rows(labels, label)
     order = F.xxhash64("doc_id"), F.col("doc_id")
     parts = [rows.filter(F.col("label") == value).orderBy(*order).limit(n) for value, n in most.items()]
     chosen = parts[0]

@@ -15,6 +15,7 @@ extra columns are not carried by ``score``, and are kept as they are by ``withou
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,25 +26,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.labelled import held_out, sample
+from loomdoc.llm.labelled import held_out, label_counts, sample
 from loomdoc.llm.shared import written
 from loomdoc.tables import load
 
 QUERY = "op7_toxicity"
 SQL = None
 
+#: The curve's base at most: a text without evidence scores a tenth or less.
+NO_EVIDENCE = -2.2
 #: Labelled documents of each class that are learnt from, at most: {label: number}.
 SAMPLE = {1: 4_000, 0: 12_000}
 THRESHOLD = 0.3
-#: Terms: shortest and longest beginning of a word, most characters of a whole word, terms looked at and chosen, at most.
-PREFIX, WORD, LOOKED_AT, CHOSEN = (3, 9), 24, 6_000, 400
-#: A term is in so many labelled documents at least, and at most this share of its documents lack the label.
-LEAST_DOCS, MOST_CLEAN = 4, 0.2
-#: Terms are chosen until each labelled document that can be has so many; a document without the label counts so many
-#: times against a term, when both classes have the same weight.
-COVER, AGAINST = 4, 3
-#: Hits of one term that count in a text, at most.
-REPEATS = 4
+
+
+@dataclass(frozen=True)
+class Terms:
+    """What a lexicon may hold. None of it bounds the texts that are scored."""
+
+    #: Shortest and longest beginning of a word, and most characters of a whole word. A longer word is its beginnings.
+    prefix: tuple[int, int] = (3, 9)
+    word: int = 24
+    #: Terms of the sample that are looked at, those in most labelled documents first, and terms chosen, at most.
+    looked_at: int = 6_000
+    chosen: int = 400
+    #: A term is in so many labelled documents at least, and at most this share of its documents lack the label.
+    least_docs: int = 4
+    most_clean: float = 0.2
+    #: Terms are chosen until each labelled document that can be has so many; a document without the label counts so many
+    #: times against a term, when both classes have the same weight.
+    cover: int = 4
+    against: int = 3
+    #: Hits of one term that add to a text's evidence; None: all.
+    repeats: int | None = 4
+
+
 
 # Letters that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = {
@@ -78,13 +95,13 @@ def fold(text: str | None) -> str:
     return _SIGNS.sub(_letters, text)
 
 
-def terms_of(folded: str) -> set[str]:
+def terms_of(folded: str, limits: Terms = Terms()) -> set[str]:  # noqa: B008
     """Whole words as ``word$`` and beginnings of words as ``begin``."""
     out = set()
     for w in set(_TOKEN.findall(folded)):
-        if PREFIX[0] <= len(w) <= WORD:
+        if limits.prefix[0] <= len(w) <= limits.word:
             out.add(w + "$")
-        out.update(w[:k] for k in range(PREFIX[0], min(PREFIX[1], len(w)) + 1))
+        out.update(w[:k] for k in range(limits.prefix[0], min(limits.prefix[1], len(w)) + 1))
     return out
 
 
@@ -96,6 +113,7 @@ class Lexicon:
     exceptions: set = field(default_factory=set)
     base: float = -50.0
     slope: float = 0.0
+    repeats: int | None = Terms.repeats
 
     def automaton(self):
         found = ahocorasick.Automaton()
@@ -110,36 +128,34 @@ class Lexicon:
         """(term, the word it is in, the word before, the word after) of each hit that no exception takes away."""
         if not self.weights:
             return
+        words, starts = None, []
         for end, terms in automaton.iter(folded):
             start = end + 1 - len(terms[0].rstrip("$"))
             if start and _LETTER.match(folded[start - 1]):
                 continue
-            word = _TOKEN.match(folded, start)[0]
+            if words is None:  # most texts have no hit
+                found = list(_TOKEN.finditer(folded))
+                words, starts = [m[0] for m in found], [m.start() for m in found]
+            i = bisect_left(starts, start)
+            word = words[i]
+            before, after = words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""
+            if self.exceptions.intersection((word, (before, word), (word, after))):
+                continue
             for term in terms:
-                if term[-1] == "$" and start + len(word) != end + 1:
-                    continue
-                before = _last_word(folded, start)
-                after = _TOKEN.search(folded, start + len(word), start + len(word) + 100)
-                after = after[0] if after else ""
-                if not self.exceptions.intersection((word, (before, word), (word, after))):
+                if term[-1] != "$" or start + len(word) == end + 1:
                     yield term, word, before, after
 
     def evidence(self, text: str | None, automaton) -> float:
-        """Sum of the weights of a text's hits (a term ``REPEATS`` times at most), over the logarithm of its length."""
+        """Sum of the weights of a text's hits (a term ``repeats`` times at most), over the logarithm of its length."""
         folded = fold(text)
         counts = Counter(term for term, *_ in self.hits(folded, automaton))
-        total = sum(self.weights[t] * min(n, REPEATS) for t, n in counts.items())
+        total = sum(self.weights[t] * (n if self.repeats is None else min(n, self.repeats)) for t, n in counts.items())
         return total / np.log2(16 + len(folded) / 64)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.base + self.slope * evidence, -50, 50)))
 
 
-def _last_word(folded: str, end: int) -> str:
-    found = _TOKEN.findall(folded, max(0, end - 100), end)
-    return found[-1] if found else ""
-
-
 def _counted(rows: DataFrame, schema: str, of) -> DataFrame:
     """Counts by (label, key) that each task makes of its texts, summed."""
 
@@ -153,38 +169,38 @@ def _counted(rows: DataFrame, schema: str, of) -> DataFrame:
     return rows.mapInPandas(count, schema).groupBy("label", "key").agg(F.sum("n").alias("n"))
 
 
-def learn(df: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE) -> Lexicon:
-    """The lexicon of the sample. What reaches the driver is bounded by ``most``, ``LOOKED_AT`` and ``CHOSEN``."""
+def learn(df: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE, limits: Terms = Terms()) -> Lexicon:  # noqa: B008
+    """The lexicon of the sample. What reaches the driver is bounded by ``most`` and ``limits``."""
     rows = sample(df, labels, "toxic", most).filter("text IS NOT NULL").dropDuplicates(["text"])
     rows = written(rows.repartition(16, F.xxhash64("text")), "distinct")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         return Lexicon()
     schema, context = "label int, key string, n bigint", df.sparkSession.sparkContext
-    toxic = _counted(rows.filter("label = 1"), schema, terms_of).filter(F.col("n") >= LEAST_DOCS)
-    in_toxic = {r["key"]: r["n"] for r in toxic.orderBy(F.desc("n"), "key").limit(10 * LOOKED_AT).collect()}
+    toxic = _counted(rows.filter("label = 1"), schema, lambda folded: terms_of(folded, limits)).filter(F.col("n") >= limits.least_docs)
+    in_toxic = {r["key"]: r["n"] for r in toxic.orderBy(F.desc("n"), "key").limit(10 * limits.looked_at).collect()}
     known = context.broadcast(frozenset(in_toxic))
-    clean = _counted(rows.filter("label = 0"), schema, lambda folded: terms_of(folded) & known.value)
+    clean = _counted(rows.filter("label = 0"), schema, lambda folded: terms_of(folded, limits) & known.value)
     in_clean = {r["key"]: r["n"] for r in clean.collect()}
     share = size[1] / size[0]  # so that classes of any size in the sample weigh alike
-    pure = [t for t, n in in_toxic.items() if (c := in_clean.get(t, 0) * share) <= MOST_CLEAN * (n + c)]
+    pure = [t for t, n in in_toxic.items() if (c := in_clean.get(t, 0) * share) <= limits.most_clean * (n + c)]
     # Whole words before beginnings, long before short, where both cover the same.
-    looked_at = sorted(pure, key=lambda t: (-in_toxic[t], t[-1] != "$", -len(t), t))[:LOOKED_AT]
-    chosen = _chosen(rows.filter("label = 1"), looked_at, [AGAINST * share * in_clean.get(t, 0) for t in looked_at])
+    looked_at = sorted(pure, key=lambda t: (-in_toxic[t], t[-1] != "$", -len(t), t))[: limits.looked_at]
+    chosen = _chosen(rows.filter("label = 1"), looked_at, [limits.against * share * in_clean.get(t, 0) for t in looked_at], limits)
     odds = lambda t: np.log((in_toxic[t] + 0.5) / size[1]) - np.log((in_clean.get(t, 0) + 0.5) / size[0])
-    lexicon = Lexicon({t: float(odds(t)) for t in chosen})
+    lexicon = Lexicon({t: float(odds(t)) for t in chosen}, repeats=limits.repeats)
     lexicon.exceptions = _exceptions(rows, lexicon, share)
-    return _calibrated(rows, lexicon, size)
+    return _calibrated(rows, lexicon, size, label_counts(labels, "toxic"))
 
 
-def _chosen(toxic: DataFrame, looked_at: list[str], against: list[float]) -> list[str]:
+def _chosen(toxic: DataFrame, looked_at: list[str], against: list[float], limits: Terms) -> list[str]:
     """Greedy cover: the term that gains most documents which have too few, less what is against it, again and again. A term that begins like a
     chosen one, or the other way round, is that term's shadow and goes."""
     place = toxic.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(looked_at)})
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [sorted(i for t in terms_of(fold(text)) if (i := place.value.get(t)) is not None) for text in batch["text"]]
+            rows = [sorted(i for t in terms_of(fold(text), limits) if (i := place.value.get(t)) is not None) for text in batch["text"]]
             yield pd.DataFrame({"terms": rows})
 
     has = [r["terms"] for r in toxic.select("text").mapInPandas(of, "terms array<int>").toLocalIterator()]
@@ -193,9 +209,9 @@ def _chosen(toxic: DataFrame, looked_at: list[str], against: list[float]) -> lis
         matrix[i, terms] = True
     alive, cover, out = np.ones(len(looked_at), bool), np.zeros(len(has), int), []
     bare = [t.rstrip("$") for t in looked_at]
-    while len(out) < CHOSEN:
-        gain = np.where(alive, matrix[cover < COVER].sum(axis=0) - np.array(against), 0)
-        if not len(gain) or gain.max() < LEAST_DOCS:
+    while len(out) < limits.chosen:
+        gain = np.where(alive, matrix[cover < limits.cover].sum(axis=0) - np.array(against), 0)
+        if not len(gain) or gain.max() < limits.least_docs:
             break
         best = int(gain.argmax())  # the first of equals, see looked_at
         out.append(looked_at[best])
@@ -225,8 +241,12 @@ def _automaton(lexicon: Lexicon):
     return lexicon._made
 
 
-def _calibrated(rows: DataFrame, lexicon: Lexicon, size: dict[int, int]) -> Lexicon:
-    """The lexicon with a logistic curve through the sample's evidence (a row for each document of the bounded sample)."""
+def _calibrated(rows: DataFrame, lexicon: Lexicon, size: dict[int, int], labelled: dict[int, int]) -> Lexicon:
+    """The lexicon with a logistic curve through the sample's evidence (a row for each document of the bounded sample).
+
+    The sample is bounded for each class, so its shares are not those of the labels: the curve's base is moved by the
+    difference of their odds. A text without any evidence stays under the threshold, whatever the shares are.
+    """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
@@ -245,7 +265,8 @@ def _calibrated(rows: DataFrame, lexicon: Lexicon, size: dict[int, int]) -> Lexi
         base, slope = base - step[0], slope - step[1]
         if np.abs(step).max() < 1e-8:
             break
-    lexicon.base, lexicon.slope = float(base), float(max(slope, 0.0))
+    base += np.log(labelled[1] / labelled[0]) - np.log(size[1] / size[0])
+    lexicon.base, lexicon.slope = float(min(base, NO_EVIDENCE)), float(max(slope, 0.0))
     return lexicon
 
 
