@@ -8,6 +8,7 @@ an empty result; other columns of the input are not carried, so their names cann
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import ahocorasick
 import pandas as pd
@@ -30,22 +31,53 @@ RULES = [
 ]
 
 #: One of these rejects a URL.
-STRICT_TERMS = ["casino", "cheap-pills", "escort", "hentai", "porn", "spam-farm", "viagra", "warez", "xxx"]
+STRICT_TERMS = [
+    "bdsm", "camgirl", "camgirls", "casino", "casinos", "cheap-pills", "cialis", "escort", "escorts", "fake-id", "hentai", "keygen", "milf", "nsfw",
+    "online-casino", "payday-loan", "payday-loans", "phentermine", "porn", "porno", "pornhub", "sexcam", "sexcams", "slot-machine", "spam-farm",
+    "sportsbook", "upskirt", "viagra", "warez", "xanax", "xvideos", "xxx",
+]
 #: Terms that reject only together, with their weights.
 SOFT_TERMS = {
     "adult": 1.0,
     "bet": 1.0,
+    "bets": 1.0,
+    "betting": 1.5,
+    "blackjack": 1.5,
+    "bonus": 1.0,
     "cheap": 1.0,
+    "coupon": 1.0,
     "crack": 1.0,
+    "cracked": 1.5,
+    "dating": 1.0,
     "deals": 1.0,
+    "discount": 1.0,
+    "erotic": 1.5,
     "farm": 1.0,
     "free": 1.0,
+    "gamble": 1.5,
+    "gambling": 1.5,
+    "hookup": 1.5,
+    "hot": 1.0,
+    "jackpot": 1.5,
     "loan": 1.0,
+    "loans": 1.0,
+    "mature": 1.0,
+    "naked": 1.5,
     "nude": 1.5,
+    "nudes": 1.5,
+    "pharmacy": 1.0,
     "pills": 1.5,
     "poker": 1.5,
+    "replica": 1.5,
+    "roulette": 1.5,
+    "serial": 1.0,
     "sex": 1.5,
+    "sexy": 1.5,
+    "slots": 1.5,
     "spam": 1.5,
+    "teen": 1.0,
+    "torrent": 1.5,
+    "webcam": 1.0,
     "win": 1.0,
 }
 #: Sum of the weights of distinct soft terms from which a URL is rejected; no single weight reaches it.
@@ -90,10 +122,11 @@ class Vocabulary:
         self.automaton.make_automaton()
 
     def hits(self, url: str | None) -> tuple[int, int, float]:
-        """Distinct strict terms, distinct soft terms, and the weight of the soft ones."""
+        """Distinct strict terms, distinct soft terms, and the weight of the soft ones; percent codes count as what they
+        stand for."""
         if not url:
             return 0, 0, 0.0
-        text = url.translate(_FOLD)
+        text = (unquote(url) if "%" in url else url).translate(_FOLD)
         strict, soft = set(), set()
         for end, (term, is_strict) in self.automaton.iter(text):
             start = end + 1 - len(term)
@@ -151,7 +184,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    url = f"translate(coalesce(url, ''), '{UPPER}', '{LOWER}')"
+    url = f"translate(url_decode(coalesce(url, '')), '{UPPER}', '{LOWER}')"
 
     def hit(t: str) -> str:
         return f"CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN 1 ELSE 0 END"
