@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdoc.operators.lines import numbered
+
 
 def upsert_pages(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Whole page maps of ``new`` replace those of ``old``; pages that ``new`` lacks stay."""
@@ -70,8 +72,8 @@ def grouped_entries(links: DataFrame, existing: DataFrame, rest: str = "Other")
     used = used.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select("grp", F.col("pos").cast("long").alias("pos"), "page")
     left = existing.join(links.select("page").distinct(), "page", "left_anti")
     left = left.select(F.lit(rest).alias("grp"), "page")
-    left = left.select("grp", F.row_number().over(Window.partitionBy("grp").orderBy("page")).cast("long").alias("pos"), "page")
-    return used.unionByName(left)
+    left = numbered(left, "grp", "page", F.left("page", F.lit(3)), "pos")
+    return used.unionByName(left.select("grp", F.col("pos").cast("long").alias("pos"), "page"))
 
 
 def compared(now: DataFrame, before: DataFrame) -> DataFrame:

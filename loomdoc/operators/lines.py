@@ -57,12 +57,25 @@ def ordinals(rows: DataFrame, key: str, kept: Column, name: str = "n") -> DataFr
     return rows.filter(kept).withColumn(name, F.row_number().over(in_order(key)).cast("long"))
 
 
+def numbered(rows: DataFrame, group: str, order: str, bucket: Column, name: str) -> DataFrame:
+    """Rows numbered from 1 within a group by ``order``, which rises with ``bucket``: buckets are numbered one by one, and
+    their counts give what is before them. So a group of any size is no single task's work."""
+    rows = rows.withColumn("__bucket", bucket)
+    counts = rows.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(order))
+    out = rows.withColumn("__place", place).join(counts, [group, "__bucket"])
+    return out.withColumn(name, F.col("__place") + F.col("__before")).drop("__bucket", "__place", "__before")
+
+
 def next_filled(rows: DataFrame, key: str) -> DataFrame:
     """``next_line``: the next line that is not blank; ``ahead``: the next seven lines, joined."""
-    after = in_order(key).rowsBetween(1, Window.unboundedFollowing)
+    # From the end of the page, so that the frame grows and each row costs the same.
+    after = Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     seven = in_order(key).rowsBetween(1, 7)
     filled = F.when(F.trim("line") != "", F.col("line"))
-    out = rows.withColumn("next_line", F.first(filled, ignorenulls=True).over(after))
+    out = rows.withColumn("next_line", F.last(filled, ignorenulls=True).over(after))
     return out.withColumn("ahead", F.array_join(F.collect_list("line").over(seven), "\n"))
 
 

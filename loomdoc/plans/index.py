@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.operators import index as op
+from loomdoc.operators import lines
 from loomdoc.plans.registry import query
 from loomdoc.tables import load
 
@@ -73,13 +74,11 @@ SELECT event_id, h.id, CASE WHEN h.id IS NOT NULL THEN 'resolved' WHEN c IS NOT
 FROM links LEFT JOIN headings h USING (route, n) LEFT JOIN sizes USING (route)""",
 )
 def resolve_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomdoc.operators import lines
-
     orders = load(spark, sf_dir, "orders")
     headings = orders.select(
         F.col("o_orderpriority").alias("route"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("h"), F.col("o_orderkey").cast("string")).alias("id")
     )
-    headings = lines.ordinals(headings, "route", F.lit(True))
+    headings = lines.numbered(headings, "route", "pos", F.floor(F.col("pos") / 10_000), "n")
     least = orders.agg(F.min("o_orderpriority").alias("least"))
     route = F.when(F.col("event_type") == "error", "9-NONE").otherwise(F.col("least"))
     links = load(spark, sf_dir, "events").join(F.broadcast(least)).select("event_id", route.alias("route"), (F.col("event_id") % 700 + 1).alias("n"))
@@ -108,11 +107,12 @@ def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "duplicate_label_ambiguity",
     """
-WITH l AS (SELECT source, left(text, 12) AS label, doc_id AS id FROM documents)
+WITH l AS (SELECT source, lang || n_chars AS label, doc_id AS id FROM documents)
 SELECT source, label, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM l GROUP BY source, label""",
 )
 def duplicate_label_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = load(spark, sf_dir, "documents").select("source", F.left("text", F.lit(12)).alias("label"), F.col("doc_id").alias("id"))
+    label = F.concat("lang", F.col("n_chars").cast("string")).alias("label")
+    labels = load(spark, sf_dir, "documents").select("source", label, F.col("doc_id").alias("id"))
     return op.unambiguous(labels, ["source", "label"], "id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.functions import anchors
@@ -33,12 +33,9 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY pos
 SELECT doc_id, pos, CASE WHEN k = 1 THEN base ELSE base || '-' || CAST(k - 1 AS VARCHAR) END AS id FROM numbered""",
 )
 def line_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids counted for each base within a page: a window, as ids with ``-N`` never collide with ``#`` bases of slugs."""
     rows = lines(spark, sf_dir).withColumn("base", F.concat(F.lit("#"), anchors.underscore_slug(F.col("line"))))
-    k = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("pos"))
-    rows = rows.withColumn("k", k)
-    id_ = F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), (F.col("k") - 1).cast("string")))
-    return rows.select("doc_id", "pos", id_.alias("id"))
+    lists = op.in_document_order(rows, "doc_id", "base", "bases")
+    return lists.select("doc_id", F.posexplode(anchors.counted_hyphen(F.col("bases"))).alias("pos", "id"))
 
 
 @query(
