@@ -5,8 +5,8 @@ permutation within its format, so equal values have equal pseudonyms in all docu
 
 - card numbers: all digits but the last are permuted; the last is the Luhn digit again; groups stay.
 - IBANs: country, letters and groups stay, digits are permuted, the check digits are computed again.
-- social security numbers (ddd-dd-dddd in range), phone numbers (+ and a country code of 7 to 15 digits): digits after the
-  code are permuted, marks stay.
+- social security numbers (ddd-dd-dddd in range): permuted among the numbers in range.
+- phone numbers (+ and a country code, 7 to 15 digits): digits after the code are permuted, marks stay.
 - IPv4 addresses: the 32 bits are permuted.
 - dates (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy): the day is permuted within 1920-01-01 to 2060-03-07, or within its own year
   if it is outside.
@@ -17,8 +17,8 @@ Candidates that fail validation stay. The text is put together from the pieces b
 changes. Permutations of few characters can keep a value as it is; a pseudonym is a permutation, not a deletion.
 
 Edge cases: a null text stays null and has no entities; empty texts stay empty; texts of any length are searched whole;
-rows are treated one by one, so repeats and ties do not matter; an empty table gives an empty result; columns of the input
-are kept by ``pseudonymise``, whose own columns must be given other names if they clash (``counts`` is optional).
+rows are treated one by one, so repeats and ties do not matter; an empty table gives an empty result; all columns of the
+input are kept by ``pseudonymise``, whose own column gets underscores behind its name until no column has that.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from loomdoc.tables import load
 QUERY = "op2_pii"
 SQL = None
 
-#: For tests and these queries; a deployment gives its own secret.
-KEY = "loomdoc test key"
+#: For tests and these queries. A deployment sets a secret of its own as ``KEY_SETTING``: who has the key can undo pseudonyms.
+KEY, KEY_SETTING = "loomdoc test key", "spark.loomdoc.pii.key"
 ROUNDS = 6
 
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
@@ -195,9 +195,25 @@ def _iban(key: str, found: Column) -> Column:
     return let(bare, put)
 
 
+#: Social security numbers in range: areas but for one, and groups with serials.
+SSN_AREAS, SSN_MISSING, SSN_REST = 898, 666, (99, 9999)
+
+
 def _ssn(key: str, found: Column) -> Column:
+    """A permutation of the numbers in range, so a pseudonym is in range too."""
     valid = ~found.rlike("^(000|666|9..)|-00-|0000$")
-    return F.when(valid, with_digits(found, permuted_characters(key, "ssn", digits_of(found))))
+    part = lambda i: F.split_part(found, F.lit("-"), F.lit(i)).cast("long")
+    size = SSN_REST[0] * SSN_REST[1]
+    area = part(1) - F.when(part(1) > SSN_MISSING, 2).otherwise(1)
+    number = area * size + (part(2) - 1) * SSN_REST[1] + part(3) - 1
+
+    def shown(n: Column) -> Column:
+        at, rest = F.floor(n / size), n % size
+        digits = lambda x, width: F.lpad(x.cast("long").cast("string"), width, "0")
+        new_area = at + F.when(at >= SSN_MISSING - 1, 2).otherwise(1)
+        return F.concat_ws("-", digits(new_area, 3), digits(F.floor(rest / SSN_REST[1]) + 1, 2), digits(rest % SSN_REST[1] + 1, 4))
+
+    return F.when(valid, let(permuted_pair(key, "ssn", number, (SSN_AREAS, size)), shown))
 
 
 def _phone(key: str, found: Column) -> Column:
@@ -272,12 +288,25 @@ def entity(found: Column, key: str) -> Column:
     return let(kind_of(found), of)
 
 
-def pseudonymise(df: DataFrame, key: str = KEY, counts: str | None = "entities") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key that the session is set to use."""
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def pseudonymise(df: DataFrame, key: str | None = None, counts: str | None = "entities") -> DataFrame:
     """``df`` with the pseudonyms in ``text`` and, as column ``counts``, how many entities of each kind it has (a map).
 
-    Map-only, in the JVM.
+    Map-only, in the JVM. ``key``: that of the session, if none is given.
     """
-    text, found = F.col("text"), "__found"
+    text, found = F.col("text"), free_name(df, "__found")
+    key, counts = key or key_of(df.sparkSession), counts and free_name(df, counts)
     may = text.rlike("[0-9@]")  # every pattern needs one of these
     matches = F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = df.withColumn(found, F.transform(F.coalesce(matches, F.array().cast("array<string>")), lambda m: entity(m, key)))
