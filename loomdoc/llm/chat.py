@@ -70,6 +70,24 @@ def pieces_of(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, of_block))
 
 
+#: Numbers summed one by one; their sums are summed before.
+CHUNK = 256
+
+
+def starts_of(lengths: Column, first: int) -> Column:
+    """Where pieces of these lengths start, the first one at ``first``. A fold over an array copies what it has at each step,
+    so it goes over chunks, and over their sums: work grows with n * CHUNK, not n * n."""
+
+    def running(numbers: Column, start: Column) -> Column:
+        ends = F.aggregate(numbers, F.array(start), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+        return F.slice(ends, F.lit(1), F.size(numbers))
+
+    at = F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(CHUNK))
+    chunks = F.transform(at, lambda i: F.slice(lengths, i, F.lit(CHUNK)))
+    sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
+    return F.flatten(F.zip_with(chunks, running(sums, F.lit(first)), running))
+
+
 def format_conversations(df: DataFrame) -> DataFrame:
     """conv_id, formatted text and loss_spans for rows of (conv_id, turn, role, text). One shuffle, on conv_id."""
     turn = F.struct(
@@ -81,12 +99,8 @@ def format_conversations(df: DataFrame) -> DataFrame:
     rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     rows = rows.select("conv_id", pieces_of(blocks_of(F.col("turns"))).alias("pieces"))
     join = lambda p: F.concat(p["head"], p["body"], p["tail"])
-    ends = F.aggregate(
-        F.col("pieces"),
-        F.array(F.lit(len(BEGIN) + 1)),
-        lambda done, p: F.concat(done, F.array(F.element_at(done, -1) + F.length(join(p)))),
-    )
-    rows = rows.select("conv_id", "pieces", F.slice(ends, F.lit(1), F.size("pieces")).alias("starts"))
+    lengths = F.transform("pieces", lambda p: F.length(join(p)))
+    rows = rows.select("conv_id", "pieces", starts_of(lengths, len(BEGIN) + 1).alias("starts"))
     spans = F.zip_with(
         F.col("pieces"),
         F.col("starts"),

@@ -82,8 +82,8 @@ def cut_pieces(df: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
 def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths longest first, number of packs) for each pattern; every piece of the histogram is in one.
 
-    Shortest-pack-first: a length goes to the open packs with the most room. Open patterns are kept by room, each as its
-    last length and the pattern that it was added to.
+    Shortest-pack-first: a length goes to the open packs with the most room, and into a new one if none has enough, as if
+    pieces were packed one by one. Open patterns are kept by room, each as its last length and the pattern it was added to.
     """
     open_by_room: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
     rooms: list[int] = []  # sorted; rooms that have patterns
@@ -97,7 +97,14 @@ def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ..
         left = histogram[length]
         while left:
             if not rooms or rooms[-1] < length:
-                put(size - length, (length, None), left)
+                # New packs, each with as many of this length as it holds, and one with what is left over.
+                most = size // length
+                for copies, n in ((most, left // most), (left % most, 1)):
+                    if copies and n:
+                        pattern = None
+                        for _ in range(copies):
+                            pattern = (length, pattern)
+                        put(size - copies * length, pattern, n)
                 break
             room = rooms[-1]
             pattern, n = open_by_room[room].pop()

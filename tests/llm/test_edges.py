@@ -208,6 +208,52 @@ def test_quality(spark):
     assert quality.fit(df, none) is None
 
 
+def walked(trees, row):
+    """The score of a row, node by node."""
+    total = trees.base
+    for feature, cut, leaf in zip(trees.feature.tolist(), trees.cut.tolist(), trees.leaf.tolist(), strict=True):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+        total += leaf[node - len(feature)]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_trees_walked_one_by_one(spark):
+    """Scores of flat arrays against a walk from node to node, and the verdicts that come of them."""
+    from loomdoc.llm import gbt
+
+    rng = np.random.default_rng(4)
+    n = len(quality.FEATURES)
+    x = rng.normal(size=(800, n))
+    trees = gbt.fit(x, (x[:, 0] - x[:, 2] + rng.normal(size=800) / 2 > 0).astype(float), list(quality.FEATURES.values()))
+    assert np.allclose(trees.score(x[:200]), [walked(trees, row) for row in x[:200]])
+    texts = [f"Some words of text number {i}, {'which are repeated ' * (i % 4)}and an end of it." for i in range(40)] + [None, ""]
+    got = {r["doc_id"]: r for r in quality.judge(brute.frame(spark, texts), trees).collect() if r["doc_id"] is not None}
+    for i, text in enumerate(texts):
+        score = walked(trees, np.array(quality.statistics(text)[len(quality.BASE) :], float))
+        assert abs(got[i]["score"] - score) < 1e-9
+        assert got[i]["kept"] == (not got[i]["base_failed"] and score >= quality.LEAST_SCORE)
+
+
+def test_packs_are_those_of_piece_by_piece_packing():
+    """Counts of patterns against packing single pieces: longest first, each into the pack with the most room."""
+    rng = np.random.default_rng(2)
+    for size in (7, 64, 1000):
+        lengths = rng.integers(1, size + 1, 400).tolist()
+        packs: list[list[int]] = []
+        for length in sorted(lengths, reverse=True):
+            roomy = max(packs, key=lambda p: size - sum(p), default=None)
+            if roomy is None or size - sum(roomy) < length:
+                packs.append([length])
+            else:
+                roomy.append(length)
+        got = packing.plan_packs(dict(Counter(lengths)), size)
+        assert sum(n for _, n in got) == len(packs)
+        assert Counter(x for p, n in got for x in p for _ in range(n)) == Counter(lengths)
+        assert sorted(sum(p) for p, n in got for _ in range(n)) == sorted(map(sum, packs))
+
+
 def test_trees_keep_their_constraints():
     from loomdoc.llm import gbt
 
@@ -301,6 +347,20 @@ def test_fold():
     assert toxicity.fold("W0rthless cl\u043ewn h@te 2024 a$b! $5") == "worthless clown hate 2024 asb! $5"
 
 
+def test_chat_of_many_turns(spark):
+    """Spans of a conversation of some thousand turns, over many chunks of the sums."""
+    from pyspark.sql import functions as F
+
+    n = 2 * chat.CHUNK + 77
+    rows = spark.range(n).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 > 0, "assistant").otherwise("user").alias("role"), F.format_string("t%d<", F.col("id")).alias("text"))
+    row = chat.format_conversations(rows).first()
+    told = [row["formatted"][s["start"] - 1 :][: s["length"]] for s in row["loss_spans"]]
+    assert told == [f"t{i}<\\" for i in range(n) if i % 3]
+    for k in (0, 1, chat.CHUNK, chat.CHUNK + 1):
+        got = spark.range(1).select(chat.starts_of(F.array(*[F.lit(2)] * k).cast("array<int>"), 4).alias("x")).first()["x"]
+        assert got == [4 + 2 * i for i in range(k)]
+
+
 @pytest.mark.parametrize("texts", [["a", "b"], ["[/END]", "<s>\\[", "\\", "[ROLE]x[/ROLE]", "", None, "[TURN]", "<\\["]])
 def test_chat_round_trip(spark, texts):
     from pyspark.sql import functions as F
