@@ -9,6 +9,8 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+from loomdoc.functions.wiki import site_route
+
 # Tags by how they are rendered, title spellings, id prefixes by section, callouts.
 CODE_TAGS = set("varname function literal command code option constant type classname envar parameter computeroutput filename userinput".split())
 LISTING_TAGS = {"programlisting", "screen", "literallayout"}
@@ -116,7 +118,7 @@ def span(node: ElementTree.Element) -> str:
         return f'"{text}"'
     if tag in ("ulink", "link", "xref"):
         end = node.get("linkend", "")
-        url = node.get("url") or (f"#{end}" if end else "")
+        url = site_route(node.get("url") or (f"#{end}" if end else ""))
         if tag == "ulink" and url and not re.search("/|^#", url):
             url = f"../{url}"
         return f"[{text.strip() or label_of(end) or url}]({url})"

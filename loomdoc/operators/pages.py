@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdoc.functions import docbook, mdx, wiki
+from loomdoc.functions import code, docbook, mdx, wiki
 from loomdoc.operators.lines import fenced, in_order, lines_of
 
 BLOCK = T.StructType().add("pos", T.IntegerType()).add("kind", T.StringType()).add("level", T.IntegerType()).add("text", T.StringType())
@@ -34,7 +34,7 @@ def safe_markdown(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def code_language(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: wiki.language_of(t.split("\n")) if t is not None else None)
+    return texts.map(lambda t: code.language_of(t.split("\n")) if t is not None else None)
 
 
 @F.pandas_udf(T.StringType())

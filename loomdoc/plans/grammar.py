@@ -87,7 +87,7 @@ BLOCKS: Cases = {
     "rule": ("«first»\n----\n«second»", "«first»\n\n---\n\n«second»"),
     "bullets": ("* «kind»\n** «first»\n*** «second»", "* «kind»\n  * «first»\n    * «second»"),
     "ordered become bullets": ("# «first»\n## «second»", "* «first»\n  * «second»"),
-    "bullet with a bracket": ("* <«first»> x", "* \\<«first»> x"),
+    "bullet with a bracket": ("* <«first»> x", "* \\`<«first»>` x"),
     "definition": ("   '''''- «first»: '''''The «second».", "  * **«first»:** The «second»."),
     "anchor line": ("[[#«first» «second»]]\n! «name»", "## «name» {#«first»_«second»}"),
     "directive line": ("(:toc:)\n«name»", "«name»"),
@@ -117,6 +117,14 @@ PASSES: Cases = {
     "red note of a heading": ("! «name» %red%(since «key»)%%\nend", "## «name»\n\n> [!WARNING]\n> since «key»\n\nend"),
     "levels from two, without gaps": ("!!! «kind»\n!!!!! «first»\n!!! «second»", "## «kind»\n### «first»\n## «second»"),
     "anchor of the next heading only": ("[[#«first»]]\n«kind»\n! «name»", "«kind»\n## «name»"),
+    "text of links for ids": ("see [[#«first»|«name»]]\n! «name»\n! «kind»", "see [«name»](#«first»)\n## «name» {#«first»}\n## «kind»"),
+    "unsafe prose": ("the <«low»> of «name»\n! {«first».len}", "the `<«low»>` of «name»\n## {«first».len}"),
+    "link to the old site's manual": (
+        "[[http://x.example/Documentation/Page-«key»-4#a|«name»]]", "[«name»](/docs/manual/«key»-4/page#a)"
+    ),
+    "coloured code": ("$(%blue%<«first»>%%«second»%red%[«key»]%%)", "`$(@@blue|<«first»>@@«second»@@red|[«key»]@@)`"),
+    "green code in parts": ("$(%green%<«first»>%%«second»)", "`$(`*`<«first»>`*`«second»)`"),
+    "empty braces once": ("«first»{} of «name»", "«first»\\{\\} of «name»"),
     "green code": ("%green%$«first»%% is code", "`$«first»` is code"),
     "obsolete": ("%red%TO BECOME OBSOLETE «name»%%", "> [!WARNING]\n> TO BECOME OBSOLETE «name»"),
     "rules at the ends, empty comments": ("----\n«name»\n! Comments", "«name»"),

@@ -39,7 +39,7 @@ MANUAL = """<?xml version="1.0"?>
 <section id="s2"><title>parameters</title>
 <section id="p1"><title><varname>«first»_x</varname> (string)</title>
 <para>Uses <emphasis role="bold">«name»</emphasis>, <emphasis>«kind»</emphasis>, <quote>«key»</quote>, H<subscript>2</subscript>O;
-see <ulink url="other.html">«second»</ulink> and <xref linkend="p1"/>.</para>
+see <ulink url="other.html">«second»</ulink>, <ulink url="http://x.example/html/docs/modules/3.4.x/«first».html#a">it</ulink> and <xref linkend="p1"/>.</para>
 <example><title>Set «first»</title><programlisting>
 set("«name»")
 </programlisting></example></section>
@@ -64,7 +64,7 @@ About the «first» & &lost;.
 #### `«first»_x` (string)
 
 Uses **«name»**, *«kind»*, "«key»", H<sub>2</sub>O;
-see [«second»](../other.html) and [p1](#param_«first»_x).
+see [«second»](../other.html), [it](/docs/modules/3-4/«first»#a) and [p1](#param_«first»_x).
 
 ```c title="Set «first»"
 set("«name»")
