@@ -2,9 +2,9 @@
 
 A task gathers documents to a shard of a bounded number of words, indexes it, and searches all windows of a block of items
 by backward search; occurrences are located from sampled suffix positions and merged to spans. The index's alphabet is the
-words of the items: any other word is a separator, and stretches between separators that are shorter than the shortest
-window cannot hold one and are left out. Items come in blocks of a bounded size, each broadcast; a shard is held against
-every block, so neither table has to be small. Map-only over documents: nothing is shuffled.
+words of all items: any other word is a separator, and stretches between separators that are shorter than the shortest
+window cannot hold one and are left out. Items come in blocks of a bounded size, each broadcast; a shard is indexed once and
+searched for every block. Map-only over documents: nothing is shuffled.
 
 Edge cases: null texts and texts without words have no windows and no hits; an item of fewer words than a window is one
 window; items with equal ids count as one, items with a null id are not searched; a document of any length is one part of
@@ -43,48 +43,52 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of items, over a vocabulary of its own."""
+    """The windows of a block of items; ``symbol`` numbers the words of all blocks, and grows."""
 
-    def __init__(self, items: list[tuple], window: int):
-        self.symbol: dict[bytes, int] = {}
+    def __init__(self, items: list[tuple], window: int, symbol: dict[bytes, int]):
         self.items = [item for item, _ in items]
-        found: dict[tuple[int, ...], set[int]] = {}
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, (_, text) in enumerate(items):
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(k)
-        by_length: dict[int, list] = {}
-        for phrase, of in found.items():
-            by_length.setdefault(len(phrase), []).append((phrase, sorted(of)))
+            ids = np.array([symbol.setdefault(w, len(symbol) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                rows = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+                by_length.setdefault(rows.shape[1], []).append((rows, k))
         #: (length, phrases, first place in ``owners`` of each and the end, owners)
-        self.groups = [
-            (
-                length,
-                np.array([p for p, _ in rows], np.int64),
-                np.cumsum([0, *(len(of) for _, of in rows)]),
-                np.array([k for _, of in rows for k in of], np.int64),
-            )
-            for length, rows in sorted(by_length.items())
-        ]
+        self.groups = []
+        for length, parts in sorted(by_length.items()):
+            phrases, which = np.unique(np.concatenate([rows for rows, _ in parts]), axis=0, return_inverse=True)
+            of = np.repeat([k for _, k in parts], [len(rows) for rows, _ in parts])
+            pairs = np.unique(np.stack([which.reshape(-1), of]), axis=1)
+            self.groups.append((length, phrases, np.searchsorted(pairs[0], np.arange(len(phrases) + 1)), pairs[1]))
 
     @property
     def shortest(self) -> int:
-        return self.groups[0][0] if self.groups else 0
+        return self.groups[0][0] if self.groups else 1 << 62
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcast blocks of items; the driver holds one block's texts at a time."""
-    context, out, block, size = benchmark.sparkSession.sparkContext, [], [], 0
-    rows = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator()
-    for row in rows:
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-        if size >= block_bytes:
-            out.append(context.broadcast(Phrases(block, window)))
-            block, size = [], 0
-    if block:
-        out.append(context.broadcast(Phrases(block, window)))
-    return out
+class Benchmark:
+    """All items in blocks of a bounded size, each broadcast by itself, and the words of all of them.
+
+    The driver holds one block's texts at a time. Executors read all blocks for each shard, so items are what has to fit them;
+    documents are not.
+    """
+
+    def __init__(self, table: DataFrame, window: int, block_bytes: int):
+        context, symbol, block, size = table.sparkSession.sparkContext, {}, [], 0
+        self.blocks = []
+        rows = table.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator()
+        for row in rows:
+            block.append((row["item_id"], row["text"]))
+            size += len(row["text"])
+            if size >= block_bytes:
+                self.blocks.append(context.broadcast(Phrases(block, window, symbol)))
+                block, size = [], 0
+        if block:
+            self.blocks.append(context.broadcast(Phrases(block, window, symbol)))
+        self.symbol = context.broadcast(symbol)
+
+    def search(self, shard: Shard) -> None:
+        shard.search(self.symbol.value, [b.value for b in self.blocks])
 
 
 class Shard:
@@ -97,41 +101,39 @@ class Shard:
         self.hit = np.zeros(int(self.n_words.sum()), bool)
         self.items: list[set] = [set() for _ in texts]
 
-    def search(self, phrases: Phrases) -> None:
-        """Mark the words in occurrences of any phrase, and note whose they are."""
-        if not phrases.groups:
-            return
-        get = phrases.symbol.get
+    def search(self, symbol: dict[bytes, int], blocks: list[Phrases]) -> None:
+        """Mark the words in occurrences of any phrase, and note whose they are. One index serves all blocks."""
+        shortest = min((b.shortest for b in blocks), default=1 << 62)
         text = [np.zeros(1, np.int32)]
         for words in self.words:
-            text.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
+            text.append(np.fromiter(map(symbol.get, words, repeat(0)), np.int32, len(words)))
             text.append(np.zeros(1, np.int32))
         text = np.concatenate(text)  # document d's word i is at starts[d] + i + d + 1
         cut = np.flatnonzero(text == 0)
-        long_ = np.flatnonzero(np.diff(cut) > phrases.shortest)
+        long_ = np.flatnonzero(np.diff(cut) > shortest)
         if not len(long_):
             return
         # The stretches that can hold a window, each with the separator before it.
         sizes = np.diff(cut)[long_]
         place = np.repeat(cut[long_] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        index = FMIndex(text[place], len(phrases.symbol) + 1)
+        index = FMIndex(text[place], len(symbol) + 1)
         change = np.zeros(len(self.hit) + 1, np.int64)
-        lengths = self.n_words + 1
-        ends = np.cumsum(lengths)  # of documents in ``text``, counted without the first separator
-        for length, rows, first_owner, owners in phrases.groups:
-            first, end = index.search(rows)
-            n = end - first
-            if not n.sum():
-                continue
-            which = np.repeat(np.arange(len(rows)), n)
-            suffix = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            at = place[index.locate(suffix)] - 1
-            doc = np.searchsorted(ends, at, side="right")
-            word = at - doc
-            np.add.at(change, word, 1)
-            np.add.at(change, word + length, -1)
-            for d, p in np.unique(np.stack([doc, which]), axis=1).T.tolist():
-                self.items[d].update(phrases.items[k] for k in owners[first_owner[p] : first_owner[p + 1]])
+        ends = np.cumsum(self.n_words + 1)  # of documents in ``text``, counted without the first separator
+        for block in blocks:
+            for length, rows, first_owner, owners in block.groups:
+                first, end = index.search(rows)
+                n = end - first
+                if not n.sum():
+                    continue
+                which = np.repeat(np.arange(len(rows)), n)
+                suffix = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                at = place[index.locate(suffix)] - 1
+                doc = np.searchsorted(ends, at, side="right")
+                word = at - doc
+                np.add.at(change, word, 1)
+                np.add.at(change, word + length, -1)
+                for d, p in np.unique(np.stack([doc, which]), axis=1).T.tolist():
+                    self.items[d].update(block.items[k] for k in owners[first_owner[p] : first_owner[p + 1]])
         self.hit |= np.cumsum(change[:-1]) > 0
 
     def n_hit(self) -> np.ndarray:
@@ -178,12 +180,11 @@ def cleaned(text: str, hit: np.ndarray) -> str:
 
 def judge(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    blocks = item_blocks(benchmark, window, block_bytes)
+    items = Benchmark(benchmark, window, block_bytes)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, shard in shards(batches, shard_words):
-            for block in blocks:
-                shard.search(block.value)
+            items.search(shard)
             n_hit = shard.n_hit()
             found = {
                 "doc_id": rows["doc_id"],
@@ -202,12 +203,11 @@ def judge(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words
 
 def without_hits(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows and columns of ``df``, with the removal spans cut out of ``text``; other texts are untouched."""
-    blocks = item_blocks(benchmark, window, block_bytes)
+    items = Benchmark(benchmark, window, block_bytes)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at, shard in shards(batches, shard_words):
-            for block in blocks:
-                shard.search(block.value)
+            items.search(shard)
             texts = rows.column(at).to_pylist()
             for i in np.flatnonzero(shard.n_hit()):
                 a = shard.starts[i]
