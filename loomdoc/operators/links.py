@@ -59,12 +59,13 @@ def addressed(links: DataFrame, slug: str) -> DataFrame:
 def rewritten_anchors(pages: DataFrame, key: str, body: str, slug: str, index: DataFrame) -> DataFrame:
     """``pages`` (key, body, slug) whose links to places of other pages have the ids that ``index`` (section, slug, page, ref,
     id) gives; a position (``#tocN``) beyond a known page's end goes, whatever else ``index`` lacks stays."""
-    rows = link_rows(pages, key, body).join(pages.select(key, F.col(slug).alias("__slug")), key)
-    found = addressed(rows, "__slug").select(key, "pos", "section", F.col("version").alias("slug"), "page", "ref", "__open")
+    slugs = pages.select(F.col(key).alias("__key"), F.col(slug).alias("__slug"))
+    rows = link_rows(pages, key, body).withColumnRenamed(key, "__key").join(slugs, "__key")
+    found = addressed(rows, "__slug").select("__key", "pos", "section", F.col("version").alias("slug"), "page", "ref", "__open")
     found = resolve_refs(found, index).filter(F.col("state").isin("resolved", "dropped"))
     bare = F.regexp_replace("__open", "#$", "")
     url = F.when(F.col("ref").isNull(), bare).otherwise(F.concat("__open", "ref"))
-    return with_links(pages, key, body, found.select(key, "pos", url.alias("url")))
+    return with_links(pages, key, body, found.select(F.col("__key").alias(key), "pos", url.alias("url")))
 
 
 def rewritten_positions(pages: DataFrame, route: str, body: str, headings: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def rewritten_positions(pages: DataFrame, route: str, body: str, headings: DataF
 
 def rewritten_ids(pages: DataFrame, key: str, body: str, ids: DataFrame) -> DataFrame:
     """``pages`` whose links to routes of the site have new ids for old ones, by ``ids`` (section, slug, page, ref, id)."""
-    rows = link_rows(pages, key, body).withColumn("__slug", F.lit(None).cast("string"))
+    rows = link_rows(pages, key, body).withColumnRenamed(key, "__key").withColumn("__slug", F.lit(None).cast("string"))
     found = addressed(rows, "__slug").filter(F.col("url").rlike(ROUTE)).withColumn("slug", F.col("version"))
     found = found.join(ids.select("section", "slug", "page", "ref", "id"), ["section", "slug", "page", "ref"]).filter("id <> ref")
-    return with_links(pages, key, body, found.select(key, "pos", F.concat("__open", "id").alias("url")))
+    return with_links(pages, key, body, found.select(F.col("__key").alias(key), "pos", F.concat("__open", "id").alias("url")))
