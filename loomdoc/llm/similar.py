@@ -7,8 +7,8 @@ candidate is held against sketches of 256 bits, which drop a pair at 0.8 in fewe
 leave is decided by the shingles themselves.
 
 Classes are components of similar pairs, so pairs within a class need not be met. Two rounds link the members of a key to
-one of them: any one first, then the one with the most links yet, which for copies of one original is the original. Then
-every two members of a key that are in different components are compared, whatever they are to others. So a large group of
+one of them: any one first, then the one with the most links yet, which for copies of one original is the original, unless
+they are in its component by then. Then every two members of a key that are in different components are compared, whatever they are to others. So a large group of
 near copies is one component before pairs are made, and no partner is left out.
 
 A node is a distinct set of shingles. Texts without words are one node, as are texts that differ in case and white space
@@ -151,18 +151,19 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(alike).select("u", "v")
 
 
-def _to_one(keys: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Pairs (u, v): each member of a key and one of them, the one that most ``links`` have."""
+def _to_one(keys: DataFrame, links: DataFrame | None, placed: DataFrame | None) -> DataFrame:
+    """Pairs (u, v): each member of a key and one of them, the one that most ``links`` have. Members whose component
+    (``placed``) is that one's already are linked to it."""
     hash_ = F.xxhash64("token")
     if links is None:
         hubs = keys.groupBy("token").agg(F.min(F.col("node").bitwiseXOR(hash_)).alias("hub"))
-    else:
-        degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        ranked = keys.join(degree, "node")
-        hubs = ranked.groupBy("token").agg(F.max(F.struct("links", F.col("node").bitwiseXOR(hash_).alias("hub"))).alias("best"))
-        hubs = hubs.select("token", F.col("best.hub").alias("hub"))
-    hubs = hubs.select("token", F.col("hub").bitwiseXOR(hash_).alias("v"))
-    return keys.join(hubs, "token").select(F.col("node").alias("u"), "v")
+        return keys.join(hubs.select("token", F.col("hub").bitwiseXOR(hash_).alias("v")), "token").select(F.col("node").alias("u"), "v")
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    ranked = placed.join(degree, "node")
+    best = F.struct("links", F.col("node").bitwiseXOR(hash_).alias("hub"), "component")
+    hubs = ranked.groupBy("token").agg(F.max(best).alias("best"))
+    hubs = hubs.select("token", F.col("best.hub").bitwiseXOR(hash_).alias("v"), F.col("best.component").alias("of_hub"))
+    return placed.join(hubs, "token").filter(F.col("component") != F.col("of_hub")).select(F.col("node").alias("u"), "v")
 
 
 def _across(keys: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -183,7 +184,7 @@ def _across(keys: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
     joined = keys.join(components(links).withColumnRenamed("component", "c"), "node", "left")
-    return joined.select("token", "node", "place", F.coalesce("c", "node").alias("component"))
+    return written(joined.select("token", "node", "place", F.coalesce("c", "node").alias("component")), "placed")
 
 
 def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -196,12 +197,14 @@ def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     shared = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
     keys = written(rows.join(shared, "token", "left_semi").distinct(), "keys")
 
-    links, sets = None, None
+    links, sets, placed = None, None, None
     for turn in ("any", "most", "all"):
+        if links is not None:
+            placed = _with_component(keys, links)
         if turn == "all":
-            pairs = _across(_with_component(keys, links), nodes, similarity)
+            pairs = _across(placed, nodes, similarity)
         else:
-            pairs = _to_one(keys, links).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            pairs = _to_one(keys, links, placed).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             pairs = likely(pairs, nodes, similarity)
         if turn == "any":  # the nearest of them will do
             pairs = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
