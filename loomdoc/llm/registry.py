@@ -19,6 +19,9 @@ MODULES = [
     "chat",
     "packing",
     "token_files",
+    "prefix_trie",
+    "token_counts",
+    "filter_audit",
 ]
 
 
