@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.sources.readers import resolved_entities
+
 _DESCRIPTION = "description: string"
 SCHEMA = (
     "name string, description string, "
@@ -23,22 +25,77 @@ COLUMN_HEAD = ["name", "type", "size", "default", "null", "description", "key",
 INDEX_HEAD = ["name", "type", "links", "description"]
 
 
-def flattened(xml: Column) -> Column:
-    """XML without declaration, DOCTYPE, comments and namespaces; paragraphs in descriptions unwrapped."""
-    out = F.regexp_replace(xml, r"(?s)<\?xml[^?]*\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[[^\]]*\])?\s*>", "")
-    out = F.regexp_replace(out, r'\s+xmlns(:\w+)?="[^"]*"', "")
-    out = F.regexp_replace(out, r"(</?)\w+:", "$1")
-    return F.trim(F.regexp_replace(out, "</?para>", ""))
-
-
-def parsed_tables(files: DataFrame) -> DataFrame:
-    """Columns of ``files`` (with ``xml``) and ``t``, the table; files that are no table are left out."""
-    rows = files.withColumn("t", F.from_xml(flattened(F.col("xml")), SCHEMA, {"rowTag": "table", "mode": "PERMISSIVE"}))
-    return rows.filter(F.col("t.name").isNotNull()).drop("xml")
+# Inline elements of descriptions that are code (and ``type``, which columns have too); references that XML itself has.
+CODE = "varname|function|literal|command|code|option|constant|classname|envar|parameter|computeroutput|filename|userinput"
+XML_NAMES = ("lt", "gt", "amp", "quot", "apos")
+
+
+def without_prolog(xml: Column) -> Column:
+    """XML without declaration, DOCTYPE and comments."""
+    return F.trim(F.regexp_replace(xml, r"(?s)<\?xml[^?]*\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[[^\]]*\])?\s*>", ""))
+
+
+def with_values(text: Column, values: Column) -> Column:
+    """``text`` with the values of a map in place of references. XML's own references stay, others are escaped, so they read
+    as they are written; so are those that a value has left, as values that refer to each other do."""
+    names = F.regexp_extract_all(text, F.lit(r"&([\w.-]+);"), F.lit(1))
+    known = lambda n: F.when(~n.isin(*XML_NAMES), F.try_element_at(values, n))
+    put = F.transform(names, lambda n: F.coalesce(known(n), F.concat(F.lit("&"), n, F.lit(";"))))
+    pieces = F.zip_with(F.split(text, r"&[\w.-]+;", -1), put, lambda piece, value: F.concat(piece, F.coalesce(value, F.lit(""))))
+    return F.regexp_replace(F.array_join(pieces, ""), rf"&(?!(?:{'|'.join(XML_NAMES)});)([\w.-]+);", "&amp;$1;")
+
+
+def substituted(texts: DataFrame, entities: DataFrame, scope: str, text: str) -> DataFrame:
+    """``texts`` with the references in ``text`` replaced by the declarations (scope, name, value) of their scope, which may
+    refer to each other. A scope's declarations are one file's, so they are one map; texts are joined to it by scope."""
+    whole = resolved_entities(entities).groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__values"))
+    whole = whole.withColumnRenamed("scope", "__scope")
+    values = F.coalesce("__values", F.create_map().cast("map<string,string>"))
+    rows = texts.join(whole, F.col(scope) == F.col("__scope"), "left")
+    return rows.withColumn(text, with_values(F.col(text), values)).drop("__scope", "__values")
+
+
+def inlined(xml: Column) -> Column:
+    """Inline elements of descriptions as Markdown in the XML text; namespaces go."""
+    put = [
+        (r'\s+xmlns(:\w+)?="[^"]*"', ""),
+        (r"(</?)\w+:", "$1"),
+        (r"</?(?:sim)?para>", ""),
+        (rf"</?(?:{CODE})>", "`"),
+        (r"</?quote>", "&quot;"),
+        (r"(</?)su(per|b)script>", "$1su$2>"),
+        (r"<(/?)su(per|b)>", "&lt;$1su$2&gt;"),
+        ("&lt;(/?)super&gt;", "&lt;$1sup&gt;"),
+        (r'(?s)<emphasis[^>]*\brole="[^"]*[Bb]old[^"]*"[^>]*>\s*(.*?)\s*</emphasis>', "**$1**"),
+        (r"(?s)<emphasis[^>]*>\s*(.*?)\s*</emphasis>", "*$1*"),
+        (r'<ulink([^>]*)\burl="([^"/#][^"/]*)"', '<ulink$1url="../$2"'),
+        (r'(?s)<ulink[^>]*\burl="([^"]*)"[^>]*?(?:/>|>\s*</ulink>)', "[$1]($1)"),
+        (r'(?s)<ulink[^>]*\burl="([^"]*)"[^>]*>\s*(.*?)\s*</ulink>', "[$2]($1)"),
+    ]
+    for pattern, new in put:
+        xml = F.regexp_replace(xml, pattern, new)
+    return F.trim(xml)
+
+
+def parsed_tables(files: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Columns of ``files`` (slug, xml) and ``t``, the table; files that are no table are left out. References are replaced
+    by the declarations (scope, name, value) of a file's slug before the text is parsed."""
+    rows = files.withColumn("xml", without_prolog(F.col("xml")))
+    if entities is not None:
+        rows = substituted(rows, entities, "slug", "xml")
+    else:
+        rows = rows.withColumn("xml", with_values(F.col("xml"), F.create_map().cast("map<string,string>")))
+    options = {"rowTag": "table", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    rows = rows.withColumn("t", F.from_xml(inlined(F.col("xml")), f"{SCHEMA}, broken string", options))
+    return rows.filter(F.col("t.name").isNotNull() & F.col("t.broken").isNull()).drop("xml")
+
+
+def described(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "</?type>", "`"), r"\s+", " "))
 
 
 def one_line(c: Column) -> Column:
-    return F.replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), F.lit("|"), F.lit("\\|"))
+    return F.replace(described(c), F.lit("|"), F.lit("\\|"))
 
 
 def shown_default(d: Column) -> Column:
@@ -94,7 +151,7 @@ def index_lines(t: Column) -> Column:
 
 def rendered(t: Column) -> Column:
     """A table's section: heading, description, columns, indexes."""
-    about = F.trim(F.regexp_replace(F.coalesce(t["description"], F.lit("")), r"\s+", " "))
+    about = described(t["description"])
     indexes = F.when(
         F.size(F.coalesce(t["index"], F.array())) > 0,
         F.concat(F.lit("\n\n**Indexes**\n\n"), _head(INDEX_HEAD), F.lit("\n"), F.array_join(index_lines(t), "\n")),
@@ -112,10 +169,11 @@ def includes_of(modules: DataFrame) -> DataFrame:
     return modules.select("slug", "module_file", name.alias("db_name"), F.posexplode(refs).alias("ord", "table_file"))
 
 
-def schema_pages(modules: DataFrame, tables: DataFrame) -> DataFrame:
+def schema_pages(modules: DataFrame, tables: DataFrame, entities: DataFrame | None = None, hosts: str = "") -> DataFrame:
     """(slug, body, n_tables, n_missing): a page per version; modules in name order, tables in include order; includes of a
-    missing or unreadable table are counted and left out."""
-    parts = parsed_tables(tables).select("slug", "table_file", rendered(F.col("t")).alias("part"))
+    missing or unreadable table are counted and left out. ``entities`` has each version's declarations. Addresses of module
+    pages on the old site, whose hosts the pattern ``hosts`` matches, become links to the version's own module pages."""
+    parts = parsed_tables(tables, entities).select("slug", "table_file", rendered(F.col("t")).alias("part"))
     rows = includes_of(modules).join(parts, ["slug", "table_file"], "left")
     per_module = rows.groupBy("slug", "module_file", "db_name").agg(
         F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("ord", "part")))).alias("parts"),
@@ -124,8 +182,11 @@ def schema_pages(modules: DataFrame, tables: DataFrame) -> DataFrame:
     section = F.concat(F.lit("## "), "db_name", F.lit("\n\n"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n"))
     per_module = per_module.select("slug", "module_file", section.alias("section"), F.size("parts").alias("n"), "missing")
     ordered = F.array_sort(F.collect_list(F.struct("module_file", "section")))
+    body = F.array_join(F.transform(ordered, lambda p: p["section"]), "\n")
+    if hosts:
+        body = F.regexp_replace(body, F.lit(rf"https?://(?:{hosts})/docs/modules/[\w.+-]+/([\w-]+)\.html"), F.concat(F.lit("[$1](/docs/modules/"), "slug", F.lit("/$1)")))
     return per_module.groupBy("slug").agg(
-        F.array_join(F.transform(ordered, lambda p: p["section"]), "\n").alias("body"),
+        body.alias("body"),
         F.sum("n").alias("n_tables"),
         F.sum("missing").alias("n_missing"),
     )
