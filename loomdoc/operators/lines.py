@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,29 @@ def fenced(lines: DataFrame, key: str, is_fence: Column) -> DataFrame:
     return lines.withColumn("in_fence", is_fence | (n % 2 == 1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def heading_parts(line: Column) -> Column:
+    """struct(level, text, id) of a heading line from level 2 on, null for any other line. ``id`` is what stands in
+    ``{#...}`` at its end, null without."""
+
+    def told(bare: Column, level: Column, rest: Column) -> Column:
+        own = F.substring_index(rest, "{#", -1)
+        has_id = rest.contains("{#") & (F.instr(own, "}") == F.length(own)) & (F.length(own) > 1)
+        text = F.when(has_id, F.rtrim(F.left(rest, F.length(rest) - F.length(own) - 2))).otherwise(rest)
+        parts = F.struct(level.alias("level"), text.alias("text"), F.when(has_id, F.left(own, F.length(own) - 1)).alias("id"))
+        return F.when(level.between(2, 6) & (F.substring(bare, level + 1, F.lit(1)) == " "), parts)
+
+    def of_bare(bare: Column) -> Column:
+        level = F.length(bare) - F.length(F.ltrim(bare, F.lit("#")))
+        return let(level, lambda n: let(F.trim(F.substring(bare, n + 1, F.length(bare))), lambda rest: told(bare, n, rest)))
+
+    return F.when(F.startswith(line, F.lit("##")), let(F.rtrim(F.regexp_replace(line, r"\s", " ")), of_bare))
+
+
 def collapse_blank(lines: DataFrame, key: str) -> DataFrame:
     """Lines without blank ones that follow a blank one."""
     before = F.lag("line").over(in_order(key))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.functions.names import manual_ref
+from loomdoc.functions.wiki import LinkMarks
 from loomdoc.operators.index import resolve_positions, resolve_refs
 
 #: What stands between a link's label and the end of its address.
@@ -39,6 +40,21 @@ def with_links(pages: DataFrame, key: str, body: str, links: DataFrame) -> DataF
     return joined.withColumn(body, F.when(F.col("__urls").isNull(), F.col(body)).otherwise(whole)).select(*pages.columns)
 
 
+def with_routes(pages: DataFrame, keys: list[str], body: str, routes: DataFrame) -> DataFrame:
+    """``pages`` (keys, body, targets) with addresses for the marks in ``body``: ``routes`` (keys[0], target, route) has those
+    of each version's targets; a target without one is its own address. ``targets`` goes."""
+    asked = pages.select(*keys, F.posexplode("targets").alias("__n", "__target"))
+    known = routes.select(F.col(keys[0]), F.col("target").alias("__target"), F.col("route").alias("__route"))
+    found = asked.join(known, [keys[0], "__target"], "left").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("__n", F.coalesce("__route", "__target").alias("route")))).alias("__routes")
+    )
+    joined = pages.join(found, keys, "left")
+    mark = f"{LinkMarks.OPEN}([0-9]+){LinkMarks.CLOSE}"
+    between, numbers = F.split(body, mark, -1), F.regexp_extract_all(body, F.lit(mark), F.lit(1))
+    put = F.zip_with(between, numbers, lambda text, n: F.concat(text, F.coalesce(F.try_element_at("__routes", n.cast("int")), F.lit(""))))
+    return joined.withColumn(body, F.array_join(put, "")).select(*(c for c in pages.columns if c != "targets"))
+
+
 def addressed(links: DataFrame, slug: str) -> DataFrame:
     """``links`` (.., url) to other pages' places, with (section, version, page, ref) of each: routes name all of it, links
     to a page or module beside this one are of this version (the column ``slug``), or of that in the page's name."""

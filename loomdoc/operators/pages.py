@@ -62,6 +62,22 @@ def stored_pages(files: DataFrame) -> DataFrame:
     return files.select("name", "content").mapInPandas(read, "name string, fields map<string, string>, title string, body string")
 
 
+def marked_pages(files: DataFrame) -> DataFrame:
+    """(name, title, text, body, targets) of stored pages (name, content: binary): the source text, and a body whose links to
+    pages and outside addresses are marks, the n-th standing for ``targets[n]``. ``links.with_routes`` puts addresses there."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                text, marks = wiki.decode_text(wiki.page_fields(bytes(content or b"")).get("text", "")), wiki.LinkMarks()
+                body = wiki.to_markdown(text.replace(marks.OPEN, "").replace(marks.CLOSE, ""), marks)
+                rows.append((name, wiki.title_of(text, name), text, body, marks.targets))
+            yield pd.DataFrame(rows, columns=["name", "title", "text", "body", "targets"])
+
+    return files.select("name", "content").mapInPandas(read, "name string, title string, text string, body string, targets array<string>")
+
+
 def site_pages(files: DataFrame, product: str = "") -> DataFrame:
     """(name, title, subtitle, subtitle_href, author, description, body) of stored wiki pages (name, content: binary)."""
     names = ["title", "subtitle", "subtitle_href", "author", "description", "body"]

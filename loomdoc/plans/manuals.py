@@ -376,23 +376,52 @@ def generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "page", "body", ids.alias("ids"))
 
 
+#: A manual's index and one of its pages, in the wiki's markup, and what becomes of the page.
+MANUAL_INDEX = "! All%0a* [[Script-CoreVar-«kind» | vars]]%0a* [[Documentation/Intro-«kind»]]%0a* [[Documentation.Gone-«kind»]]"
+MANUAL_TEXT = (
+    "[[#v]]%0a!! $«low»%0a"
+    "See [[#v|here]], [[Script-CoreVar-«kind»#v|itself]], [[Intro|the '''intro''']], [[Documentation.Intro-«kind»#toc1]],%0a"
+    "[[Documentation.Script-CoreVar-3-6#toc2|an older one]], [[Documentation/Intro#toc4|intro of the newest]],%0a"
+    "[[Old.Name|moved]], [[Documentation.Index#toc1|landing]], [[Site.My-Page|of the site]],%0a"
+    "[[Documentation.Unknown|none]], [[About.Team_A|elsewhere]],%0a"
+    "[[https://www.x.example/Documentation/Script-CoreVar-4-1#toc3|url of the manual]], [[http://x.example/Documentation/Intro?action=edit#toc9|url, no version]],%0a"
+    "[[http://x.example/Documentation/My-Page#p|url of the site]], [[http://x.example/Documentation/Nothing|url of nothing]],%0a"
+    "[[http://x.example/html/docs/modules/3.4.x/tm.html#a«low»|module]], [[https://y.example/Documentation/Intro|another host]], [[http://z.example/a_b]]"
+)
+MANUAL_MADE = """## $«low»
+See [here](#«low»), [itself](Script-CoreVar.md#v), [the **intro**](Intro.md), [Documentation.Intro-«kind»#toc1](Intro.md#toc1),
+[an older one](https://web.example/docs/manual/3-6/script-corevar#toc2), [intro of the newest](Intro.md#toc4),
+[moved](https://web.example/docs/manual/devel/intro), [landing](https://web.example/docs/manual/devel), [of the site](https://web.example/docs/my-page),
+[none](https://web.example/docs/unknown), [elsewhere](https://old.example/About/Team_A),
+[url of the manual](https://web.example/docs/manual/devel/script-corevar#toc3), [url, no version](https://web.example/docs/manual/devel/intro),
+[url of the site](https://web.example/docs/my-page#p), [url of nothing](http://x.example/Documentation/Nothing),
+[module](../modules/tm/README.md#a«low»), [another host](https://y.example/Documentation/Intro), [http://z.example/a_b](http://z.example/a_b)"""
+
+
 @query(
     "converted_manuals",
-    """WITH p AS (SELECT DISTINCT p_type AS kind FROM part)
-SELECT kind AS version, 'README.md' AS file, 'Manual ' || kind || CASE WHEN kind < 'M' THEN ' / devel' ELSE '' END AS title, '## All' AS body, 'toc1=all' AS ids FROM p
-UNION ALL SELECT kind, 'Script-CoreVar.md', 'Vars ' || kind, '## Auth - $' || lower(kind) || chr(10) || '[x](#' || lower(kind) || ')', 'toc1=' || lower(kind) || ',v=' || lower(kind) FROM p""",
+    f"""WITH p AS (SELECT DISTINCT p_type AS kind, lower(p_type) AS low FROM part)
+SELECT kind AS version, 'README.md' AS file, 'Manual ' || kind || CASE WHEN kind < 'M' THEN ' / devel' ELSE '' END AS title,
+  '## All' || chr(10) || '* [vars](Script-CoreVar.md)' || chr(10) || '* [Documentation/Intro-' || kind || '](Intro.md)' || chr(10)
+  || '* [Documentation.Gone-' || kind || '](https://web.example/docs/gone-' || low || ')' AS body, 'toc1=all' AS ids FROM p
+UNION ALL SELECT kind, 'Script-CoreVar.md', 'Vars ' || kind, {filled_sql(MANUAL_MADE)}, 'toc1=' || low || ',v=' || low FROM p
+UNION ALL SELECT kind, 'Intro.md', 'Intro ' || kind, 'No links.', '' FROM p""",
 )
 def converted_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From stored pages to a manual's files, with titles and ids."""
+    """From stored pages to a manual's files, with titles, ids and links: to the page itself and its siblings, by redirect, to
+    other versions, to the site, to nothing known, to the old site, and outside."""
     kinds = words(spark, sf_dir).select("kind", "low").distinct()
-    page = lambda name, title, text, body: F.struct(filled(name).alias("name"), filled(title).alias("title"), filled(text).alias("text"), filled(body).alias("body"))
+    page = lambda name, title, text: F.struct(filled(name).alias("name"), filled(f"text=!!!!!Docs -> {title}%0a{text}\n").cast("binary").alias("content"))
     rows = F.array(
-        page("Documentation.Manual-«kind»", "Manual «kind»", "[[Script-CoreVar-«kind»]]", "## All"),
-        page("Documentation.Script-CoreVar-«kind»", "Vars «kind»", "", "## Auth - $«low» {#v}\n[x](#v)"),
+        page("Documentation.Manual-«kind»", "Manual «kind»", MANUAL_INDEX),
+        page("Documentation.Script-CoreVar-«kind»", "Vars «kind»", MANUAL_TEXT),
+        page("Documentation.Intro-«kind»", "Intro «kind»", "No links."),
     )
-    wiki = kinds.select(F.explode(rows).alias("r")).select("r.*")
+    wiki = pages.marked_pages(kinds.select(F.explode(rows).alias("r")).select("r.*"))
     versions = kinds.select(F.col("kind").alias("version"), (F.col("kind") < "M").alias("devel"))
-    found = manual.converted_manuals(wiki, versions)
+    redirects = spark.createDataFrame([("old.name", "Documentation.Intro")], "key string, target string")
+    slugs = spark.createDataFrame([("mypage", "/docs/my-page")], "key string, slug string")
+    found = manual.converted_manuals(wiki, versions, redirects, slugs, "https://old.example", "https://web.example", r"(?:www\.)?x\.example")
     shown = F.array_join(F.array_sort(F.transform(F.map_entries("ids"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
     return found.select("version", "file", "title", "body", shown.alias("ids"))
 
