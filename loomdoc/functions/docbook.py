@@ -9,7 +9,6 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from loomdoc.functions.wiki import site_route
 
 # Tags by how they are rendered, title spellings, id prefixes by section, callouts.
 CODE_TAGS = set("varname function literal command code option constant type classname envar parameter computeroutput filename userinput".split())
@@ -53,6 +52,7 @@ PREFIXES = {
     "exported statistics": "stat",
     "exported status/report identifiers": "sr",
 }
+LABELLED_KINDS = {"func", "param", "event", "pv"}
 DEVELOPER_SECTIONS = {"available functions", "api functions", "functions"}
 XML_ENTITIES = {"amp", "lt", "gt", "quot", "apos"}
 ROUNDS = 10
@@ -99,7 +99,9 @@ def tag_of(node: ElementTree.Element) -> str:
 
 
 def label_of(linkend: str) -> str:
-    return re.sub("[_-]", " ", re.sub(r"^(?:param|func|afunc|mi|event|pv|stat)_", "", linkend))
+    """What a link says that has no text: the name behind a kind of item, else all words of the id."""
+    kind, _, name = linkend.partition("_")
+    return name.replace("_", " ") if kind in LABELLED_KINDS and name else re.sub("[_-]", " ", linkend)
 
 
 def inline(node: ElementTree.Element) -> str:
@@ -118,7 +120,7 @@ def span(node: ElementTree.Element) -> str:
         return f'"{text}"'
     if tag in ("ulink", "link", "xref"):
         end = node.get("linkend", "")
-        url = site_route(node.get("url") or (f"#{end}" if end else ""))
+        url = node.get("url") or (f"#{end}" if end else "")
         if tag == "ulink" and url and not re.search("/|^#", url):
             url = f"../{url}"
         return f"[{text.strip() or label_of(end) or url}]({url})"
@@ -136,7 +138,8 @@ def paragraphs(node: ElementTree.Element) -> list[str]:
 
 
 def title_of(node: ElementTree.Element) -> str:
-    return next((" ".join(inline(c).split()) for c in node if tag_of(c) == "title"), "")
+    """The title on one line, without code marks."""
+    return next((" ".join(inline(c).replace("`", "").split()) for c in node if tag_of(c) == "title"), "")
 
 
 def canonical_title(title: str, level: int, guide: str | None) -> str:

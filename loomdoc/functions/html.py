@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 # Entities in the order in which they are decoded; ``&amp;`` comes first, so ``&amp;lt;`` ends as ``<``.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
-#: Scoring of logo candidates: points by file type and by words in the address.
-TYPE_POINTS = {"svg": 50, "png": 20}
-GOOD_WORDS, GOOD_POINTS = ["logo", "brand", "header"], 15
-BAD_WORDS, BAD_POINTS = ["favicon", "sprite", "pixel", "banner"], -30
+# Points of logo candidates by the end of the address, by words in it, and by where it was found; the file types
+# that an address can have.
+TYPE_POINTS = {".svg": 50, ".png": 20}
+GOOD_WORDS, GOOD_POINTS = ["logo", "brand", "mark", "symbol", "identity"], 15
+BAD_WORDS, BAD_POINTS = ["favicon", "icon-", "sprite", "badge", "thumb", "avatar", "placeholder"], -30
+SOURCE_POINTS = {"apple-touch-icon": 10, "og:image": 5, "img-src": 15}
+FILE_TYPES = (".svg", ".png", ".jpg", ".jpeg", ".webp")
 
 
 def decode_entities(text: Column) -> Column:
@@ -50,23 +53,31 @@ def route(url: Column) -> Column:
     return F.regexp_replace(path, r"(\.html)?/?$", "")
 
 
-def extension(url: Column) -> Column:
-    """File type in a URL's path, else ``.png``."""
-    found = F.regexp_extract(F.regexp_extract(url, r"^[^?#]*", 0), r"/[^/]*\.([A-Za-z0-9]{2,4})$", 1)
-    return F.when(found != "", F.concat(F.lit("."), F.lower(found))).otherwise(".png")
+def extension(url: Column, content_type: Column | None = None) -> Column:
+    """The picture type in a URL's path, else that of the content type, else ``.png``."""
+    path = F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    found = F.lower(F.regexp_extract(path, r"[^/](\.[A-Za-z0-9]+)$", 1))
+    told = F.coalesce(content_type, F.lit("")) if content_type is not None else F.lit("")
+    by_content = F.lit(".png")
+    for sign in ("jpg", "jpeg", "webp", "png", "svg"):
+        by_content = F.when(told.contains(sign), "." + sign.replace("jpeg", "jpg")).otherwise(by_content)
+    return F.when(found.isin(*FILE_TYPES), found).otherwise(by_content)
 
 
-def candidate_score(address: Column, declared_size: Column, source: Column) -> Column:
-    """Points of a logo candidate: file type, good and bad words, where it was found, and at most 20 for its size."""
+def candidate_score(address: Column, sizes: Column, source: Column) -> Column:
+    """Points of a logo candidate: how its address ends, good and bad words in it, where it was found; for an icon at most 20
+    more by its declared size (``32x32``)."""
     low = F.lower(address)
     score = F.lit(0.0)
-    for kind, points in TYPE_POINTS.items():
-        score = score + F.when(low.contains("." + kind), points).otherwise(0)
+    for end, points in TYPE_POINTS.items():
+        score = score + F.when(F.endswith(low, F.lit(end)), points).otherwise(0)
     for words, points in ((GOOD_WORDS, GOOD_POINTS), (BAD_WORDS, BAD_POINTS)):
         for word in words:
             score = score + F.when(low.contains(word), points).otherwise(0)
-    score = score + F.when(source == "header", 10).when(source.isin("icon", "meta"), 5).otherwise(0)
-    return score + F.least(F.coalesce(declared_size, F.lit(0)) / 10.0, F.lit(20.0))
+    for name, points in SOURCE_POINTS.items():
+        score = score + F.when(source == name, points).otherwise(0)
+    side = F.regexp_extract(F.coalesce(sizes, F.lit("")), r"(\d+)x\d+", 1).try_cast("double")
+    return score + F.when(source == "icon", F.least(F.coalesce(side, F.lit(0.0)) / 10.0, F.lit(20.0))).otherwise(0)
 
 
 def url_class(url: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomdoc.functions.docbook import LABELLED_KINDS
+
 # Letters with marks and what they become.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝșțăȘȚĂ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYstaSTA"
@@ -66,7 +68,9 @@ def heading_key(text: Column) -> Column:
 
 
 def label_of(linkend: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(linkend, "^(param|func|afunc|mi|event|pv|stat)_", ""), "[_-]", " ")
+    """What a link says that has no text (as ``docbook.label_of``)."""
+    name = F.regexp_extract(linkend, rf"^(?:{'|'.join(sorted(LABELLED_KINDS))})_(.+)$", 1)
+    return F.when(name != "", F.translate(name, "_", " ")).otherwise(F.translate(linkend, "_-", "  "))
 
 
 def without_title_heading(body: Column, title: Column) -> Column:
@@ -75,15 +79,15 @@ def without_title_heading(body: Column, title: Column) -> Column:
     return F.when(heading_key(first) == heading_key(title), F.regexp_replace(body, r"\A\s*#{1,6} [^\n]*\n*", "")).otherwise(body)
 
 
+def absolute_url(base: str | None, link: str | None) -> str | None:
+    try:
+        out = urljoin(base or "", link) if link else ""
+        return out if urlsplit(out).scheme in ("http", "https") and urlsplit(out).netloc else None
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def resolved_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """``link`` as an absolute URL on the page ``base``; null if there is none or it is not http."""
-
-    def one(b: str | None, x: str | None) -> str | None:
-        try:
-            out = urljoin(b or "", x) if x else ""
-            return out if urlsplit(out).scheme in ("http", "https") and urlsplit(out).netloc else None
-        except ValueError:
-            return None
-
-    return pd.Series([one(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
+    return pd.Series([absolute_url(b, x) for b, x in zip(base, link, strict=True)], dtype=object)

@@ -101,3 +101,26 @@ def rewritten_ids(pages: DataFrame, key: str, body: str, ids: DataFrame) -> Data
     found = addressed(rows, "__slug").filter(F.col("url").rlike(ROUTE)).withColumn("slug", F.col("version"))
     found = found.join(ids.select("section", "slug", "page", "ref", "id"), ["section", "slug", "page", "ref"]).filter("id <> ref")
     return with_links(pages, key, body, found.select(F.col("__key").alias(key), "pos", F.concat("__open", "id").alias("url")))
+
+
+def rewritten_legacy(pages: DataFrame, key: str, body: str, manual_pages: DataFrame, flat_pages: DataFrame, hosts: str, origin: str) -> DataFrame:
+    """``pages`` whose links to the old site, whose hosts the pattern ``hosts`` matches, lead to the new one.
+
+    A manual's page of a version, if ``manual_pages`` (page) has it, and a document that ``flat_pages`` (slug) has are routes
+    behind ``origin``; a module's page is the module beside this one, so it follows the page's version. All others stay.
+    """
+    rows = link_rows(pages, key, body).filter(F.col("url").rlike(rf"(?i)^https?://(?:{hosts})/"))
+    document, module = rf"(?i)//(?:{hosts})/(?:html/)?Documentation/([^#?\s]+)(#\S*)?$", rf"(?i)//(?:{hosts})/(?:html/)?docs/modules/[^/]+/([\w.-]+?)(?:\.html)?(#\S*)?$"
+    part = lambda pattern, i: F.regexp_extract("url", pattern, i)
+    path = part(document, 1)
+    ref = manual_ref(F.substring_index(path, "/", -1))
+    rows = rows.withColumn("__page", ref["page"]).withColumn("__slug", ref["slug"]).withColumn("__flat", F.nullif(F.lower(F.rtrim(path, F.lit("/"))), F.lit("")))
+    known = manual_pages.select(F.col("page").alias("__page"), F.lit(True).alias("__of_manual")).distinct()
+    flat = flat_pages.select(F.col("slug").alias("__flat"), F.lit(True).alias("__of_site")).distinct()
+    rows = rows.join(known, "__page", "left").join(flat, "__flat", "left")
+    new = (
+        F.when(F.col("__of_manual"), F.concat(F.lit(f"{origin}/docs/manual/"), "__slug", F.lit("/"), "__page", part(document, 2)))
+        .when(F.col("__of_site"), F.concat(F.lit(f"{origin}/docs/"), "__flat", part(document, 2)))
+        .when(part(module, 1) != "", F.concat(F.lit("../"), part(module, 1), part(module, 2)))
+    )
+    return with_links(pages, key, body, rows.filter(new.isNotNull()).select(key, "pos", new.alias("url")))

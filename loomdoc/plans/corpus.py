@@ -177,16 +177,32 @@ def head_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("p_partkey", F.array_join(predicates.head_faults(head), " ").alias("faults"))
 
 
+LOGO_PAGE = """<html><head><title>«name»</title>
+<link href='/touch.jpg' rel='apple-touch-icon'><link rel="icon" href="/favicon.ico" sizes="16x16">
+<link sizes="«key»x«key»" rel="shortcut icon" href="img/«first».svg"><LINK REL="icon" HREF="//cdn.x.example/brand.png?v=1">
+<meta content="https://x.example/banner&amp;«first».png" property="og:image"><meta name=twitter:image content=/thumb/«second».svg>
+<link rel="stylesheet" href="/logo.css"></head>
+<body><img src='/a/«second»-logo.svg' alt=x><img alt="The LOGO" src="../l.png"><img class="plain" src="/x.svg"><img alt="logo"><img alt="logo" src="data:image/png,x"></body></html>"""
+
+
 @query(
     "logo_candidates",
-    f"""WITH {WORDS_SQL}
-SELECT p_partkey, CAST(1 AS INT) AS rn, '/' || first || '-logo.svg' AS address, CAST(50 + 15 + 10 + least(p_partkey / 10.0, 20) AS DOUBLE) AS score FROM p""",
+    f"""WITH {WORDS_SQL},
+found AS (
+  SELECT p_partkey, unnest([
+    ('img-src', 'https://x.example/a/' || second || '-logo.svg', 50 + 15 + 15.0, 6), ('icon', 'https://x.example/en/img/' || first || '.svg', 50 + least(p_partkey / 10.0, 20.0), 3),
+    ('apple-touch-icon', 'https://x.example/touch.jpg', 10.0, 1), ('icon', 'https://x.example/favicon.ico', -30 + 1.6, 2), ('icon', 'https://cdn.x.example/brand.png?v=1', 15.0, 4),
+    ('og:image', 'https://x.example/banner&' || first || '.png', 20 + 5.0, 5), ('twitter:image', 'https://x.example/thumb/' || second || '.svg', 50 - 30.0, 5.5),
+    ('img-src', 'https://x.example/l.png', 20 + 15.0, 7)]) AS c FROM p),
+ranked AS (SELECT p_partkey, c[1] AS source, c[2] AS address, CAST(c[3] AS DOUBLE) AS score, row_number() OVER (PARTITION BY p_partkey ORDER BY c[3] DESC, c[4]) AS rn FROM found)
+SELECT p_partkey, CAST(rn AS INT) AS rn, source, address, score FROM ranked WHERE rn <= 5""",
 )
 def logo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of each page's candidates; a picture that says logo in its class only comes with its declared size."""
-    html = filled('<img src="/«second».gif"><img class="x logo" src="/«first»-logo.svg" width="«key»"><link rel="icon" href="/favicon.ico"><meta property="og:image" content="/banner.jpg">')
-    found = headings.best_candidates(words(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", 1)
-    return found.select("p_partkey", F.col("rn").cast("int").alias("rn"), "address", F.col("score").cast("double").alias("score"))
+    """The best five of each page's candidates: any quotes and order of attributes, references, addresses above, beside and on
+    other hosts; sizes count for icons, a touch icon is one candidate, a query hides the end of an address."""
+    rows = words(spark, sf_dir).select("p_partkey", F.lit("https://x.example/en/index.html").alias("url"), filled(LOGO_PAGE).alias("html"))
+    found = headings.best_candidates(rows, "p_partkey", 5)
+    return found.select("p_partkey", F.col("rn").cast("int").alias("rn"), "source", "address", F.col("score").cast("double").alias("score"))
 
 
 URLS: Cases = {

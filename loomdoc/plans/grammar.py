@@ -16,6 +16,8 @@ def outputs(spark: SparkSession, sf_dir: str, cases: Cases, of) -> DataFrame:
 
 
 INLINE: Cases = {
+    "lone pipe at the end": ("«first» ''«second»''  | ", "«first» *«second»*"),
+    "pipes of a row": ("| «first» |", "| «first» |"),
     "quoted delimiter": ("set ''''«first»'''' to «key»", "set `«first»` to «key»"),
     "bold": ("a '''«name»''' b", "a **«name»** b"),
     "bold, spaces inside": ("a ''' «name» ''' b", "a  **«name»**  b"),
@@ -123,6 +125,7 @@ PASSES: Cases = {
         "[[http://x.example/Documentation/Page-«key»-4#a|«name»]]", "[«name»](/docs/manual/«key»-4/page#a)"
     ),
     "coloured code": ("$(%blue%<«first»>%%«second»%red%[«key»]%%)", "`$(@@blue|<«first»>@@«second»@@red|[«key»]@@)`"),
+    "prose of green code": ("Options are written in green, not in greenish «kind»: @@green|x@@", "Options are written in italics, not in greenish «kind»: @@green|x@@"),
     "green code in parts": ("$(%green%<«first»>%%«second»)", "`$(`*`<«first»>`*`«second»)`"),
     "empty braces once": ("«first»{} of «name»", "«first»\\{\\} of «name»"),
     "green code": ("%green%$«first»%% is code", "`$«first»` is code"),
@@ -269,10 +272,10 @@ def canonical_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Each rule is a function of its own.
 NAMES: Cases = {
-    "linkend label": ("param_«first»-«second»", "«first» «second»"),
+    "linkend label": ("param_«first»_«second»-x", "«first» «second»-x"),
     "heading key": ("The [`«first»`](x) **«kind»**, <b>x</b> {#id}", "the «first» «low» x"),
     "cms slug": ("Café «name» — Ünï!", "cafe-«first»-«second»-uni"),
-    "forge slug": ("[«name»](x) `«kind»`, b", "«first»-«second»-«low»-b"),
+    "forge slug": ("[«name»](x), **b** *c d* `«kind»_url` «first»-x!", "«first»-«second»-b-c-d-«low»_url-«first»-x"),
     "kept marks": ("  «first».«second» - «kind»!", "«first».«second»_-_«kind»"),
     "spaced slug": ("«name» - «kind»?", "«first»-«second»---«low»"),
     "converted name": ("Documentation.«first»-«kind»-3-6", "«first»-«low»-3-6"),

@@ -66,14 +66,18 @@ def feed_teaser(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
 WITH r AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(\.html)?/?$', '') AS route FROM pages)
 SELECT page_id, route, CAST(len(string_split(route, '/')) - 1 AS BIGINT) AS depth,
-  CASE WHEN regexp_extract(regexp_extract(url, '^[^?#]*'), '/[^/]*\.([A-Za-z0-9]{2,4})$', 1) <> ''
-    THEN '.' || lower(regexp_extract(regexp_extract(url, '^[^?#]*'), '/[^/]*\.([A-Za-z0-9]{2,4})$', 1)) ELSE '.png' END AS ext
+  CASE WHEN regexp_matches(url, '(?i)^[a-z]+://[^/?#]*/[^?#]*[^/?#]\.(svg|png|jpg|jpeg|webp)([?#]|$)')
+    THEN '.' || lower(regexp_extract(url, '\.([A-Za-z]+)([?#]|$)', 1)) ELSE '.png' END AS ext,
+  ['.svg', '.webp', '.jpg', '.jpg', '.png'][CAST(page_id % 5 AS INT) + 1] AS by_content
 FROM r""",
 )
 def url_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "pages").withColumn("route", html.route(F.col("url")))
     depth = (F.size(F.split("route", "/")) - 1).cast("long")
-    return rows.select("page_id", "route", depth.alias("depth"), html.extension(F.col("url")).alias("ext"))
+    kinds = F.array(*map(F.lit, ["image/svg+xml", "image/webp", "image/jpeg", "image/jpg", "text/html"]))
+    content = F.get(kinds, (F.col("page_id") % 5).cast("int"))
+    by_content = html.extension(F.concat("url", F.lit("/x.html")), content)
+    return rows.select("page_id", "route", depth.alias("depth"), html.extension(F.col("url")).alias("ext"), by_content.alias("by_content"))
 
 
 @query(
@@ -81,7 +85,7 @@ def url_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
   lower(regexp_replace(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS anchor,
-  replace(regexp_replace(lower(trim(regexp_replace(url, '[`*_]', '', 'g'))), '[^a-z0-9 -]', '', 'g'), ' ', '-') AS forge
+  replace(regexp_replace(lower(trim(regexp_replace(url, '[*_]{1,3}([^*_]+)[*_]{1,3}', '\\1', 'g'))), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS forge
 FROM pages""",
 )
 def name_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,23 +95,23 @@ def name_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _score_sql(address: str, size: str) -> str:
-    parts = [f"CASE WHEN contains(lower({address}), '.{k}') THEN {p} ELSE 0 END" for k, p in html.TYPE_POINTS.items()]
+def _score_sql(address: str) -> str:
+    parts = [f"CASE WHEN lower({address}) LIKE '%{end}' THEN {p} ELSE 0 END" for end, p in html.TYPE_POINTS.items()]
     for words, points in ((html.GOOD_WORDS, html.GOOD_POINTS), (html.BAD_WORDS, html.BAD_POINTS)):
         parts += [f"CASE WHEN contains(lower({address}), '{w}') THEN {points} ELSE 0 END" for w in words]
-    return " + ".join(parts) + f" + CASE WHEN pos = 0 THEN 10 ELSE 5 END + least({size} / 10.0, 20.0)"
+    return " + ".join(parts) + " + CASE pos % 3 WHEN 0 THEN 10 WHEN 1 THEN 15 ELSE least(length(label) / 10.0, 20.0) END"
 
 
 @query(
     "candidate_score",
     f"""WITH {LINKS_SQL},
-scored AS (SELECT page_id, pos, href, CAST({_score_sql("href", "length(label)")} AS DOUBLE) AS score FROM links)
+scored AS (SELECT page_id, pos, href, CAST({_score_sql("href")} AS DOUBLE) AS score FROM links)
 SELECT page_id, href, score, CAST(rn AS BIGINT) AS rn FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rn FROM scored) WHERE rn <= 3""",
 )
 def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.when(F.col("pos") == 0, "header").otherwise("icon")
-    score = html.candidate_score(F.col("href"), F.length("label"), source).cast("double")
+    source = F.get(F.array(*map(F.lit, ["apple-touch-icon", "img-src", "icon"])), F.col("pos") % 3)
+    score = html.candidate_score(F.col("href"), F.concat(F.length("label"), F.lit("x1")), source).cast("double")
     rows = links(spark, sf_dir).withColumn("score", score)
     top = contributors.ranked(rows, "page_id", [F.desc("score"), F.asc("pos")]).filter("rn <= 3")
     return top.select("page_id", "href", "score", "rn")

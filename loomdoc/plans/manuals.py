@@ -39,7 +39,10 @@ MANUAL = """<?xml version="1.0"?>
 <section id="s2"><title>parameters</title>
 <section id="p1"><title><varname>«first»_x</varname> (string)</title>
 <para>Uses <emphasis role="bold">«name»</emphasis>, <emphasis>«kind»</emphasis>, <quote>«key»</quote>, H<subscript>2</subscript>O;
-see <ulink url="other.html">«second»</ulink>, <ulink url="http://x.example/html/docs/modules/3.4.x/«first».html#a">it</ulink> and <xref linkend="p1"/>.</para>
+see <ulink url="other.html">«second»</ulink>, <ulink url="http://x.example/html/docs/modules/3.4.x/«first».html#a">it</ulink> and <xref linkend="p1"/>;
+<ulink url="https://www.x.example/Documentation/Script-CoreVar-3-6#«first»">a</ulink> <ulink url="https://x.example/html/Documentation/Script-CoreVar-4-1">b</ulink>
+<ulink url="https://x.example/Documentation/No-Page-3-6">c</ulink> <ulink url="http://x.example/Documentation/Tutorials-«second»/#x">d</ulink>
+<ulink url="http://x.example/Documentation/Tutorials-No">e</ulink> <ulink url="http://y.example/html/docs/modules/3.4.x/«first».html">f</ulink> <xref linkend="some-«first»_id"/></para>
 <example><title>Set «first»</title><programlisting>
 set("«name»")
 </programlisting></example></section>
@@ -61,10 +64,13 @@ About the «first» & &lost;.
 
 ### Exported Parameters
 
-#### `«first»_x` (string)
+#### «first»_x (string)
 
 Uses **«name»**, *«kind»*, "«key»", H<sub>2</sub>O;
-see [«second»](../other.html), [it](/docs/modules/3-4/«first»#a) and [p1](#param_«first»_x).
+see [«second»](../other.html), [it](../«first»#a) and [p1](#param_«first»_x);
+[a](https://web.example/docs/manual/3-6/script-corevar#«first») [b](https://web.example/docs/manual/devel/script-corevar)
+[c](https://x.example/Documentation/No-Page-3-6) [d](https://web.example/docs/tutorials-«second»#x)
+[e](http://x.example/Documentation/Tutorials-No) [f](http://y.example/html/docs/modules/3.4.x/«first».html) [some «first» id](#some-«first»_id)
 
 ```c title="Set «first»"
 set("«name»")
@@ -114,7 +120,11 @@ UNION ALL SELECT 'm' || key, NULL, NULL, NULL, NULL FROM p WHERE p_partkey % 4 =
 def xml_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each element of the XML grammar in each manual; every fourth one is not well-formed."""
     xml = F.when(F.col("p_partkey") % 4 == 0, F.lit("<book><a></book>")).otherwise(filled(MANUAL))
-    found = pages.xml_modules(words(spark, sf_dir).select(filled("m«key»").alias("module"), xml.alias("xml")), {})
+    rows = words(spark, sf_dir)
+    found = pages.xml_modules(rows.select(filled("m«key»").alias("module"), xml.alias("xml")), {})
+    manual_pages = spark.createDataFrame([("script-corevar",)], "page string")
+    flat_pages = rows.select(filled("tutorials-«second»").alias("slug"))
+    found = links.rewritten_legacy(found, "module", "body", manual_pages, flat_pages, r"(?:www\.)?x\.example", "https://web.example")
     ids = F.concat_ws(" ", F.try_element_at("ids", F.lit("p1")), F.try_element_at("ids", F.lit("toc5")))
     return found.select("module", "title", "description", "body", F.when(F.col("ids").isNotNull(), ids).alias("ids"))
 

@@ -51,7 +51,9 @@ def test_samples(spark):
 
 def test_candidates(spark):
     html = '<img src="/logo.svg" alt="x logo" width="400"><link rel="icon" href="/favicon.png"><meta property="og:image" content="/banner.png">'
-    rows = headings.best_candidates(spark.createDataFrame([(1, html)], "id int, html string"), "id").collect()
-    assert [r["address"] for r in rows][0] == "/logo.svg" and rows[0]["score"] == 50 + 15 + 10 + 20 and len(rows) == 3
+    rows = headings.best_candidates(spark.createDataFrame([(1, "https://x.example/a/", html)], "id int, url string, html string"), "id").collect()
+    assert [(r["address"], r["score"]) for r in rows] == [("https://x.example/logo.svg", 80.0), ("https://x.example/banner.png", 25.0), ("https://x.example/favicon.png", -10.0)]
+    nothing = spark.createDataFrame([(1, None, "<img src='logo.png'>"), (2, "https://x.example", None), (3, "https://x.example", "")], "id int, url string, html string")
+    assert headings.best_candidates(nothing, "id").count() == 0
     tries = spark.createDataFrame([(1, 1, "a", "404"), (1, 2, "b", None), (1, 3, "c", None)], "id int, rn int, address string, error string")
     assert headings.first_success(tries, "id").first()["address"] == "b"

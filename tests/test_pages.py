@@ -37,7 +37,7 @@ def test_manual(spark):
     demo = got["demo"]
     assert demo["title"] == "Demo module" and demo["description"] == "About the server & &unknown;."
     for part in (
-        "## Admin Guide", "### Exported Parameters", "#### `db_url` (string)", "**b**", "[o](../other.html)", "- one\n\n  - sub", "after",
+        "## Admin Guide", "### Exported Parameters", "#### db_url (string)", "**b**", "[o](../other.html)", "- one\n\n  - sub", "after",
         '```c title="Set it"\nmodparam("a")\n```', "[par](#param_db_url)", "> [!NOTE]\n> Mind.", "**T**", "| x\\|y |  |", "**t1**", "d1", "**Q: Why?**", "So.",
     ):
         assert part in demo["body"], part
