@@ -107,10 +107,15 @@ def manual_id(page: Column, text: Column, ahead: Column) -> Column:
         "event": F.coalesce(F.nullif(F.regexp_extract(ahead, r"\*\*Event\*\*:\s*([A-Za-z0-9_]+)", 1), F.lit("")), slug),
     }
     kind = _lookup(ITEM_PAGES, page)
-    forced = _lookup({f"{p}|{t}": i for (p, t), i in FORCED_IDS.items()}, F.concat(page, F.lit("|"), bare))
+    forced = forced_id(page, bare)
     by_rule = reduce(lambda done, k: F.when(kind == k, rules[k]).otherwise(done), rules, spaced_slug(bare))
     return F.coalesce(forced, F.nullif(by_rule, F.lit("")))
 
 
+def forced_id(page: Column, text: Column) -> Column:
+    """The id that a heading of a manual's page has by decree; null for others."""
+    return _lookup({f"{p}|{t}": i for (p, t), i in FORCED_IDS.items()}, F.concat(page, F.lit("|"), text))
+
+
 def has_rule(page: Column) -> Column:
     return page.isin(*ITEM_PAGES)
