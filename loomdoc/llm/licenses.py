@@ -1,8 +1,9 @@
 """Licence scan by canonical digest: entire texts are normalised and hash-joined to known licences.
 
-Canonical form, in this order: lower case, copyright lines removed, equivalent spellings replaced, every run of
-characters that are not ASCII letters or digits turned into one space, trimmed. Its SHA-256 is the join key. Word
-spellings are replaced on whole words after the punctuation went.
+Canonical form, in this order: lower case; copyright lines removed, with a line "all rights reserved" right below; numbers of
+list items removed; every run of characters that are not ASCII letters or digits turned into one space, trimmed; equivalent
+spellings replaced on whole words; the licence's own title removed from the front of a longer text. So a licence is the
+same however its lines are wrapped, with numbers or bullets, under its title or not. The form's SHA-256 is the join key.
 
 Edge cases: null and empty texts, and texts of punctuation only, have the canonical form ``""`` and match nothing. Very
 long texts are normalised whole. Repeated rows each get their row; an empty table gives an empty result; extra columns
@@ -184,25 +185,35 @@ CLAUSE_WORDS = (
     "holders?|owners?|notices?|laws?|licen[sc]es?|statements?|interests?|protections?|claims?|treat(?:y|ies)|acts?|status|permissions?|disclaimers?|"
     "rights?|and|or|in|on|to|is|are|was|has|have|may|shall|will|for|as|with|that|which|under|of|at|from|if|be|not|can"
 )
-#: A line that starts (after marks) with "(c)" or the copyright sign, or with "copyright" and a year, a sign or an owner.
+#: A line that starts (after marks) with "(c)" or the copyright sign, or with "copyright" and a year, a sign or an owner; and
+#: the reservation of rights that may stand right below.
 COPYRIGHT_LINE = (
     r"(^|\n)[ \t*#/;-]*(\(c\)|©|copyright[ \t:,.-]*+(?:\(c\)|©|[0-9]{4})"
-    rf"|copyright[ \t:]++(?!(?:{CLAUSE_WORDS})\b(?!:))[\p{{L}}\p{{N}}<\[{{\"'])[^\n]*"
+    rf"|copyright[ \t:]++(?!(?:{CLAUSE_WORDS})\b(?!:))[\p{{L}}\p{{N}}<\[{{\"'])[^\n]*(?:\n[ \t*#/;-]*all rights reserved\.?[ \t\r]*(?=\n|$))?"
+)
+#: The number of a list item: at the start of the text or behind the end of a sentence or clause, wherever lines are cut.
+ITEM_NUMBER = r"(^|[.:;])[ \t\r\n*#/-]*\(?[0-9]{1,2}[.)][ \t\r\n]+([a-z])"
+# Titles of licences, as they are published, in canonical form.
+TITLES = (
+    r"^(?:the )?(?:(?:mit|isc|zlib|apache|boost software|(?:new |modified |simplified |revised |freebsd |original )?bsd|bsd [23] clause|[23] clause bsd) license"
+    r"|unlicense)(?: (?:mit|isc|zlib|bsd))?(?: version [0-9]+(?: [0-9]+)?)?(?: august 17th 2003)? "
 )
 
 
 def without_marks(text: Column) -> Column:
-    """Lower case, without copyright lines and punctuation."""
+    """Lower case, without copyright lines, item numbers and punctuation."""
     c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    c = F.regexp_replace(c, ITEM_NUMBER, "$1 $2")
     return F.trim(F.regexp_replace(c, r"[^a-z0-9]+", " "))
 
 
 def respelled(c: Column) -> Column:
-    """One look for any of the spellings; only texts that hold one pay for the replacements."""
+    """One look for any of the spellings; only texts that hold one pay for the replacements. The title goes last."""
     put_right = c
     for found, put in SPELLINGS:
         put_right = F.regexp_replace(put_right, rf"\b{found}\b", put)
-    return F.when(c.rlike(r"\b(?:" + "|".join(found for found, _ in SPELLINGS) + r")\b"), put_right).otherwise(c)
+    c = F.when(c.rlike(r"\b(?:" + "|".join(found for found, _ in SPELLINGS) + r")\b"), put_right).otherwise(c)
+    return F.regexp_replace(c, TITLES, "")
 
 
 def with_form(df: DataFrame) -> DataFrame:
@@ -248,12 +259,17 @@ def _sql() -> str:
         owner = rf"regexp_matches(x, {opens}copyright[ \t:]+[\p{{L}}\p{{N}}<\[{{\"'']')"
         clause = rf"regexp_matches(x, {opens}copyright[ \t:]+(?:{CLAUSE_WORDS})\b(?:[^:]|$)')"
         signed = rf"regexp_matches(x, {opens}(?:\(c\)|©|copyright[ \t:,.-]*(?:\(c\)|©|[0-9]{{4}}))')"
-        c = f"list_filter(string_split(lower(coalesce({c}, '')), chr(10)), lambda x: NOT ({signed} OR ({owner} AND NOT {clause})))"
+        lines = f"string_split(lower(coalesce({c}, '')), chr(10))"
+        line = f"({signed} OR ({owner} AND NOT {clause}))"
+        above = line.replace("(x, ", f"({lines}[i - 1], ")
+        reserved = rf"(i > 1 AND {above} AND regexp_matches(x, {opens}all rights reserved\.?[ \t\r]*$'))"
+        c = f"list_filter({lines}, lambda x, i: NOT ({line} OR {reserved}))"
         c = f"array_to_string({c}, chr(10))"
+        c = f"regexp_replace({c}, '{ITEM_NUMBER}', '\\1 \\2', 'g')"
         c = f"trim(regexp_replace({c}, '[^a-z0-9]+', ' ', 'g'))"
         for found, put in SPELLINGS:
             c = f"regexp_replace({c}, '\\b{found}\\b', '{put}', 'g')"
-        return c
+        return f"regexp_replace({c}, '{TITLES}', '')"
 
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(KNOWN.items()))
     return f"""

@@ -6,12 +6,13 @@ permutation within its format, so equal values have equal pseudonyms in all docu
 - card numbers: all digits but the last are permuted; the last is the Luhn digit again; groups stay.
 - IBANs: country, letters and groups stay, digits are permuted, the check digits are computed again.
 - social security numbers (ddd-dd-dddd in range): permuted among the numbers in range.
-- phone numbers (+ and a country code, 7 to 15 digits): digits after the code are permuted, marks stay.
+- phone numbers (+ and a country code, 7 to 15 digits): digits after the code are permuted, marks stay, and a number is the
+  same with any marks.
 - IPv4 addresses: the 32 bits are permuted.
 - dates (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy): the day is permuted within 1920-01-01 to 2060-03-07, or within its own year
   if it is outside.
-- mail addresses: letters and digits of the local part are permuted within their kinds, the domain stays. A local part
-  with other than ASCII characters becomes a keyed token of 16 hex digits.
+- mail addresses: letters and digits of the local part are permuted within their kinds, the domain stays, and so does the
+  case of letters, which makes no other address. A local part with other than ASCII characters becomes a keyed token of 16 hex digits.
 
 Candidates that fail validation stay. The text is put together from the pieces between the matches, so nothing else
 changes. Permutations of few characters can keep a value as it is; a pseudonym is a permutation, not a deletion.
@@ -23,6 +24,8 @@ input are kept by ``pseudonymise``, whose own column gets underscores behind its
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +51,7 @@ CARD = (
 OTHERS = "|".join((CARD.replace(r"\1", r"\k<a>").replace(r"\2", r"\k<b>").replace("([ -])", "(?<a>[ -])", 1).replace("([ -])", "(?<b>[ -])", 1) + "(?![ -][0-9])", DATE, IP, SSN, MAIL))
 #: 7 to 15 digits, counted from the plus sign; Java looks behind for written-out repeats only.
 COUNTED = "(?<=" + "|".join(r"\+[0-9]" + "[^0-9+]{0,2}[0-9]" * n for n in range(6, 15)) + ")"
-_AREA = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?"
+_AREA = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-][0-9](?=[ .-][0-9]))?"
 #: The second form is for numbers that would be too short without what looks like another format.
 PHONE = rf"{_AREA}(?:(?! (?:{OTHERS}))[ .-]?[0-9]{{2,12}}){{1,5}}{COUNTED}{_RIGHT}|{_AREA}(?:[ .-]?[0-9]{{2,12}}){{1,5}}{COUNTED}{_RIGHT}"
 # Lengths of the countries' IBANs, as the registry has them.
@@ -216,12 +219,17 @@ def _ssn(key: str, found: Column) -> Column:
     return F.when(valid, let(permuted_pair(key, "ssn", number, (SSN_AREAS, size)), shown))
 
 
+#: Country calling codes: those of one and two digits, as the plan of numbers has them; all others have three.
+CALLING_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
+
 def _phone(key: str, found: Column) -> Column:
-    # Digits right behind the plus sign are the country code, unless no mark ends them: then one digit is.
-    code = F.regexp_extract(found, r"^\+([0-9]{1,3}(?=[ .(-])|[0-9])", 1)
-    rest = F.substring(digits_of(found), F.length(code) + 1, F.lit(20))
+    """The country code is read from the table, never from marks, so a number is the same in every spelling."""
+    digits = digits_of(found)
+    code = F.regexp_extract(digits, rf"^(?:{CALLING_CODES}|[0-9]{{3}})", 0)
+    rest = F.substring(digits, F.length(code) + 1, F.lit(20))
     new = with_digits(found, F.concat(code, permuted_characters(key, "phone", rest)))
-    return F.when(F.length(digits_of(found)).between(7, 15), new)
+    return F.when(F.length(digits).between(7, 15), new)
 
 
 def _ip(key: str, found: Column) -> Column:
@@ -254,9 +262,12 @@ def _date(key: str, found: Column) -> Column:
 
 
 def _mail(key: str, found: Column) -> Column:
+    """Addresses that differ in case alone are one: their letters are permuted in lower case, and each keeps its case."""
     local = F.substring_index(found, "@", 1)
-    token = F.substring(F.sha2(F.concat(F.lit(f"{key}|mail|"), local), 256), 1, 16)
-    put = F.when(local.rlike(r"[^\x00-\x7f]"), token).otherwise(permuted_characters(key, "mail", local))
+    low = F.lower(local)
+    token = F.substring(F.sha2(F.concat(F.lit(f"{key}|mail|"), low), 256), 1, 16)
+    cased = lambda new: F.array_join(F.zip_with(F.split(local, ""), F.split(new, ""), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(b)), "")
+    put = F.when(local.rlike(r"[^\x00-\x7f]"), token).otherwise(let(permuted_characters(key, "mail", low), cased))
     return F.concat(put, F.lit("@"), F.substring_index(found, "@", -1))
 
 
@@ -289,8 +300,11 @@ def entity(found: Column, key: str) -> Column:
 
 
 def key_of(spark: SparkSession) -> str:
-    """The key that the session is set to use."""
-    return spark.conf.get(KEY_SETTING, KEY)
+    """The key that the session is set to use; without one it is that of the tests, and a warning says so."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        logging.getLogger(__name__).warning("%s is unset: pseudonyms are made with the public key of the tests and can be undone", KEY_SETTING)
+    return key or KEY
 
 
 def free_name(df: DataFrame, name: str) -> str:

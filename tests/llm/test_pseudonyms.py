@@ -91,7 +91,8 @@ def iban(s):
 
 def mail(s):
     local, domain = s.split("@")
-    return characters("mail", local) + "@" + domain
+    new = characters("mail", local.lower())
+    return "".join(b.upper() if a.isupper() else b for a, b in zip(local, new, strict=True)) + "@" + domain
 
 
 CASES = [
@@ -129,3 +130,29 @@ def test_clashing_names_and_the_key(spark):
         assert pii.pseudonymise(df).first()["text"] != row["text"]
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_a_phone_is_one_in_every_spelling(spark):
+    """The country code is what the plan of numbers says, with marks behind it or not; so is the case of mail."""
+    import re
+
+    spellings = {
+        "49": ["+49 30 1234567", "+49-30-1234567", "+49301234567", "+49 (30) 1234567", "+4930 1234567"],
+        "1": ["+1 202 555 0143", "+12025550143", "+1 (202) 555-0143", "+1202-555-0143"],
+        "353": ["+353 1 6712345", "+35316712345", "+353-1-6712345"],
+        "7": ["+7 495 1234567", "+74951234567"],
+    }
+    rows = [(code, s) for code, spelled in spellings.items() for s in spelled]
+    df = spark.createDataFrame([(i, f"call {s} now") for i, (_, s) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df).collect()}
+    shapes = lambda t: re.sub("[0-9]", "0", t)
+    seen = {}
+    for i, (code, s) in enumerate(rows):
+        digits = re.sub("[^0-9]", "", got[i])
+        assert digits.startswith(code) and shapes(got[i]) == shapes(f"call {s} now") and digits != re.sub("[^0-9]", "", s)
+        seen.setdefault(code, set()).add(digits)
+    assert all(len(x) == 1 for x in seen.values()), seen
+    mails = ["Jo.Doe7@x.example", "jo.doe7@x.example", "JO.DOE7@x.example", "jo.doe8@x.example"]
+    df = spark.createDataFrame(list(enumerate(mails)), "doc_id bigint, text string")
+    new = [r["text"] for r in sorted(pii.pseudonymise(df).collect())]
+    assert len({m.lower() for m in new[:3]}) == 1 and new[3].lower() != new[0].lower() and new[1].lower() == new[1] and new[0][0].isupper() and new[0][1].islower()
