@@ -3,8 +3,9 @@
 Two sets are similar if they have ``similarity`` of their union in common. With all shingles in one order, similar sets
 then share one of the first n - ceil(similarity * n) + 1 of each (prefix filtering), so these are the keys of a text. Any
 order gives all pairs; shingles that many texts of a sample have come last, so that a common passage is no key. A
-candidate is held against sketches of 256 bits, which drop a pair at 0.8 in fewer than one of 10^7 cases, and what they
-leave is decided by the shingles themselves.
+candidate is held against sketches of 256 bits, which would drop a pair at 0.8 in fewer than one of 10^7 cases if their
+hashes were independent (``classes`` goes without them if ``deviations`` is None), and what they leave is decided by the
+shingles themselves.
 
 Classes are components of similar pairs, so pairs within a class need not be met. Two rounds link the members of a key to
 one of them: any one first, then the one with the most links yet, which for copies of one original is the original, unless
@@ -127,19 +128,22 @@ def shingle_sets(df: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     return sets.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def alike_enough(a, b, similarity: float) -> tuple[Column, Column]:
-    """Whether sizes and sketches of rows ``a`` and ``b`` leave a pair, and how far apart the sketches are."""
+def alike_enough(a, b, similarity: float, deviations: float | None) -> tuple[Column, Column]:
+    """Whether sizes and sketches of rows ``a`` and ``b`` leave a pair, and how far apart the sketches are. Without
+    ``deviations`` sizes alone decide, which drops no similar pair whatever the hashes are."""
     apart = sum((F.bit_count(a(s).bitwiseXOR(b(s))) for s in LONGS), F.lit(0))
+    sizes = F.least(a("n"), b("n")) >= similarity * F.greatest(a("n"), b("n")) - 1e-9
+    if deviations is None:
+        return sizes, apart
     p = (1 - similarity) / 2
-    far = SKETCH * p + DEVIATIONS * math.sqrt(SKETCH * p * (1 - p))
-    return (F.least(a("n"), b("n")) >= similarity * F.greatest(a("n"), b("n")) - 1e-9) & (apart <= far), apart
+    return sizes & (apart <= SKETCH * p + deviations * math.sqrt(SKETCH * p * (1 - p))), apart
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, similarity: float, deviations: float | None) -> DataFrame:
     """(u, v, apart) of distinct pairs that sizes and sketches leave."""
     of = lambda side: nodes.select(F.col("node").alias(side), F.struct("n", *LONGS).alias(f"{side}_is"))
     joined = pairs.distinct().join(of("u"), "u").join(of("v"), "v")
-    left, apart = alike_enough(lambda c: F.col(f"u_is.{c}"), lambda c: F.col(f"v_is.{c}"), similarity)
+    left, apart = alike_enough(lambda c: F.col(f"u_is.{c}"), lambda c: F.col(f"v_is.{c}"), similarity, deviations)
     return joined.filter(left).select("u", "v", apart.alias("apart"))
 
 
@@ -166,7 +170,7 @@ def _to_one(keys: DataFrame, links: DataFrame | None, placed: DataFrame | None)
     return placed.join(hubs, "token").filter(F.col("component") != F.col("of_hub")).select(F.col("node").alias("u"), "v")
 
 
-def _across(keys: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _across(keys: DataFrame, nodes: DataFrame, similarity: float, deviations: float | None) -> DataFrame:
     """Pairs (u, v): all members of a key that are in different components, if sizes, sketches and places leave them.
 
     A key that is the first one of a pair leaves the pair 1 and what is behind it in common at most. Similar pairs have
@@ -176,7 +180,7 @@ def _across(keys: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     open_ = keys.join(mixed, "token", "left_semi").join(nodes.select("node", "n", *LONGS), "node")
     of = lambda side: open_.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "place", "n", *LONGS)])
     u, v = (lambda c: F.col(f"u_{c}")), (lambda c: F.col(f"v_{c}"))
-    left, _ = alike_enough(u, v, similarity)
+    left, _ = alike_enough(u, v, similarity, deviations)
     behind = F.least(u("n") - u("place"), v("n") - v("place")) >= similarity / (1 + similarity) * (u("n") + v("n")) - 1e-6
     pairs = of("u").join(of("v"), "token").filter((u("node") > v("node")) & (u("component") != v("component")) & behind & left)
     return pairs.select(u("node").alias("u"), v("node").alias("v")).distinct()
@@ -187,9 +191,9 @@ def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
     return written(joined.select("token", "node", "place", F.coalesce("c", "node").alias("component")), "placed")
 
 
-def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, deviations: float | None = DEVIATIONS) -> DataFrame:
     """(doc_id, text_hash, class_id, component_id): component_id is the least doc_id of the class; text_hash tells rows of one
-    doc_id apart, and class_id tells their classes apart."""
+    doc_id apart, and class_id tells their classes apart. ``deviations`` None leaves sketches out."""
     found = written(signatures(df, words, similarity), "signatures").filter("doc_id IS NOT NULL")
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in LONGS])
     nodes = written(nodes, "nodes")
@@ -202,10 +206,10 @@ def classes(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
         if links is not None:
             placed = _with_component(keys, links)
         if turn == "all":
-            pairs = _across(placed, nodes, similarity)
+            pairs = _across(placed, nodes, similarity, deviations)
         else:
             pairs = _to_one(keys, links, placed).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            pairs = likely(pairs, nodes, similarity)
+            pairs = likely(pairs, nodes, similarity, deviations)
         if turn == "any":  # the nearest of them will do
             pairs = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
         if links is not None:
