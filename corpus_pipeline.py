@@ -1,4 +1,7 @@
-"""The corpus pipeline: toxicity, SimHash near-duplicates, benchmark decontamination, pseudonyms, packing.
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, pseudonyms, packing.
+
+The near-duplicate stage joins sets of five-word shingles at 0.8 (``loomdoc.llm.similar``): two of 64 fingerprint bits are far
+closer than that, so SimHash would miss most such pairs. Its stage keeps the name of the operator that it stands for.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
 reread as the next stage's ``docs``. All stages but the last return the columns of ``documents``.
