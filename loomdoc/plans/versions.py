@@ -96,3 +96,27 @@ def version_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "region").select(branch.alias("branch")).distinct().withColumn("slug", op.version_slug(F.col("branch")))
     url = lambda p: op.page_url(F.col("slug"), F.lit(p))
     return rows.select("branch", "slug", url("index").alias("root"), url("intro").alias("intro"))
+
+
+@query(
+    "page_versions",
+    """
+WITH v AS (SELECT r_regionkey AS ord, lower(r_name) AS slug FROM region),
+p AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', 2) AS second, p_size FROM part),
+seen AS (
+  SELECT CASE WHEN k % 3 = 0 THEN 'module' ELSE 'manual' END AS kind, CASE k % 3 WHEN 0 THEN first WHEN 1 THEN 'guide/' || second ELSE '' END AS page, v.ord, v.slug
+  FROM p JOIN v ON v.ord = k % 6 WHERE k % 7 > 1 AND p_size < 40)
+SELECT kind, page, string_agg(slug, ' ' ORDER BY ord) AS slugs FROM (SELECT DISTINCT * FROM seen) GROUP BY kind, page""",
+)
+def page_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of modules, of manuals and their indexes; hidden ones, those of unlisted versions, of deeper folders and without a
+    version tell of none."""
+    versions = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("ord"), F.lower("r_name").alias("slug"))
+    k, words = F.col("p_partkey"), F.split("p_name", " ")
+    part = load(spark, sf_dir, "part").join(versions, k % 6 == F.col("ord"), "left")
+    slug = F.coalesce("slug", F.lit("unlisted"))
+    route = F.when(k % 3 == 0, F.concat(F.lit("docs/modules/"), slug, F.lit("/"), words[0])).when(k % 3 == 1, F.concat(F.lit("docs/manual/"), slug, F.lit("/guide/"), words[1]))
+    route = route.otherwise(F.concat(F.lit("docs/manual/"), slug))
+    other = F.when(k % 2 == 0, F.concat(F.lit("docs/modules/"), slug, F.lit("/deep/"), words[0])).otherwise(F.concat(F.lit("docs/"), words[0]))
+    pages = part.select(F.when(k % 7 == 0, other).otherwise(route).alias("route"), F.when(k % 7 == 1, True).when(F.col("p_size") >= 40, True).alias("hidden"))
+    return op.page_versions(pages, versions).select("kind", "page", F.array_join("slugs", " ").alias("slugs"))
