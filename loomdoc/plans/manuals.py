@@ -129,6 +129,50 @@ def xml_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("module", "title", "description", "body", F.when(F.col("ids").isNotNull(), ids).alias("ids"))
 
 
+#: Blocks of the manual: kind, level, id, id in the XML, text.
+BLOCKS = [
+    ("heading", 2, "admin_guide", "", "## Admin Guide"),
+    ("heading", 3, "overview", "s1", "### Overview"),
+    ("para", 0, "", "", "About the «first» & &lost;."),
+    ("heading", 3, "exported_parameters", "s2", "### Exported Parameters"),
+    ("heading", 4, "param_«first»_x", "p1", "#### «first»_x (string)"),
+    ("para", 0, "", "", "Uses **«name»**, *«kind»*, "),
+    ("code", 0, "", "", '```c title="Set «first»"\nset("«name»")\n```'),
+    ("heading", 4, "param_«first»_x_2", "", "#### «first»_x (string)"),
+    ("para", 0, "", "", "before"),
+    ("list", 0, "", "", "- one\n\n  - «key»"),
+    ("para", 0, "", "", "after"),
+    ("alert", 0, "", "", "> [!WARNING]\n> Mind «second»."),
+    ("heading", 3, "more", "", "### More"),
+    ("list", 0, "", "", "«first», «second»"),
+    ("term", 0, "", "", "**«first»**"),
+    ("para", 0, "", "", "is «kind»"),
+    ("para", 0, "", "", "**Sizes**"),
+    ("table", 2, "", "", "| A | B |\n| --- | --- |\n| «key»\\|x |  |"),
+    ("qa", 0, "", "", "**Q: Why «name»?**"),
+    ("qa", 0, "", "", "So."),
+]
+
+
+def _blocks_sql() -> str:
+    text = lambda t: filled_sql(t) if t else "NULL"
+    rows = [
+        f"SELECT 'm' || key AS module, {pos} AS pos, '{kind}' AS kind, {level} AS level, {text(id_)} AS id, {text(legacy)} AS legacy, {text(shown)} AS shown FROM p WHERE p_partkey % 4 <> 0"
+        for pos, (kind, level, id_, legacy, shown) in enumerate(BLOCKS)
+    ]
+    return f"WITH {WORDS_SQL}\n" + "\nUNION ALL\n".join(rows)
+
+
+@query("xml_rows", _blocks_sql())
+def xml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of every manual as a row; long paragraphs by what they begin with. The last heading, whose id is made of a
+    word of the row, is left to the query of whole bodies."""
+    xml = F.when(F.col("p_partkey") % 4 == 0, F.lit("<book><a></book>")).otherwise(filled(MANUAL))
+    found = pages.xml_rows(words(spark, sf_dir).select(filled("m«key»").alias("module"), xml.alias("xml")), {})
+    shown = F.when(F.startswith("text", F.lit("Uses ")), F.regexp_extract("text", r'^[^"]*', 0)).otherwise(F.col("text"))
+    return found.filter(F.col("pos") < len(BLOCKS)).select("module", "pos", "kind", "level", "id", "legacy", shown.alias("shown"))
+
+
 @query(
     "xml_folders",
     f"""WITH {WORDS_SQL}
