@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from loomdoc.functions import code, docbook, mdx, wiki
 from loomdoc.operators.lines import fenced, in_order, lines_of
+from loomdoc.scratch import checkpointed
 
 BLOCK = T.StructType().add("pos", T.IntegerType()).add("kind", T.StringType()).add("level", T.IntegerType()).add("text", T.StringType())
 
@@ -218,10 +219,10 @@ def expanded_includes(files: DataFrame) -> DataFrame:
     """Files (path, body) with each include replaced by the file it names, and so on until none is left.
 
     ``state`` is ``ok``, ``missing`` (some include names no file) or ``cycle`` (some file includes itself, directly or not);
-    such includes stay as they are. A level is one join of all open includes; a chain holds no file twice, so levels end. A
+    such includes stay as they are. A level is one join of all open includes, written once; a chain holds no file twice, so levels end. A
     file may be included any number of times, side by side.
     """
-    lines = include_lines(files)
+    lines = checkpointed(include_lines(files))
     inner = lines.select(F.col("path").alias("__path"), F.col("pos").alias("__pos"), F.col("line").alias("__line"), F.col("target").alias("__target"))
     rows = lines.select(
         F.col("path").alias("root"), F.array("pos").alias("place"), F.array("path").alias("chain"), "line", "target", F.lit("ok").alias("state")
@@ -237,7 +238,7 @@ def expanded_includes(files: DataFrame) -> DataFrame:
         done = done.unionByName(open_.filter(cycle).select("root", "place", "line", F.lit("cycle").alias("state")))
         joined = open_.filter(~cycle).join(inner, F.col("target") == F.col("__path"), "left")
         missing = F.col("__path").isNull()
-        rows = joined.select(
+        level = joined.select(
             "root",
             F.when(missing, F.col("place")).otherwise(F.concat("place", F.array("__pos"))).alias("place"),
             F.concat("chain", F.array("target")).alias("chain"),
@@ -245,6 +246,7 @@ def expanded_includes(files: DataFrame) -> DataFrame:
             F.col("__target").alias("target"),
             F.when(missing, "missing").otherwise("ok").alias("state"),
         )
+        rows = checkpointed(level)
     ordered = F.array_sort(F.collect_list(F.struct("place", "line")))
     has = lambda state: F.max(F.col("state") == state)
     return done.groupBy(F.col("root").alias("path")).agg(
