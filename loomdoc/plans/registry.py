@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries on import.
-MODULES = ["contributors", "versions", "lines", "html", "index", "misc", "grammar", "manuals", "corpus", "page_passes", "menus", "heads"]
+MODULES = ["contributors", "versions", "lines", "html", "index", "misc", "grammar", "manuals", "corpus", "page_passes", "menus", "heads", "files"]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

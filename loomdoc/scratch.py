@@ -1,19 +1,32 @@
-"""Tables between steps, in the folder that all executors share."""
+"""Tables and files between steps, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, with its lineage cut, in ``spark.checkpoint.dir``; a folder of our own only in local mode with
-    the setting unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; one of our own only in local mode with the setting unset."""
+    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
+    if set_by_cluster:
+        return set_by_cluster.rstrip("/")
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+    if context.getCheckpointDir() is None:
         if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is unset: this job needs a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="loomdoc-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark)}/loomdoc-{name}-{uuid.uuid4().hex}"

@@ -31,6 +31,8 @@ ROWS = "version string, path string, root string, text string, error string"
 
 def reached(root: str) -> tuple[fs.FileSystem, str]:
     """The file system of a root and the path there."""
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
 
 

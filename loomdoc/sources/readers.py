@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.functions.html import decode_entities
 from loomdoc.functions.values import feed_date, iso_date, json_or_empty
+from loomdoc.operators.page_heads import with_heads
 
 STEM = r"([^/]+?)(?:\.[^./]+)?$"
 
@@ -35,11 +36,9 @@ def wiki_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def front_matter(pages: DataFrame) -> DataFrame:
-    """``title``, ``hidden`` and ``body`` without the head, for pages (.., body) that begin with a ``---`` block."""
-    head = F.regexp_extract("body", r"(?s)\A---\n(.*?)\n---\n?", 1)
-    title = F.regexp_replace(F.regexp_extract(head, r"(?m)^title:\s*(.*?)\s*$", 1), r'^"|"$', "")
-    rows = pages.withColumn("title", F.nullif(title, F.lit(""))).withColumn("hidden", head.rlike(r"(?m)^\s+hidden:\s*true\s*$"))
-    return rows.withColumn("body", F.regexp_replace("body", r"(?s)\A---\n.*?\n---\n?", ""))
+    """``title``, ``hidden`` and ``body`` without the head, for pages (.., body); their heads are read as YAML."""
+    rows = with_heads(pages, "body").withColumn("title", F.nullif(F.trim("head.title"), F.lit("")))
+    return rows.withColumn("hidden", F.coalesce("head.sidebar.hidden", F.lit(False))).drop("head", "whole", "faults")
 
 
 def first_available(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,6 +92,20 @@ def feed_items(feeds: DataFrame, most: int = 5) -> DataFrame:
     )
 
 
+def schema_tree(spark: SparkSession, root: str, product: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Modules (slug, module_file, xml), tables (slug, table_file, xml) and entities (scope, name, value) of the database
+    descriptions of all versions, ``<root>/<slug>/``: files at a version's top named after the product are modules,
+    ``entities.xml`` has the declarations, all other XML files are tables by their path."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").text(root, wholetext=True)
+    base = re.sub("^file:/*", "/", root.rstrip("/"))
+    below = lambda i: F.regexp_extract(F.col("_metadata.file_path"), rf"{re.escape(base)}/([^/]+)/(.+)$", i)
+    rows = rows.select(below(1).alias("slug"), below(2).alias("file"), F.col("value").alias("xml"))
+    is_module, is_entities = F.col("file").rlike(rf"^{re.escape(product)}-[\w.-]+\.xml$"), F.col("file") == "entities.xml"
+    named = lambda rows, name: rows.select("slug", F.col("file").alias(name), "xml")
+    declared = rows.filter(is_entities).select(F.col("slug").alias("scope"), F.col("xml").alias("text"))
+    return named(rows.filter(is_module), "module_file"), named(rows.filter(~is_module & ~is_entities), "table_file"), entity_rows(declared)
+
+
 def page_collection(pages: DataFrame, root: str) -> DataFrame:
     """(route, title, hidden, body) of a tree's pages (path, body): routes are paths below ``root`` without ending, an index
     page's is that of its folder."""
