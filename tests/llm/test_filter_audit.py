@@ -24,8 +24,8 @@ def fails(docs):
 
 
 def plain(docs, labels):
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
     marks, out = fails(docs), {}
     for part in {d[2] or "" for d in docs}:
         mine = [(d, m) for d, m in zip(docs, marks, strict=True) if (d[2] or "") == part]
