@@ -20,11 +20,15 @@ def hyphen_slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+#: Fixed value: what forges take for emphasis.
+EMPHASIS = r"[*_]{1,3}([^*_]+)[*_]{1,3}"
+
+
 def forge_slug(text: Column) -> Column:
     """The slug that code forges give: code marks, links and paired emphasis stripped, lower case, marks but ``_`` and ``-``
     dropped, spaces to hyphens."""
     bare = F.regexp_replace(F.regexp_replace(text, "`([^`]*)`", "$1"), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    bare = F.regexp_replace(bare, r"[*_]{1,3}([^*_]+)[*_]{1,3}", "$1")
+    bare = F.regexp_replace(bare, EMPHASIS, "$1")
     return F.replace(F.regexp_replace(F.lower(F.trim(bare)), "[^a-z0-9 _-]", ""), F.lit(" "), F.lit("-"))
 
 

@@ -16,6 +16,16 @@ MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈ
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYstaSTA"
 
 
+# Forms of the old site's addresses behind the host, a document's and a module's page, with their places.
+OLD_DOCUMENT = r"Documentation/([^#?\s]+)(#\S*)?$"
+OLD_MODULE = r"docs/modules/([^/]+)/([\w.-]+?)(?:\.html)?(#\S*)?$"
+
+
+def old_address(hosts: str, form: str) -> str:
+    """A pattern of addresses of a form on hosts that match the pattern ``hosts``; without hosts it matches nothing."""
+    return rf"(?i)^https?://(?:{hosts or '$.'})/(?:html/)?{form}"
+
+
 def transliterated(c: Column) -> Column:
     return F.translate(c, MARKED, PLAIN)
 

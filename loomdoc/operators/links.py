@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.functions.names import manual_ref
+from loomdoc.functions.names import OLD_DOCUMENT, OLD_MODULE, manual_ref, old_address
 from loomdoc.functions.wiki import LinkMarks
 from loomdoc.operators.index import resolve_positions, resolve_refs
 
@@ -110,7 +110,7 @@ def rewritten_legacy(pages: DataFrame, key: str, body: str, manual_pages: DataFr
     behind ``origin``; a module's page is the module beside this one, so it follows the page's version. All others stay.
     """
     rows = link_rows(pages, key, body).filter(F.col("url").rlike(rf"(?i)^https?://(?:{hosts})/"))
-    document, module = rf"(?i)//(?:{hosts})/(?:html/)?Documentation/([^#?\s]+)(#\S*)?$", rf"(?i)//(?:{hosts})/(?:html/)?docs/modules/[^/]+/([\w.-]+?)(?:\.html)?(#\S*)?$"
+    document, module = old_address(hosts, OLD_DOCUMENT), old_address(hosts, OLD_MODULE)
     part = lambda pattern, i: F.regexp_extract("url", pattern, i)
     path = part(document, 1)
     ref = manual_ref(F.substring_index(path, "/", -1))
@@ -121,6 +121,6 @@ def rewritten_legacy(pages: DataFrame, key: str, body: str, manual_pages: DataFr
     new = (
         F.when(F.col("__of_manual"), F.concat(F.lit(f"{origin}/docs/manual/"), "__slug", F.lit("/"), "__page", part(document, 2)))
         .when(F.col("__of_site"), F.concat(F.lit(f"{origin}/docs/"), "__flat", part(document, 2)))
-        .when(part(module, 1) != "", F.concat(F.lit("../"), part(module, 1), part(module, 2)))
+        .when(part(module, 2) != "", F.concat(F.lit("../"), part(module, 2), part(module, 3)))
     )
     return with_links(pages, key, body, rows.filter(new.isNotNull()).select(key, "pos", new.alias("url")))
