@@ -89,7 +89,8 @@ class HeadReader:
     def mapping(self, indent: int) -> dict[str, Any]:
         out: dict[str, Any] = {}
         while self.peek() == indent and not self.is_item():
-            m = _KEY.fullmatch(self.lines[self.at].strip())
+            line = self.lines[self.at]
+            m = None if line.lstrip(" ").startswith("\t") else _KEY.fullmatch(line.strip())
             if not m:
                 raise HeadError("no key")
             key = quoted(m[1])[0] if m[1][0] in "\"'" else m[1]
