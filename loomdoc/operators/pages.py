@@ -122,24 +122,25 @@ def xml_modules(files: DataFrame, entities: dict[str, str]) -> DataFrame:
 def xml_rows(files: DataFrame, entities: dict[str, str]) -> DataFrame:
     """(module, pos, kind, level, text, id, legacy) of XML manuals (module, xml): a row for each block of each manual, in order.
 
-    A table function over the walk of a document, joined laterally, so blocks are rows at once and no manual is one value.
-    ``legacy`` is the id that the XML gives a heading. A manual that cannot be parsed has no rows, a null one neither.
+    Documents pass in batches and their blocks come out as rows, so no manual is one value. ``legacy`` is the id that the XML
+    gives a heading. A manual that cannot be parsed has no rows, a null one neither.
     """
     known = {"nbsp": " "} | entities
 
-    @F.udtf(returnType="pos int, kind string, level int, text string, id string, legacy string", useArrow=True)
-    class Blocks:
-        def eval(self, xml: str):
-            root = docbook.parsed(xml, known) if xml else None
-            if root is None:
-                return
-            walk = docbook.Walk(root)
-            for pos, (kind, level, text, id_) in enumerate(walk.rows()):
-                legacy = next((old for old, new in reversed(walk.ids.items()) if new == id_ and not old.startswith("toc")), None) if kind == "heading" else None
-                yield pos, kind, level, text, id_, legacy
-
-    blocks = Blocks(F.col("xml").outer())
-    return files.select("module", "xml").lateralJoin(blocks).select("module", "pos", "kind", "level", "text", "id", "legacy")
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for module, xml in zip(batch["module"], batch["xml"], strict=True):
+                root = docbook.parsed(xml, known) if xml else None
+                if root is None:
+                    continue
+                walk = docbook.Walk(root)
+                found = list(walk.rows())
+                old = {new: name for name, new in walk.ids.items() if not name.startswith("toc")}
+                rows += [(module, pos, kind, level, text, id_, old.get(id_) if kind == "heading" else None) for pos, (kind, level, text, id_) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["module", "pos", "kind", "level", "text", "id", "legacy"])
+
+    return files.select("module", "xml").mapInPandas(blocks, "module string, pos int, kind string, level int, text string, id string, legacy string")
 
 
 def xml_folders(files: DataFrame, entities: dict[str, str]) -> DataFrame:
