@@ -91,11 +91,9 @@ def with_ids(lines: DataFrame, key: str, body: str) -> DataFrame:
 def module_heading_ids(pages: DataFrame, key: str, body: str) -> DataFrame:
     """(key, body, ids) of modules' pages: items of a section of exports have typed ids, other headings slugs. Own ids stay and
     are reserved from their place on, so an equal one before them stays too, and one behind them gets a number."""
-    lines = heading_lines(pages, key, body)
-    heads = lines.filter(F.col("level").isNotNull())
-    base = anchors.item_id(F.col("level"), F.col("text"), F.col("section"), F.col("guide"))
-    of_heads = heading_context(heads.select(key, "pos", "level", "text"), key).select(key, "pos", F.nullif(base, F.lit("")).alias("base"))
-    return with_ids(lines.join(of_heads, [key, "pos"], "left"), key, body)
+    lines = heading_context(heading_lines(pages, key, body), key)  # lines without a level change no context
+    base = F.nullif(anchors.item_id(F.col("level"), F.col("text"), F.col("section"), F.col("guide")), F.lit(""))
+    return with_ids(lines.withColumn("base", F.when(F.col("level").isNotNull(), base)), key, body)
 
 
 def manual_heading_ids(pages: DataFrame, key: str, page: str, body: str, ahead: int = 7) -> DataFrame:
