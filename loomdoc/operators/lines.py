@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lines_of(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, line): lines split at ``\\n``, numbered from 0; a null text has none."""
-    return pages.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+def lines_of(pages: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(key, more.., pos, line): lines split at ``\\n``, numbered from 0; a null text has none."""
+    return pages.select(key, *more, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
 
 
 def in_order(key: str) -> Window:

@@ -14,9 +14,9 @@ from loomdoc.operators.lines import fenced, heading_context, heading_parts, in_o
 FENCE = r"^\s*(```|~~~)"
 
 
-def page_lines(pages: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, pos, line, in_fence) of the pages' lines."""
-    return fenced(lines_of(pages, key, body), key, F.col("line").rlike(FENCE))
+def page_lines(pages: DataFrame, key: str, body: str, *more: str) -> DataFrame:
+    """(key, more.., pos, line, in_fence) of the pages' lines."""
+    return fenced(lines_of(pages, key, body, *more), key, F.col("line").rlike(FENCE))
 
 
 def page_texts(lines: DataFrame, key: str, line: Column, body: str) -> DataFrame:
@@ -68,10 +68,9 @@ def _told_apart(bases: pd.Series, own: pd.Series) -> pd.Series:
 
 def heading_lines(pages: DataFrame, key: str, body: str, *more: str) -> DataFrame:
     """Lines with level, text (as shown, without marks) and own id of headings, and the columns ``more`` of the pages."""
-    lines = page_lines(pages, key, body).withColumn("h", F.when(~F.col("in_fence"), heading_parts(F.col("line"))))
+    lines = page_lines(pages, key, body, *more).withColumn("h", F.when(~F.col("in_fence"), heading_parts(F.col("line"))))
     shown = F.regexp_replace(F.regexp_replace("h.text", r"\[([^\]]*)\]\([^)]*\)", "$1"), "[`*]", "")
-    lines = lines.select("*", F.col("h.level").alias("level"), F.nullif(F.trim(shown), F.lit("")).alias("text"), F.col("h.id").alias("own"))
-    return lines.join(pages.select(key, *more), key) if more else lines
+    return lines.select("*", F.col("h.level").alias("level"), F.nullif(F.trim(shown), F.lit("")).alias("text"), F.col("h.id").alias("own"))
 
 
 def with_ids(lines: DataFrame, key: str, body: str) -> DataFrame:
