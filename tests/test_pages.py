@@ -195,3 +195,12 @@ def test_nearest_is_nearest_and_exists(spark):
     got = {(r["ord"], r["page"]): r["nearest"] for r in versions.nearest_version(pages_, vers).collect()}
     assert got[(3, "a")] == 1 and got[(4, "a")] == 5 and got[(5, "b")] == 3 and len(got) == 7
     assert all((n, p) in rows for (_, p), n in got.items())
+
+
+def test_large_counts_are_no_header(spark):
+    """Counts of seven digits and more; an abbreviated sha of digits alone, by an author of digits, has its date."""
+    log = ["abcdef1\tJo\t2020-01-02T03:04:05+02:00", "1000000\t5\tmodules/a", "7\t12345678\tb", "1234567\t-\tc", "1234567\t89\t2020-01-02T03:04:05Z", "2\t2\td", "7654321\tAl\tbad", "3\t3\te"]
+    df = spark.createDataFrame([("m", i, x) for i, x in enumerate(log)], "module string, pos int, line string")
+    rows = [(r["sha"], r["author_raw"], r["file"], r["added"], r["deleted"]) for r in readers.commit_log(df).collect()]
+    jo = [("abcdef1", "Jo", "modules/a", 1000000, 5), ("abcdef1", "Jo", "b", 7, 12345678), ("abcdef1", "Jo", "c", 1234567, None)]
+    assert rows == [*jo, ("1234567", "89", "d", 2, 2), ("7654321", "Al", "e", 3, 3)]
