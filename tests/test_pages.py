@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.functions import anchors, docbook
 from loomdoc.operators import contributors, lines, pages, schema_tables, versions
+from loomdoc.plans import cases
 from loomdoc.sources import readers, sinks
 from loomdoc.streaming import index_stream
 
@@ -204,3 +205,10 @@ def test_large_counts_are_no_header(spark):
     rows = [(r["sha"], r["author_raw"], r["file"], r["added"], r["deleted"]) for r in readers.commit_log(df).collect()]
     jo = [("abcdef1", "Jo", "modules/a", 1000000, 5), ("abcdef1", "Jo", "b", 7, 12345678), ("abcdef1", "Jo", "c", 1234567, None)]
     assert rows == [*jo, ("1234567", "89", "d", 2, 2), ("7654321", "Al", "e", 3, 3)]
+
+
+def test_made_rows_are_spread(spark):
+    """A small file is one task of a scan; the markup that is made of its rows is dealt over all cores, every row once."""
+    rows = cases.inputs(spark, "/root/testdata/sf0.001", {"a": ("«key»", ""), "b": ("«name»", "")})
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert rows.select("p_partkey", "rule").distinct().count() == rows.count() == 2 * spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
