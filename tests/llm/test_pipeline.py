@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from loomdoc.llm import similar, simhash
 
 ITEM = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima"
 
@@ -59,3 +60,22 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder[0]).collect()
     assert {r["doc_id"] for r in rows}.isdisjoint({0, 5, 300, 301, 304}) and max(r["offset"] + r["length"] for r in rows) <= 4096
+
+
+def test_near_copies_by_fingerprint(spark):
+    """What SimHash links goes though its shingles are not alike; a class goes on over links of both kinds."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    plain = lambda n: " ".join(rng.choice(words, n).tolist())
+    line = plain(41)  # an odd number, so that no bit is even
+    texts = [plain(80), " ".join([line] * 300 + [plain(60)]), " ".join([line] * 300 + [plain(60)])]
+    changed = texts[2].split()
+    changed[-30] = "changed"
+    rows = [(i, t) for i, t in enumerate([*texts, " ".join(changed), None, None])] + [(1, "another text of one id"), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert (fps[1] ^ fps[2]).bit_count() <= 2
+    alone = {(r["doc_id"], r["text"]) for r in similar.without_duplicates(docs).collect()}
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert (2, texts[2]) in alone
+    assert kept == {rows[0], rows[1], rows[4], rows[6], rows[7]}
