@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from loomdoc.sources import readers
 from loomdoc.sources.page_tree import read_pages, write_pages
 
 
@@ -82,3 +83,14 @@ def test_flat_pages_leave_versions_alone(spark, tmp_path):
     rows = spark.createDataFrame([("a.md", "new"), ("gone.md", None), ("c.md", "c")], "path string, text string")
     write_pages(rows, str(root), flat=True)
     assert tree(root) == {"a.md": "new", "b.md": "b", "c.md": "c", "1/v.md": "v"}
+
+
+def test_only_files_of_their_kind_are_opened(spark, tmp_path):
+    """Modules and declarations are read without opening all tables; what is named alike in a folder is a table."""
+    (tmp_path / "v" / "tables").mkdir(parents=True)
+    for name in ("loom-a.xml", "entities.xml", "tables/t1.xml", "tables/t2.xml", "tables/loom-b.xml", "tables/entities.xml"):
+        (tmp_path / "v" / name).write_text(f'<!ENTITY e "{name}">')
+    modules, tables, entities = readers.schema_tree(spark, str(tmp_path), "loom")
+    assert [r["module_file"] for r in modules.collect()] == ["loom-a.xml"] and [r["value"] for r in entities.collect()] == ["entities.xml"]
+    assert {r["table_file"] for r in tables.collect()} == {"tables/t1.xml", "tables/t2.xml", "tables/loom-b.xml", "tables/entities.xml"}
+    assert (len(modules.inputFiles()), len(entities.inputFiles())) == (2, 2)
