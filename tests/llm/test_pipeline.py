@@ -79,3 +79,63 @@ def test_near_copies_by_fingerprint(spark):
     kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert (2, texts[2]) in alone
     assert kept == {rows[0], rows[1], rows[4], rows[6], rows[7]}
+
+
+def copies(n=160, seed=5):
+    """Copies of one text with so many changes that many are near to it or to each other, and many to none."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(1, 9), replace=False):
+            words[at] = f"c{i}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def least_reachable(texts):
+    """The classes by all pairs of shingle sets, in plain Python."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    least = list(range(len(texts)))
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((top(i), top(j)))
+                least[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def test_crowds_of_near_copies(spark, monkeypatch):
+    """Members of a crowded key are compared in blocks: all links are found, and no pairs of them are rows."""
+    texts = copies()
+    want = dict(enumerate(least_reachable(texts)))
+    assert 20 < len(set(want.values())) < len(texts) - 20
+    pairs, across = [], similar._across
+    monkeypatch.setattr(similar, "_across", lambda *args: pairs.append(across(*args)) or pairs[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = similar.classes(docs, crowd=8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+    assert pairs[0].count() < len(texts)
+
+
+def test_blocks_of_crowds(spark):
+    """Two blocks of a crowd find what all its members have; links are no more than connect them."""
+    texts = copies(60, 6)
+    sets = [similar.shingle_set(t, 5) for t in texts]
+    known = [(i, len(s), *similar.sketch(s).tolist()) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(known, "node bigint, n int, " + ", ".join(f"{s} bigint" for s in similar.LONGS))
+    members = spark.createDataFrame([(0, i, i) for i in range(60)], "crowd bigint, node bigint, component bigint")
+    shingles = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "node bigint, shingles array<bigint>")
+    want = {i: c for i, c in enumerate(least_reachable(texts)) if c != i}
+    for block in (7, 1024):
+        links = similar.crowd_links(similar.dealt_crowds(members, nodes, 0.8, similar.DEVIATIONS, block), shingles, 0.8)
+        assert {r["node"]: r["component"] for r in similar.components(links).collect()} == want
+    assert links.count() == len(want)
