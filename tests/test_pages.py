@@ -212,3 +212,13 @@ def test_made_rows_are_spread(spark):
     rows = cases.inputs(spark, "/root/testdata/sf0.001", {"a": ("«key»", ""), "b": ("«name»", "")})
     assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert rows.select("p_partkey", "rule").distinct().count() == rows.count() == 2 * spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_entities_are_gathered_once(spark):
+    """Entities of a scope are not joined back to its table; rows without a scope have none."""
+    from loomdoc.sources import readers
+
+    rows = spark.createDataFrame([("s", "a", "x &b;"), ("s", "b", "y"), ("t", "b", "z"), (None, "b", "n")], "scope string, name string, value string")
+    found = readers.resolved_entities(rows)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("s", "a", "x y", False), ("s", "b", "y", False), ("t", "b", "z", False)]
