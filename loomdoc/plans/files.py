@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.operators import schema_tables
-from loomdoc.plans.cases import WORDS_SQL, filled, words
+from loomdoc.plans.cases import WORDS_SQL, filled, tasks, words
 from loomdoc.plans.registry import query
 from loomdoc.scratch import new_folder
 from loomdoc.sources import page_tree, readers
@@ -79,8 +79,9 @@ def file_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_tree.write_pages(rows.select(name.alias("path"), F.lit("text=x\n").alias("text")), f"{root}/pages", flat=True)
     hide = F.when(F.col("p_partkey") % 2 == 0, F.lit(',"hide":true')).otherwise("")
     entry = F.concat(filled('{"name":"Group«g».Page«key»","label":"«kind»"'), hide, F.lit("}"))
-    tables = rows.groupBy("g").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(entry), ",\n"), F.lit("]")).alias("text"))
-    page_tree.write_pages(tables.select(filled("side«g».json").alias("path"), "text"), f"{root}/side", flat=True)
+    sides = rows.groupBy("g").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(entry), ",\n"), F.lit("]")).alias("text"))
+    page_tree.write_pages(sides.select(filled("side«g».json").alias("path"), "text"), f"{root}/side", flat=True)
     side = readers.json_rows(spark, f"{root}/side", "name string, label string, hide boolean")
-    found = readers.wiki_files(spark, f"{root}/pages").select("name")
+    # Small files come some 30 to a task, and each task reports to the driver.
+    found = readers.wiki_files(spark, f"{root}/pages").select("name").coalesce(tasks(spark))
     return found.join(side, "name", "left").select("name", F.coalesce("hide", F.lit(False)).alias("hide"), "label")

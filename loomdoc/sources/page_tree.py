@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,7 +103,24 @@ class PageReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str, bool]]
+    """What a task wrote, and the names of files that go, both packed: all messages meet in the driver."""
+
+    task: str
+    there: bytes
+    gone: bytes
+
+    def files(self) -> Iterator[tuple[str, str, bool]]:
+        for names, there in ((self.there, True), (self.gone, False)):
+            for target in unpacked(names):
+                yield f"{self.task}/{target}", target, there
+
+
+def packed(names: list[str]) -> bytes:
+    return zlib.compress("\0".join(names).encode()) if names else b""
+
+
+def unpacked(names: bytes) -> list[str]:
+    return zlib.decompress(names).decode().split("\0") if names else []
 
 
 class PageWriter(DataSourceWriter):
@@ -114,21 +132,22 @@ class PageWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         system, base = reached(self.staging)
-        files, made, task = [], set(), uuid.uuid4().hex  # a task that is tried again writes elsewhere
+        files, made, task = {True: [], False: []}, set(), uuid.uuid4().hex  # a task that is tried again writes elsewhere
         for row in iterator:
             version = "" if self.flat else row["version"]
-            where = f"{base}/{task}/{version}/{row['path']}"
+            target = f"{version}/{row['path']}".lstrip("/")
+            where = f"{base}/{task}/{target}"
             if ".." in f"{version}/{row['path']}".split("/") or (not self.flat and not version) or (self.flat and "/" in row["path"]):
                 raise ValueError(f"no page file: {version}/{row['path']}")
             if row["text"] is not None:
                 _made(system, where.rpartition("/")[0], made)
                 with system.open_output_stream(where) as out:
                     out.write(row["text"].encode())
-            files.append((f"{task}/{version}/{row['path']}", f"{version}/{row['path']}".lstrip("/"), row["text"] is not None))
-        return Written(files)
+            files[row["text"] is not None].append(target)
+        return Written(task, packed(files[True]), packed(files[False]))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files = [f for m in messages if m is not None for f in m.files]
+        files = [f for m in messages if m is not None for f in m.files()]
         targets = [target for _, target, _ in files]
         if len(set(targets)) < len(targets):
             self.abort(messages)

@@ -94,3 +94,16 @@ def test_only_files_of_their_kind_are_opened(spark, tmp_path):
     assert [r["module_file"] for r in modules.collect()] == ["loom-a.xml"] and [r["value"] for r in entities.collect()] == ["entities.xml"]
     assert {r["table_file"] for r in tables.collect()} == {"tables/t1.xml", "tables/t2.xml", "tables/loom-b.xml", "tables/entities.xml"}
     assert (len(modules.inputFiles()), len(entities.inputFiles())) == (2, 2)
+
+
+def test_messages_of_a_task_are_small():
+    """What a task tells the driver of its files is packed, and comes back whole, with odd names and files that go."""
+    import pickle
+
+    from loomdoc.sources import page_tree
+
+    names = [f"Group{i % 10}.Page{i}" for i in range(5000)]
+    sent = page_tree.Written("task", page_tree.packed(names), page_tree.packed(["v/a\nb \u00e9.md"]))
+    assert list(sent.files()) == [*((f"task/{n}", n, True) for n in names), ("task/v/a\nb \u00e9.md", "v/a\nb \u00e9.md", False)]
+    assert list(page_tree.Written("task", page_tree.packed([]), page_tree.packed([])).files()) == []
+    assert len(pickle.dumps(sent)) < 6 * len(names)
