@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions.names import OLD_DOCUMENT, OLD_MODULE, manual_ref, old_address
 from loomdoc.functions.wiki import LinkMarks
 from loomdoc.operators.index import resolve_positions, resolve_refs
+from loomdoc.scratch import written
 
 #: What stands between a link's label and the end of its address.
 LINK = r"\]\([^)\s]+\)"
@@ -108,8 +109,11 @@ def rewritten_legacy(pages: DataFrame, key: str, body: str, manual_pages: DataFr
 
     A manual's page of a version, if ``manual_pages`` (page) has it, and a document that ``flat_pages`` (slug) has are routes
     behind ``origin``; a module's page is the module beside this one, so it follows the page's version. All others stay.
+    ``pages`` are written once: their links and their bodies are read from there, so a conversion before this runs once.
     """
-    rows = link_rows(pages, key, body).filter(F.col("url").rlike(rf"(?i)^https?://(?:{hosts})/"))
+    pages = written(pages, "pages")
+    links = link_rows(pages, key, body).filter(F.col("url").rlike(rf"(?i)^https?://(?:{hosts})/"))
+    rows = links.select("url").distinct()  # an address is resolved once, however many pages have it
     document, module = old_address(hosts, OLD_DOCUMENT), old_address(hosts, OLD_MODULE)
     part = lambda pattern, i: F.regexp_extract("url", pattern, i)
     path = part(document, 1)
@@ -123,4 +127,5 @@ def rewritten_legacy(pages: DataFrame, key: str, body: str, manual_pages: DataFr
         .when(F.col("__of_site"), F.concat(F.lit(f"{origin}/docs/"), "__flat", part(document, 2)))
         .when(part(module, 2) != "", F.concat(F.lit("../"), part(module, 2), part(module, 3)))
     )
-    return with_links(pages, key, body, rows.filter(new.isNotNull()).select(key, "pos", new.alias("url")))
+    routes = rows.select("url", new.alias("__new")).filter("__new IS NOT NULL")
+    return with_links(pages, key, body, links.join(routes, "url").select(key, "pos", F.col("__new").alias("url")))

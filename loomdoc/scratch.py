@@ -27,6 +27,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: compact, and computed once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has yet."""
     return f"{shared_folder(spark)}/loomdoc-{name}-{uuid.uuid4().hex}"

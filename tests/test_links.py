@@ -31,6 +31,22 @@ def test_links_are_put_back_in_order(spark):
     assert links.rewritten_ids(pages, "id", "body", ids).first()["body"] == want
 
 
+def test_pages_are_converted_once_for_their_links(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def converted(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, f"[a](https://x.example/Documentation/Page-{i}-3-6) [b](https://y.example/)") for i in range(50)]
+    pages = spark.createDataFrame(rows, "id int, text string").select("id", converted("text").alias("body"))
+    names = spark.createDataFrame([("page-7",)], "page string")
+    flat = spark.createDataFrame([], "slug string")
+    got = {r["id"]: r["body"] for r in links.rewritten_legacy(pages, "id", "body", names, flat, r"x\.example", "https://w.example").collect()}
+    assert got == dict(rows) | {7: got[7]} and seen.value == 50
+
+
 def test_manual_pages_without_headings(spark):
     rows = [("a", "other", ""), ("b", "script-tran", "text [x](#toc1)\n"), ("c", "other", "## \n## X {#X}\n## X"), ("d", "other", None)]
     got = {r["key"]: (r["body"], r["ids"]) for r in manual.generated_ids(spark.createDataFrame(rows, "key string, page string, body string"), "key").collect()}
