@@ -97,6 +97,15 @@ def test_schema_pages(spark):
         assert line in got["body"], line
 
 
+def test_schema_tables_are_parsed_once(spark):
+    """Rows whose table is of no use go by what one parse found; texts that are null or no table go too."""
+    rows = [("v", "a.xml", TABLE), ("v", "b.xml", "<table><name>x</name>"), ("v", "c.xml", None), ("v", "d.xml", "no table")]
+    found = schema_tables.parsed_tables(spark.createDataFrame(rows, "slug string, table_file string, xml string"))
+    shown = found.select("table_file", F.col("t.name").alias("name"), schema_tables.rendered(F.col("t")).alias("part"))
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+    assert [(r["table_file"], r["name"]) for r in shown.collect()] == [("a.xml", "acc")]
+
+
 def test_wiki_pages(spark):
     rows = [("Documentation.Intro", b"version=1\ntext=!!!!Documentation -> Intro%0a!! One%0a* item\ntext=late\n"), ("Empty.Page", b"")]
     got = {r["name"]: r for r in pages.stored_pages(spark.createDataFrame(rows, "name string, content binary")).collect()}
