@@ -38,7 +38,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_tree.write_pages(top.filter("p_partkey % 3 > 0").withColumn("text", again), near, flat=True)
     names = [r["version"] for r in versions.collect()]  # the dimension of versions
     asked = [{"version": v, "roots": [near, far], "required": True} for v in names] + [{"version": "", "roots": [near]}]
-    found = page_tree.read_pages(spark, asked).filter("error IS NULL")
+    found = page_tree.read_pages(spark, asked, slices=-(-tasks(spark) // len(asked))).filter("error IS NULL")
     return found.select("version", "path", "text", F.when(F.col("root") == near, "near").otherwise("far").alias("root"))
 
 

@@ -1,9 +1,10 @@
-"""Trees of page files as a Python data source, ``loomdoc_pages``: read with a partition for each version, written file by file.
+"""Trees of page files as a Python data source, ``loomdoc_pages``: read with partitions for each version, written file by file.
 
 Files are reached through Arrow's file systems, so a root is a path or any URI that Arrow knows (file, hdfs, s3, gs), and
 every executor has to reach it.
 
-Reading. ``versions`` is a JSON list of {"version", "roots", "required"}. The first root that has files of a version is the
+Reading. A version is dealt over ``slices`` partitions, each of which lists it and takes the files whose names fall to it; an error of
+a listing is a row of each slice that met it. ``versions`` is a JSON list of {"version", "roots", "required"}. The first root that has files of a version is the
 list of its pages; each page comes from the first root that has it, so a local tree goes before a remote one and the remote
 one fills what it lacks. A page that no root has any more is left out without a word; any other failure is a row with its
 error and no text, so one bad file never ends a job. A version that is required and has no page in any root ends it.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,14 +65,18 @@ class Version(InputPartition):
     version: str
     roots: tuple[str, ...]
     required: bool
+    number: int
+    slices: int
 
 
 class PageReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.versions, self.suffix = json.loads(options["versions"]), options.get("suffix", ".md")
+        self.slices = int(options.get("slices", "1"))
 
     def partitions(self) -> list[InputPartition]:
-        return [Version(v["version"], tuple(v["roots"]), bool(v.get("required"))) for v in self.versions]
+        found = [(v["version"], tuple(v["roots"]), bool(v.get("required"))) for v in self.versions]
+        return [Version(*v, number, self.slices) for v in found for number in range(self.slices)]
 
     def read(self, partition: Version) -> Iterator[tuple]:
         names, failed = [], None
@@ -85,6 +91,8 @@ class PageReader(DataSourceReader):
         if not names and not failed and partition.required:
             raise ValueError(f"no root has a page of {partition.version or 'the top level'}")
         for name in names:
+            if zlib.crc32(name.encode()) % partition.slices != partition.number:
+                continue
             row = self.page(partition, name)
             if row is not None:
                 yield row
@@ -151,7 +159,7 @@ class PageWriter(DataSourceWriter):
         targets = [target for _, target, _ in files]
         if len(set(targets)) < len(targets):
             self.abort(messages)
-            raise ValueError(f"two rows of one page: {sorted(t for t in targets if targets.count(t) > 1)[0]}")
+            raise ValueError(f"two rows of one page: {min(t for t, n in Counter(targets).items() if n > 1)}")
         (system, base), (_, staged) = reached(self.root), reached(self.staging)
         whole, made = f"{staged}/whole", set()
         for source, target, there in files:
@@ -192,11 +200,11 @@ class PageTree(DataSource):
         return PageWriter(self.options)
 
 
-def read_pages(spark: SparkSession, versions: list[dict], suffix: str = ".md") -> DataFrame:
+def read_pages(spark: SparkSession, versions: list[dict], suffix: str = ".md", slices: int = 1) -> DataFrame:
     """(version, path, root, text, error) of the files of ``versions`` ({"version", "roots", "required"}); the version ``""`` is
-    the top level of its roots."""
+    the top level of its roots. Each version is read by ``slices`` tasks."""
     spark.dataSource.register(PageTree)
-    return spark.read.format(NAME).option("versions", json.dumps(versions)).option("suffix", suffix).load()
+    return spark.read.format(NAME).option("versions", json.dumps(versions)).option("suffix", suffix).option("slices", str(slices)).load()
 
 
 def write_pages(pages: DataFrame, root: str, flat: bool = False) -> None:

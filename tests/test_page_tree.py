@@ -107,3 +107,18 @@ def test_messages_of_a_task_are_small():
     assert list(sent.files()) == [*((f"task/{n}", n, True) for n in names), ("task/v/a\nb \u00e9.md", "v/a\nb \u00e9.md", False)]
     assert list(page_tree.Written("task", page_tree.packed([]), page_tree.packed([])).files()) == []
     assert len(pickle.dumps(sent)) < 6 * len(names)
+
+
+def test_a_version_is_read_by_several_tasks(spark, tmp_path):
+    """Slices share a version's files out: every file once, from the root that has it; a required version without pages ends the job."""
+    near, far = str(tmp_path / "near"), str(tmp_path / "far")
+    write_pages(spark.createDataFrame([("v", f"p{i}.md", str(i)) for i in range(40)], "version string, path string, text string"), near)
+    write_pages(spark.createDataFrame([("v", "p1.md", "far"), ("w", "q.md", "q")], "version string, path string, text string"), far)
+    asked = [{"version": v, "roots": [near, far], "required": True} for v in ("v", "w")]
+    found = read_pages(spark, asked, slices=3)
+    assert found.rdd.getNumPartitions() == 6
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in rows if r["version"] == "v"}) == 3
+    assert sorted((r["version"], r["path"], r["text"], r["error"]) for r in rows) == sorted([("v", f"p{i}.md", str(i), None) for i in range(40)] + [("w", "q.md", "q", None)])
+    with pytest.raises(Exception, match="no root has a page of x"):
+        read_pages(spark, [{"version": "x", "roots": [near], "required": True}], slices=3).collect()
