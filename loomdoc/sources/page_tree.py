@@ -18,6 +18,7 @@ Versions are replaced one after another: a reader can meet a tree with the old o
 from __future__ import annotations
 
 import json
+import time
 import uuid
 import zlib
 from collections import Counter
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 NAME = "loomdoc_pages"
+#: Times that a staging folder is deleted, if tasks still write to it.
+TRIES = 20
 ROWS = "version string, path string, root string, text string, error string"
 
 
@@ -60,6 +63,14 @@ def _made(system: fs.FileSystem, folder: str, made: set[str]) -> None:
         made.add(folder)
 
 
+def _made_below(system: fs.FileSystem, top: str, folder: str, made: set[str]) -> None:
+    """The folder is there, made level by level below ``top``, which has to be there: what has been taken away stays away."""
+    if folder not in made and folder != top:
+        _made_below(system, top, folder.rpartition("/")[0], made)
+        system.create_dir(folder, recursive=False)
+        made.add(folder)
+
+
 @dataclass
 class Version(InputPartition):
     version: str
@@ -137,6 +148,8 @@ class PageWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.root, self.flat = options["root"].rstrip("/"), options.get("mode") == "flat"
         self.staging = f"{self.root}.staging-{uuid.uuid4().hex}"
+        system, base = reached(self.staging)
+        system.create_dir(base, recursive=True)  # tasks do not: one that ends after abort() makes nothing anew
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         system, base = reached(self.staging)
@@ -148,7 +161,7 @@ class PageWriter(DataSourceWriter):
             if ".." in f"{version}/{row['path']}".split("/") or (not self.flat and not version) or (self.flat and "/" in row["path"]):
                 raise ValueError(f"no page file: {version}/{row['path']}")
             if row["text"] is not None:
-                _made(system, where.rpartition("/")[0], made)
+                _made_below(system, base, where.rpartition("/")[0], made)
                 with system.open_output_stream(where) as out:
                     out.write(row["text"].encode())
             files[row["text"] is not None].append(target)
@@ -181,8 +194,15 @@ class PageWriter(DataSourceWriter):
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         """Nothing is left of the staging folder."""
         system, staged = reached(self.staging)
-        if system.get_file_info(staged).type != fs.FileType.NotFound:
-            system.delete_dir(staged)
+        for left in reversed(range(TRIES)):
+            try:
+                if system.get_file_info(staged).type != fs.FileType.NotFound:
+                    system.delete_dir(staged)
+                return
+            except OSError:  # a task that has not ended yet put a file there meanwhile
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 class PageTree(DataSource):

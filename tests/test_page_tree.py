@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdoc.sources import readers
-from loomdoc.sources.page_tree import read_pages, write_pages
+from loomdoc.sources.page_tree import PageWriter, read_pages, write_pages
 
 
 def tree(root):
@@ -122,3 +122,17 @@ def test_a_version_is_read_by_several_tasks(spark, tmp_path):
     assert sorted((r["version"], r["path"], r["text"], r["error"]) for r in rows) == sorted([("v", f"p{i}.md", str(i), None) for i in range(40)] + [("w", "q.md", "q", None)])
     with pytest.raises(Exception, match="no root has a page of x"):
         read_pages(spark, [{"version": "x", "roots": [near], "required": True}], slices=3).collect()
+
+
+def test_a_task_behind_abort_leaves_nothing(tmp_path):
+    """Rows that a task still has when the job has been given up make no folder anew."""
+    writer = PageWriter({"root": str(tmp_path / "tree")})
+
+    def rows():
+        yield {"version": "1", "path": "a.md", "text": "x"}
+        writer.abort([])
+        yield {"version": "1", "path": "sub/b.md", "text": "x"}
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    assert os.listdir(tmp_path) == []
