@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomdoc.llm import similar, simhash
@@ -139,3 +140,29 @@ def test_blocks_of_crowds(spark):
         links = similar.crowd_links(similar.dealt_crowds(members, nodes, 0.8, similar.DEVIATIONS, block), shingles, 0.8)
         assert {r["node"]: r["component"] for r in similar.components(links).collect()} == want
     assert links.count() == len(want)
+
+
+def test_crowds_of_passages(spark):
+    """Keys that have a text in common are not one crowd for that; the members of a key are, and a pair of far sizes is no task's."""
+    keys = [(t, 39 * t + i, 39 * t + i, 40 if i % 2 else 4000) for t in range(30) for i in range(40)]  # each key has a member of the next one
+    open_ = spark.createDataFrame(keys, "token bigint, node bigint, component bigint, n int")
+    members = similar.crowds(open_.drop("n"))
+    crowds = {}
+    for r in members.collect():
+        crowds.setdefault(r["crowd"], set()).add(r["node"])
+    assert max(map(len, crowds.values())) <= 3 * 40 and sum(map(len, crowds.values())) <= len(keys)
+    assert all(any(set(range(39 * t, 39 * t + 40)) <= c for c in crowds.values()) for t in range(30))
+    nodes = open_.select("node", "n", *[F.lit(0).cast("long").alias(s) for s in similar.LONGS]).dropDuplicates(["node"])
+    together = similar.dealt_crowds(members, nodes, 0.8, similar.DEVIATIONS, 16).join(nodes, "node").groupBy("crowd", "part", "i", "j")
+    assert all(r["least"] == r["most"] for r in together.agg(F.min("n").alias("least"), F.max("n").alias("most")).collect())
+
+
+def test_parts_of_a_crowd_leave_no_pair_out(spark):
+    """Partners of all sizes meet in a part, those at the bound of the similarity as well."""
+    sizes = [(m, -(-4 * m // 5)) for m in range(1, 400)]
+    rows = [(2 * k + side, k, n) for k, pair in enumerate(sizes) for side, n in enumerate(pair)]
+    df = spark.createDataFrame(rows, "node bigint, crowd bigint, n int")
+    nodes = df.select("node", "n", *[F.lit(0).cast("long").alias(s) for s in similar.LONGS])
+    members = df.select("crowd", "node", F.col("node").alias("component"))
+    met = similar.dealt_crowds(members, nodes, 0.8, similar.DEVIATIONS, 1).groupBy("crowd", "part").count().filter("count = 2")
+    assert {r["crowd"] for r in met.collect()} == set(range(len(sizes)))
