@@ -22,11 +22,10 @@ def index_json(index: DataFrame) -> DataFrame:
     """(section, json): the anchor index (section, slug, page, ref, id) as sorted JSON maps; pages without refs have none."""
     refs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("ref", "id"))))
     pages = index.groupBy("section", F.concat_ws("/", "slug", "page").alias("key")).agg(refs.alias("refs"))
-    table = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.to_json("refs").alias("refs")))))
-    rows = pages.groupBy("section").agg(table.alias("m"))
-    entry = lambda k: F.concat(F.to_json(F.array(k)), F.lit(":"), F.element_at("m", k))
-    keys = F.transform(F.map_keys("m"), lambda k: F.regexp_replace(entry(k), r"^\[|\](?=:)", ""))
-    return rows.select("section", F.concat(F.lit("{"), F.array_join(keys, ","), F.lit("}")).alias("json"))
+    name = F.to_json(F.array("key"))  # as an array, of which the brackets go
+    entry = F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":"), F.to_json("refs"))
+    rows = pages.select("section", "key", entry.alias("entry")).groupBy("section").agg(F.array_sort(F.collect_list(F.struct("key", "entry"))).alias("all"))
+    return rows.select("section", F.concat(F.lit("{"), F.array_join(F.col("all.entry"), ","), F.lit("}")).alias("json"))
 
 
 def merged_index(old: DataFrame, new: DataFrame) -> DataFrame:

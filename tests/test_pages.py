@@ -231,3 +231,11 @@ def test_entities_are_gathered_once(spark):
     found = readers.resolved_entities(rows)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("s", "a", "x y", False), ("s", "b", "y", False), ("t", "b", "z", False)]
+
+
+def test_index_of_many_pages(spark):
+    """A section's text is made without a look at all its pages for each one; brackets and quotes in names and ids are kept."""
+    index = [("s", "v", f"p{i}", "toc1", f"i{i}") for i in range(300)] + [("s", "v", 'a]:"b', "[x]:y", "[z]:\\"), ("t", "v", "]", "]:", '"]:')]
+    text = sinks.index_json(spark.createDataFrame(index, index_stream.SCHEMA))
+    assert sorted(map(tuple, readers.anchor_index(text).collect())) == sorted(index)
+    assert "element_at" not in text._jdf.queryExecution().optimizedPlan().toString()
