@@ -239,3 +239,16 @@ def test_index_of_many_pages(spark):
     text = sinks.index_json(spark.createDataFrame(index, index_stream.SCHEMA))
     assert sorted(map(tuple, readers.anchor_index(text).collect())) == sorted(index)
     assert "element_at" not in text._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_tables_stay_on_executors(spark):
+    """However small Spark takes them to be, rendered tables are not sent through the driver; declarations of versions are."""
+    modules = spark.createDataFrame([("v", f"m{i}.xml", f'<m><name>M{i}</name><xi:include href="t{i}.xml"/></m>') for i in range(2)], "slug string, module_file string, xml string")
+    about = "<description>https://x.example/docs/modules/devel/a.html &e;</description>"
+    tables = spark.createDataFrame([("v", f"t{i}.xml", f"<table><name>t{i}</name>{about}<column><name>c</name></column></table>") for i in range(2)], "slug string, table_file string, xml string")
+    entities = spark.createDataFrame([("v", "e", "one")], "scope string, name string, value string")
+    found = schema_tables.schema_pages(modules, tables, entities, r"x\.example")
+    joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert sorted(("SortMerge" in j, "table_file" in j) for j in joins) == [(False, False), (True, True)]
+    row = found.collect()[0]
+    assert (row["n_tables"], row["n_missing"]) == (2, 0) and row["body"].count("[a](/docs/modules/v/a) one") == 2 and row["body"].index("## M0") < row["body"].index("## M1")
