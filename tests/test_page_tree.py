@@ -136,3 +136,28 @@ def test_a_task_behind_abort_leaves_nothing(tmp_path):
     with pytest.raises(OSError):
         writer.write(rows())
     assert os.listdir(tmp_path) == []
+
+
+def test_tables_of_a_schema_tree_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver lists no tables; what is read is what Spark's readers read, with odd names, hidden files and texts that are no UTF-8."""
+    names = ["loom-a.xml", "entities.xml", "tables/t 1%.xml", "tables/\u00e9[1].xml", "deep/er/loom-b.xml", "_no/a.xml", ".no.xml", "tables/_no.xml", "tables/no.txt", "bad.xml", "empty.xml"]
+    put(tmp_path / "r", {f"{v}/{n}": b"\xff<x/>" if n == "bad.xml" else "" if n == "empty.xml" else f"{v} {n}" for v in ("1", "{2,3}", "_4") for n in names} | {"top.xml": "x"})
+    listed_here, listed = [], readers.page_tree.listed
+    monkeypatch.setattr(readers.page_tree, "listed", lambda *args: listed_here.append(args) or listed(*args))
+    root = str(tmp_path / "r")
+    got = [sorted(map(tuple, df.collect())) for df in readers.schema_tree(spark, root, "loom")[:2]]
+    monkeypatch.setattr(readers.page_tree, "reachable", lambda root: False)
+    want = [sorted(tuple(r) for r in df.collect() if r["slug"]) for df in readers.schema_tree(spark, root, "loom")[:2]]
+    assert [set(a) ^ set(b) for a, b in zip(got, want, strict=True)] == [set(), set()] and got == want
+    assert (len(got[0]), len(got[1]), listed_here) == (2, 8, [])
+    monkeypatch.undo()
+    tables = readers.schema_tree(spark, f"file://{root}", "loom")[1]
+    assert not tables.inputFiles() and tables.count() == 8
+
+
+def test_names_that_come_twice():
+    from loomdoc.sources.page_tree import repeated
+
+    names = [f"v/{i}" for i in range(1000)]
+    assert repeated(lambda: iter(names)) is None and repeated(lambda: iter([])) is None
+    assert repeated(lambda: iter([*names, "v/7", "v/3"])) == "v/3"
